@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .licenses import OP4_SQL, op4_scan_licenses
 from .mixing import OP1_SQL, op1_mix_sources
+from .secrets import op6_scan_secrets
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {
+        "op1_mix_sources": op1_mix_sources,
+        "op4_scan_licenses": op4_scan_licenses,
+        "op6_scan_secrets": op6_scan_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_scan_licenses": OP4_SQL}
