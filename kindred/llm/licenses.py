@@ -24,7 +24,9 @@ from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose letters are in either case, and what stands between them.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a block.
 BLOCK = 32
 #: Share of a template's words that a block must hold.
@@ -138,7 +140,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame
     score is 1 with a base phrase, else the largest share of a template that a block holds, or 0."""
     rows = keyed(docs)
     b, s = base(rows).withColumnRenamed("key", "b_key"), similar(rows, templates, threshold).withColumnRenamed("key", "s_key")
-    counted = rows.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    counted = rows.select("doc_id", "key", F.regexp_count("text", F.lit(CASED_WORD)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     label = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     base_labels, near = F.coalesce("base", none), F.coalesce("near", none)
