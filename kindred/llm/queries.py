@@ -5,12 +5,14 @@ from __future__ import annotations
 from .licenses import OP4_SQL, op4_scan_licenses
 from .mixing import OP1_SQL, op1_mix_sources
 from .secrets import op6_scan_secrets
+from .toxicity import op5_score_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op4_scan_licenses": op4_scan_licenses,
+        "op5_score_toxicity": op5_score_toxicity,
         "op6_scan_secrets": op6_scan_secrets,
     }
 
