@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .language import op7_identify_language
 from .licenses import OP4_SQL, op4_scan_licenses
 from .mixing import OP1_SQL, op1_mix_sources
 from .secrets import op6_scan_secrets
+from .token_files import op8_token_files
 from .toxicity import op5_score_toxicity
 
 
@@ -14,6 +16,8 @@ def queries() -> dict:
         "op4_scan_licenses": op4_scan_licenses,
         "op5_score_toxicity": op5_score_toxicity,
         "op6_scan_secrets": op6_scan_secrets,
+        "op7_identify_language": op7_identify_language,
+        "op8_token_files": op8_token_files,
     }
 
 
