@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op10_encode_bpe
 from .language import op7_identify_language
 from .licenses import OP4_SQL, op4_scan_licenses
 from .mixing import OP1_SQL, op1_mix_sources
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op6_scan_secrets": op6_scan_secrets,
         "op7_identify_language": op7_identify_language,
         "op8_token_files": op8_token_files,
+        "op10_encode_bpe": op10_encode_bpe,
     }
 
 

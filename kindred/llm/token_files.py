@@ -30,12 +30,36 @@ ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.f
 FILE = "doc_id long, part int, seq long, ids array<int>"
 
 
-class Encoder:
-    """Ids of texts as the tokenizers library gives them for whole texts.
+def pieces(text: str) -> list[str]:
+    """A text cut where no match of the tokenizers' patterns can reach across.
+
+    A single space between two characters other than white space begins a new match, and a single line feed
+    there is a match of its own."""
+    out: list[str] = []
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        words = line.split(" ")
+        if (len(lines) > 1 or len(words) > 1) and any(not w or w[0].isspace() or w[-1].isspace() for w in words):
+            return _careful_pieces(text)
+        if k:
+            out.append("\n")
+        out.append(words[0])
+        out += [" " + w for w in words[1:]]
+    return out
+
+
+def _careful_pieces(text: str) -> list[str]:
+    """The same, if white space also stands elsewhere."""
+    cuts = [0]
+    for i in range(1, len(text) - 1):
+        if text[i] in " \n" and not text[i - 1].isspace() and not text[i + 1].isspace():
+            cuts += [i] if text[i] == " " else [i, i + 1]
+    cuts.append(len(text))
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
 
-    The tokenizer's pattern never joins what stands on both sides of a single space, or line feed, between
-    two characters other than white space: the space begins a new match, and the line feed is one of its
-    own. Texts are cut there, and each distinct piece is encoded once."""
+class Encoder:
+    """Ids of texts as the tokenizers library gives them for whole texts, each distinct piece encoded once."""
 
     def __init__(self, path: str = TOKENIZER):
         from tokenizers import Tokenizer
@@ -43,33 +67,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        out: list[str] = []
-        lines = text.split("\n")
-        for k, line in enumerate(lines):
-            words = line.split(" ")
-            if (k and not lines[k - 1]) or not line or any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-                if len(lines) > 1 or len(words) > 1:
-                    return self._careful(text)
-            if k:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
-
-    @staticmethod
-    def _careful(text: str) -> list[str]:
-        """As above, if white space also stands elsewhere."""
-        cuts = [0]
-        for i in range(1, len(text) - 1):
-            if text[i] in " \n" and not text[i - 1].isspace() and not text[i + 1].isspace():
-                cuts += [i] if text[i] == " " else [i, i + 1]
-        cuts.append(len(text))
-        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
+        cut = [pieces(t) for t in texts]
         if len(self.ids) > CACHE:
             self.ids.clear()
         new = list({p for ps in cut for p in ps}.difference(self.ids))
