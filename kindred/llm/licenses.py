@@ -59,6 +59,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
+def once(value: Column) -> Column:
+    """value, of one row each. Unlike a projection, a generator is never merged into the expressions above it,
+    which would compute value anew for every element that they visit."""
+    return F.explode(F.array(value))
+
+
 def any_phrase(phrases) -> str:
     """A pattern (letters in either case) that every text with one of the phrases matches."""
     return "(?i)(?:" + "|".join(GAP.join(p.split(" ")) for p in phrases) + ")"
@@ -79,7 +85,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def base(rows: DataFrame) -> DataFrame:
     """key, n_base, first_word, last_word and base (labels) of every text with a base phrase."""
     hit = rows.filter(F.col("text").rlike(any_phrase(PHRASES)))
-    found = hit.select("key", words(lowered(F.col("text"))).alias("ws")).select("key", *(_places(F.col("ws"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)))
+    found = hit.select("key", once(words(lowered(F.col("text")))).alias("ws")).select("key", *(_places(F.col("ws"), p).alias(f"p{i}") for i, p in enumerate(PHRASES))).select("key", once(F.struct(*(f"p{i}" for i in range(len(PHRASES))))).alias("p")).select("key", "p.*")
     every = [f"p{i}" for i in range(len(PHRASES))]
     starts = F.concat(*every)
     names = F.array_compact(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(every, PHRASES.values(), strict=True))))
@@ -111,10 +117,10 @@ def blocks(rows: DataFrame, order: list[str], templates=TEMPLATES, threshold=THR
     vocab = F.array(*map(F.lit, order))
     least = min(least_shared(t, threshold) for t in templates)
     lines = rows.select("key", F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-    ws = lines.select("key", words(F.col("line")).alias("ws")).filter(F.size(F.array_intersect("ws", vocab)) >= least)
+    ws = lines.select("key", once(words(F.col("line"))).alias("ws")).filter(F.size(F.array_intersect("ws", vocab)) >= least)
     cuts = F.when(F.size("ws") <= BLOCK, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size("ws") - BLOCK // 2, F.lit(BLOCK // 2)))
-    windows = ws.select("key", F.explode(F.transform(cuts, lambda i: F.array_intersect(F.slice("ws", i, BLOCK), vocab))).alias("ws")).filter(F.size("ws") >= least)
-    return windows.select("key", F.array_sort(F.transform("ws", lambda w: F.array_position(vocab, w).cast("int") - 1)).alias("ranks"))
+    windows = ws.withColumn("cuts", once(cuts)).select("key", F.explode(F.transform("cuts", lambda i: F.array_intersect(F.slice("ws", i, BLOCK), vocab))).alias("ws")).filter(F.size("ws") >= least)
+    return windows.select("key", once(F.array_sort(F.transform("ws", lambda w: F.array_position(vocab, w).cast("int") - 1))).alias("ranks"))
 
 
 def similar(rows: DataFrame, templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
