@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, table, written
+from .common import held_out, small_batches, table, written
 
 #: Characters of an n-gram, and documents of a language that it is learnt from at most: those with the smallest hash of their id.
 SIZES, SAMPLE = (3, 4), 2000
@@ -31,7 +31,7 @@ PLACES, PROBES = 1 << 20, 3
 #: Languages in all, at most: those with the most documents.
 LANGUAGES = 256
 #: Characters that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,6 +130,7 @@ def train(docs: DataFrame) -> Filters:
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with a struct prediction: lang_pred and score."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(filters)
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
