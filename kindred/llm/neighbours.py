@@ -30,9 +30,9 @@ SAMPLE = 20_000
 #: Vectors for each centroid, and centroids, at most.
 LIST, CENTROIDS = 250, 2048
 #: Lists of a vector, at most, and how much further than the nearest their centroids may be.
-COPIES, BOUNDARY = 4, 1.10
+COPIES, BOUNDARY = 6, 1.06
 #: How much further than the nearest a visited list's centroid may be.
-RATIO = 1.22
+RATIO = 1.12
 #: Rows of a part of a list and queries of a block, on average.
 PART, QUERIES = 4000, 4000
 #: Links of a centroid, and centroids that a search keeps in view at least.
@@ -92,15 +92,8 @@ class Centroids:
         return np.array([j for _, j in near], int), np.array([d for d, _ in near])
 
     def homes(self, x: np.ndarray) -> list[int]:
-        """The lists of a vector: the nearest, and others about as near that don't lie behind one chosen already."""
-        near, dist = self.search(x, BOUNDARY)
-        chosen = [int(near[0])]
-        for j, d in zip(near[1:].tolist(), dist[1:].tolist(), strict=True):
-            if len(chosen) >= COPIES:
-                break
-            if all(np.sqrt(((self.c[j] - self.c[i]) ** 2).sum()) >= d * 0.75 for i in chosen):
-                chosen.append(j)
-        return chosen
+        """The lists of a vector: the nearest, and, near a boundary, others about as near."""
+        return self.search(x, BOUNDARY)[0][:COPIES].tolist()
 
 
 def fit(vectors: DataFrame, seed: int = 3) -> Centroids | None:
