@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_encode_bpe
+from .dedup import op3_near_duplicates
 from .hamming import OP9_SQL, op9_hamming_search
 from .language import op7_identify_language
 from .licenses import OP4_SQL, op4_scan_licenses
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_nearest_neighbours": op2_nearest_neighbours,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_scan_licenses": op4_scan_licenses,
         "op5_score_toxicity": op5_score_toxicity,
         "op6_scan_secrets": op6_scan_secrets,
