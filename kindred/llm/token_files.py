@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, shared_path, table
+from .common import bounded_broadcast, shared_path, small_batches, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Pieces whose ids a task keeps.
-CACHE = 1_500_000
+CACHE = 1_000_000
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000"}
 FILE = "doc_id long, part int, seq long, ids array<int>"
 
@@ -67,28 +67,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.ids[p] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         cut = [pieces(t) for t in texts]
         if len(self.ids) > CACHE:
             self.ids.clear()
-        new = list({p for ps in cut for p in ps}.difference(self.ids))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.ids[p] = np.array(e.ids, "<u4").tobytes()
-        of = self.ids.__getitem__
+        known = self.ids
+        new = list({p for ps in cut for p in ps}.difference(known))
+        # A point or comma behind a Latin letter is a match of its own.
+        ended = [p for p in new if len(p) > 1 and p[-1] in ".," and p[-2] <= "\u024f" and p[-2].isalpha()]
+        self._learn(list({*new, *(p[:-1] for p in ended), ".", ","}.difference(known, ended)))
+        for p in ended:
+            known[p] = known[p[:-1]] + known[p[-1]]
+        of = known.__getitem__
         return [b"".join(map(of, ps)) for ps in cut]
 
 
+#: A worker process keeps its encoders from task to task.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, seq, end = Encoder(path), 0, np.array([END], "<u4").tobytes()
+        own, seq, end = encoder(path), 0, np.array([END], "<u4").tobytes()
         for b in batches:
-            ids = [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
+            ids = [x + end for x in own.encode([t or "" for t in b.column("text").to_pylist()])]
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=at[1:])
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -101,6 +119,7 @@ def _encoded(path: str):
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     """The ids of all documents as ORC files at path, in the order of doc_id."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     encoded = ordered.mapInArrow(_encoded(tokenizer), "doc_id long, seq long, ids array<int>")
