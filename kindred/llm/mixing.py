@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> Data
     before = fills.rowsBetween(W.unboundedPreceding, -1)
     s = (
         s.withColumn("level", (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(fills.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
         .withColumn("target", F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.col("most")))
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -128,7 +128,7 @@ f AS (
   SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS full_at, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
 l AS (
   SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-m AS (SELECT *, min(CASE WHEN level <= full_at THEN level END) OVER () AS lv FROM l),
+m AS (SELECT *, max(CASE WHEN level <= full_at THEN level END) OVER () AS lv FROM l),
 t AS (SELECT source, source_size, coalesce(least(most, lv * weight), most)::DOUBLE AS target FROM m),
 w AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 g AS (SELECT source, k, sum(size) AS n FROM d GROUP BY source, k),
