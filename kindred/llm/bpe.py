@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import shared_path, small_batches, table
 from .token_files import pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a block, more only if one document has more.
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 BLOCKS = "block long, doc_ids array<long>, lengths array<int>, places array<binary>, words array<binary>"
 
 
@@ -165,6 +165,7 @@ def _reassembled(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocked(buckets), BLOCKS)
@@ -191,8 +192,8 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     return encoded.withColumn("decoded", _decoded(path)("ids"))
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
+    return decoded.select("doc_id", *more, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
