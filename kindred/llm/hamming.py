@@ -36,7 +36,7 @@ def codes(df: DataFrame) -> DataFrame:
 
 def segments(n: int) -> list[tuple[int, int]]:
     """Shift and width of each segment: about as many values as there are codes."""
-    m = min(16, max(2, round(BITS / math.log2(max(n, 4)))))
+    m = min(16, max(2, math.ceil(BITS / math.log2(max(n, 4)))))
     ends = [BITS * (i + 1) // m for i in range(m)]
     return [(a, b - a) for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -65,28 +65,30 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000)
     total = distinct.count()
     parts = segments(total)
     index = written(distinct.select(_cut(parts).alias("x"), "code", "n").select("x.seg", "x.val", "code", "n"), "hamming-index")
-    left = written(queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")).distinct(), "hamming-queries")
-    every, met = left, None
+    left = written(queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")).distinct().withColumn("kth", F.lit(BITS)), "hamming-queries")
+    met = None
     for r in range(max(w for _, w in parts) + 1):
         if not left.limit(1).count():
             break
+        # Codes further off than the kth that a query has met by now don't matter; ties with it do.
+        useful = _distance("q", "code") <= F.col("kth")
         looked_up = sum(math.comb(w, i) for _, w in parts for i in range(r + 1))
         if looked_up > max(total, 1000):
             blocks = max(1, -(-left.count() // block))
             mine = left.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-            got = distinct.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(mine, "b").select("query_id", "q", "code", "n", _distance("q", "code").alias("distance"))
-            # The distance of the kth row bounds what can matter; ties at it stay.
-            upto = F.sum("n").over(W.partitionBy("query_id").orderBy("distance"))
-            got = got.withColumn("upto", upto - F.sum("n").over(W.partitionBy("query_id", "distance"))).filter(F.col("upto") <= k).drop("upto")
-            covered = BITS
+            every = distinct.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            got, covered = every.join(mine, (every.b == mine.b) & useful), BITS
         else:
-            probes = left.withColumn("code", F.col("q")).select("query_id", "q", _cut(parts).alias("x")).join(bounded_broadcast(_flips(spark, parts, r)), F.col("x.seg") == F.col("s")).select("query_id", "q", F.col("x.seg").alias("seg"), F.col("x.val").bitwiseXOR(F.col("flip")).alias("val"))
-            got = index.join(probes, ["seg", "val"]).groupBy("query_id", "q", "code").agg(F.min("n").alias("n")).withColumn("distance", _distance("q", "code"))
-            covered = len(parts) * (r + 1) - 1
+            segs = left.withColumn("code", F.col("q")).select("query_id", "q", "kth", _cut(parts).alias("x"))
+            probes = segs.join(bounded_broadcast(_flips(spark, parts, r)), F.col("x.seg") == F.col("s")).select("query_id", "q", "kth", F.col("x.seg").alias("p_seg"), F.col("x.val").bitwiseXOR(F.col("flip")).alias("p_val"))
+            got, covered = index.join(probes, (index.seg == F.col("p_seg")) & (index.val == F.col("p_val")) & useful), len(parts) * (r + 1) - 1
+        got = got.groupBy("query_id", "q", "code").agg(F.min("n").alias("n")).withColumn("distance", _distance("q", "code"))
         got = written(got, f"hamming-met-{r}")
         met = got if met is None else met.unionByName(got)
-        done = met.dropDuplicates(["query_id", "code"]).filter(F.col("distance") <= covered).groupBy("query_id").agg(F.sum("n").alias("n")).filter(F.col("n") > k).select("query_id")
-        left = written(left.join(done, "query_id", "left_anti"), f"hamming-left-{r}") if covered < BITS else left.limit(0)
+        w = W.partitionBy("query_id").orderBy("distance")
+        by_distance = met.dropDuplicates(["query_id", "code"]).groupBy("query_id", "distance").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w))
+        kth = by_distance.filter(F.col("upto") > k).groupBy("query_id").agg(F.min("distance").alias("now"))
+        left = written(left.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("now", "kth").alias("kth")).filter(F.col("kth") > covered), f"hamming-left-{r}")
     if met is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
     met = met.dropDuplicates(["query_id", "code"])
