@@ -7,9 +7,10 @@ one chunk at least has at most one (pigeonhole): enumerating its place, each chu
 values left. So all pairs within the distance share a key.
 
 Documents with equal sets are one class. In a key's group members are compared with its smallest and its
-largest; what these links don't already join is compared within groups of up to GROUP members, and in larger
-ones for pairs that share a key of another chunk too (all pairs within ERRORS - 2). Links are confirmed on
-full sets. No group is ever gathered in one task.
+largest. Where these links leave several components, the groups of one smallest member are taken together,
+cut into blocks of BLOCK members, and blocks are met two by two: first by signatures, which leaves the members
+with a near partner in another component, then by their full sets. Only links come out, no more than join the
+components. No group is ever gathered in one task, and every link is confirmed on full sets.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts of fewer words
 than a shingle have one; rows that repeat are linked; rows without an id belong to the component of their
@@ -31,7 +32,8 @@ from .common import small_batches, table, written
 SHINGLE = 5
 CHUNKS, WIDE = 11, 6
 ERRORS = 2 * CHUNKS - 1
-GROUP = 64
+#: Members of a block, on average.
+BLOCK = 400
 #: Two sets are linked if PERCENT % of their union is shared.
 PERCENT = 85
 #: Words whose hashes a task keeps.
@@ -109,17 +111,6 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.reshape(-1), "cid": np.repeat(b.cid.to_numpy(), keys.shape[1])})
 
 
-def _keyed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Second keys, of other chunks than the first key."""
-    for b in batches:
-        if len(b):
-            keys = _keys_of(_sigs(b.sig))
-            first = (keys == b.key.to_numpy()[:, None]).argmax(1) // WIDE
-            other = np.arange(CHUNKS * WIDE)[None, :] // WIDE != first[:, None]
-            n = other.sum(1)
-            yield pd.DataFrame({"key": np.repeat(b.key.to_numpy(), n), "key2": keys[other], "cid": np.repeat(b.cid.to_numpy(), n), "comp": np.repeat(b.comp.to_numpy(), n)})
-
-
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
@@ -139,21 +130,98 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[np.array(keep, bool)][["a", "b"]]
 
 
+def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of a pair of blocks' members: of each block, or twice all if it is one block met with itself."""
+    every = np.arange(len(g))
+    return (every, every) if g.i.iloc[0] == g.j.iloc[0] else (every[(g.own == g.i).to_numpy()], every[(g.own == g.j).to_numpy()])
+
+
+def _hopeful(g: pd.DataFrame) -> pd.DataFrame:
+    """The members with one of another component within the signature distance."""
+    sig, comp = _sigs(g.sig), g.comp.to_numpy()
+    left, right = _sides(g)
+    hope = np.zeros(len(g), bool)
+    for x in left:
+        near = right[(comp[right] != comp[x])]
+        near = near[(sig[near] != sig[x]).sum(1) <= ERRORS]
+        hope[near] = True
+        hope[x] |= len(near) > 0
+    return g.loc[hope, ["leader", "i", "j", "own", "cid", "comp"]]
+
+
+def _joining(g: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components, by the full sets of two blocks' members."""
+    of = Hashes()
+    sets = [shingles(t, of) for t in g.text]
+    n = np.array([len(x) for x in sets])
+    codes, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(g)), n)
+    held = np.bincount(at, minlength=len(codes)) > 1  # what one member has alone is shared with none
+    number = np.cumsum(held) - 1
+    owner, at = owner[held[at]], number[at[held[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    left, right = _sides(g)
+    both = np.zeros((len(left), len(right)), np.float32)
+    row, col = np.full(len(g), -1), np.full(len(g), -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    for start in range(0, int(held.sum()), 2048):
+        part = slice(np.searchsorted(at, start), np.searchsorted(at, start + 2048))
+        x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+        o, c = owner[part], at[part] - start
+        x[row[o][row[o] >= 0], c[row[o] >= 0]] = 1
+        y[col[o][col[o] >= 0], c[col[o] >= 0]] = 1
+        both += x @ y.T
+    shared = both.astype(np.int64)
+    alike = 100 * shared >= PERCENT * (n[left][:, None] + n[right] - shared)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    cid, comp, out = g.cid.to_numpy(), g.comp.to_numpy(), []
+    for i, j in np.argwhere(alike):
+        p, q = int(left[i]), int(right[j])
+        u, v = find(int(comp[p])), find(int(comp[q]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((min(cid[p], cid[q]), max(cid[p], cid[q])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, hi and lo (a fingerprint of the set) and sig of every document."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_signed, SIGNED)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with the given ids; if rows share an id, the smallest of their texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of comp that share a key's group."""
+    member = groups.filter("n > 2").select(F.col("first").alias("leader"), "cid").distinct().join(comp, F.col("cid") == F.col("node"), "left").select("leader", "cid", F.coalesce("comp", "cid").alias("comp"))
+    member = written(member, "dedup-members")
+    mixed = member.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select("leader", "blocks")
+    own = member.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig")
+    hope = written(met.groupBy("leader", "i", "j").applyInPandas(_hopeful, "leader long, i int, j int, own int, cid long, comp long"), "dedup-hope")
+    texts = texts_of(docs, hope.select(F.col("cid").alias("id")).distinct())
+    return hope.join(texts, F.col("cid") == F.col("doc_id")).select("leader", "i", "j", "own", "cid", "comp", "text").groupBy("leader", "i", "j").applyInPandas(_joining, "a long, b long")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes within the signature distance whose full sets are similar enough."""
     sigs = classes.select("cid", "sig")
     both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = written(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_near, "a long, b long"), "dedup-near")
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    # A class stands for its smallest id; if rows share that id, the text with the class's set does.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = written(texts, "dedup-texts")
+    texts = written(texts_of(docs, ids), "dedup-texts")
     with_a = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return written(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed, "a long, b long"), "dedup-links")
 
@@ -176,7 +244,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document, and n_links (of its class with other sets)."""
+    """doc_id, n_shingles, component_id and kept of every document."""
     rows = written(signed(docs), "dedup-signed")
     classes = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig")), "dedup-classes")
     keyed = classes.select("cid", "sig").mapInPandas(_keyed, "key long, cid long")
@@ -186,24 +254,12 @@ def link(docs: DataFrame) -> DataFrame:
     links = confirm(star, classes, docs)
     comp = components(links)
 
-    member = groups.filter("n > 2").join(comp, F.col("cid") == F.col("node"), "left").select("key", "n", "cid", F.coalesce("comp", "cid").alias("comp"), "first", "last")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    member = written(member.join(mixed, "key", "left_semi"), "dedup-mixed")
-    small = member.filter(F.col("n") <= GROUP)
-    large = member.filter(F.col("n") > GROUP).join(classes.select("cid", "sig"), "cid").select("key", "cid", "comp", "sig").mapInPandas(_keyed_again, "key long, key2 long, cid long, comp long")
-
-    def across(g: DataFrame, key: list[str]) -> DataFrame:
-        x, y = (g.select(*key, F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        return x.join(y, key).filter("a < b AND comp_a <> comp_b").select("a", "b")
-
-    rest = across(small, ["key"]).union(across(large, ["key", "key2"])).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(confirm(rest, classes, docs))
+    links = written(links.union(join_components(groups, comp, classes, docs)).distinct(), "dedup-all-links")
     comp = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("n_links"))
-    of_class = classes.drop("sig").join(comp, F.col("cid") == F.col("node"), "left").join(degree, "cid", "left").select(F.struct("n_shingles", "hi", "lo").alias("set"), F.coalesce("comp", "cid").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    of_class = classes.drop("sig").join(comp, F.col("cid") == F.col("node"), "left").select(F.struct("n_shingles", "hi", "lo").alias("set"), F.coalesce("comp", "cid").alias("comp"))
     out = rows.select("doc_id", "n_shingles", F.struct("n_shingles", "hi", "lo").alias("set")).join(of_class, "set", "left")
     component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

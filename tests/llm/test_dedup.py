@@ -52,7 +52,7 @@ def test_components(spark, seed):
     assert kept.columns == documents(spark).columns and {x.doc_id for x in kept.collect()} == {c for _, c in want.values()}
 
 
-def test_large_groups_use_second_keys(spark, monkeypatch):
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
     r = random.Random(5)
     base = [str(r.random()) for _ in range(300)]
     rows = []
@@ -61,7 +61,7 @@ def test_large_groups_use_second_keys(spark, monkeypatch):
         for _ in range(i % 7):
             t[r.randrange(300)] = str(r.random())
         rows.append((i, " ".join(t), "en", "s", 0))
-    monkeypatch.setattr(dedup, "GROUP", 2)
+    monkeypatch.setattr(dedup, "BLOCK", 4)
     want = brute(rows)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in dedup.link(documents(spark, rows)).collect()} == want
 
