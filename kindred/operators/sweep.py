@@ -12,9 +12,9 @@ from .evaluate import best, counted, long, ratios, scored, transformed
 
 
 def weight_grid() -> list[tuple[float, float, float]]:
-    """Weights in tenths that sum to 10: the first 3.34 or 4 to 8, the others from a short list."""
+    """Weights in tenths that sum to 10: the first 3.34 or 4 to 7, the others from a short list."""
     rest = (1, 2, 3, 4, 5, 2.5, 3.33)
-    return [(w / 10, x / 10, y / 10) for w in (3.34, 4, 5, 6, 7, 8) for x in rest for y in rest if abs(w + x + y - 10) < 1e-9]
+    return [(w / 10, x / 10, y / 10) for w in (3.34, 4, 5, 6, 7) for x in rest for y in rest if abs(w + x + y - 10) < 1e-9]
 
 
 def steps(first: float, last: float, by: float = 0.05) -> list[float]:
