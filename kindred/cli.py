@@ -19,7 +19,7 @@ VERSION = "2.1"
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kindred", description="String-pair matching on Spark")
     p.add_argument("-d", "--dataset", default="dataset-string-similarity.txt", help="comma-separated paths")
-    p.add_argument("--ev", default="SotAMetrics", choices=["SotAMetrics", "SotAML", "customFEML", "DLearning", "TestMetrics", "customFEMLExtended", "lSimilarityMetrics", "customHyperparams"])
+    p.add_argument("--ev", default="SotAMetrics", choices=["SotAMetrics", "SotAML", "custom", "DLearning", "TestMetrics", "customExtended", "lSimilarityMetrics", "customHyperparams"])
     p.add_argument("-e", "--encoding", choices=["all", "latin"])
     for flag in ("permuted", "stemming", "canonical", "sort", "accuracyresults", "cmp", "onlyLATIN", "optimalThres", "optimalSortingThres", "buildDataset"):
         p.add_argument(f"--{flag}", action="store_true")
@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ml", default="all", help="comma-separated classifiers")
     p.add_argument("--fs", choices=["sfm", "rfe"])
     p.add_argument("-f", "--features", help="comma-separated True and False, one a feature")
-    p.add_argument("--case", default="basic", choices=["basic", "sorted", "lgm"])
+    p.add_argument("--case", default="basic", choices=["basic", "sorted", "terms"])
     p.add_argument("--test-dataset", help="pairs that classifiers are tried on; a fifth of the dataset if missing")
     p.add_argument("--terms", help="pattern of frequent-term files")
     p.add_argument("--output", default="output")
@@ -56,7 +56,7 @@ def compared(spark: SparkSession, paths: list[str]) -> None:
 
 
 def learnt(spark: SparkSession, a, pairs) -> None:
-    groups = ("basic", "sorted") if a.ev == "customFEML" else features.GROUPS if a.sort else ("basic",)
+    groups = ("basic", "sorted") if a.ev == "custom" else features.GROUPS if a.sort else ("basic",)
     known = frequent(spark, a)
     build = lambda df: features.build(df, groups, a.canonical, "latin" if a.onlyLATIN or a.encoding == "latin" else "global", known)
     df = build(pairs).cache()
@@ -71,7 +71,7 @@ def learnt(spark: SparkSession, a, pairs) -> None:
     if a.fs:
         names = ml.strongest(train, names, "rf") if a.fs == "sfm" else ml.eliminate(train, names, "rf", cross_validated=False)[0]
     algorithms = a.ml.split(",")
-    if a.ev == "customFEMLExtended":
+    if a.ev == "customExtended":
         for n in ml.chosen(algorithms, len(names)):
             print({k: v for k, v in ml.tune(train, names, n, parallelism=a.jobs).items() if k != "model"})
     quality, decided = ml.train_and_eval(train, test, names, algorithms)
@@ -110,7 +110,7 @@ def main(argv: list[str] | None = None) -> None:
         files.write_tsv(files.term_export(pairs.withColumn("terms", terms.term_split(F.col("s1"), F.col("s2"), 0.55, frequent(spark, a)))), f"{a.output}/lsimilarity_terms")
     elif a.test is not None:
         print(f"there is no test {a.test}")
-    elif a.optimalThres and a.case == "lgm":
+    elif a.optimalThres and a.case == "terms":
         sweep.best_setting(sweep.sweep_terms(pairs, frequent=frequent(spark, a)), "metric").show(50, truncate=False)
     elif a.optimalThres:
         sweep.best_setting(sweep.sweep_thresholds(pairs, a.case), "method").show(50, truncate=False)

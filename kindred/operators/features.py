@@ -10,7 +10,7 @@ from ..functions import metrics, terms, text
 from ..schema import label, pair_id
 from .evaluate import transformed
 
-GROUPS = ("basic", "sorted", "lgm", "ind", "stat")
+GROUPS = ("basic", "sorted", "terms", "ind", "stat")
 
 
 def build(pairs: DataFrame, groups=GROUPS, canonical=False, profile="global", frequent=(), digits: int | None = 5, keep=()) -> DataFrame:
@@ -27,11 +27,11 @@ def build(pairs: DataFrame, groups=GROUPS, canonical=False, profile="global", fr
         df = transformed(df, sorting=True, canonical=True).withColumn("g_sorted", metrics.scores(F.col("a"), F.col("b"), params.FEATURE_SORTED)).drop("a", "b")
         found |= {f"sorted__{m}": F.col("g_sorted")[m] for m in params.FEATURE_SORTED}
     again = lambda d, a, b, x, y: transformed(d, True, canonical, simple_sorting=False, a=a, b=b).withColumnsRenamed({"a": x, "b": y})
-    if {"lgm", "ind", "stat"} & set(groups):
+    if {"terms", "ind", "stat"} & set(groups):
         df = again(df, "s1", "s2", "a1", "b1")
-    if "lgm" in groups:
-        df = df.withColumn("g_lgm", terms.lsim_scores(F.col("a1"), F.col("b1"), {m: (m, True, False) for m in params.FEATURE_LGM}, profile, frequent))
-        found |= {f"lgm__{m}": F.col("g_lgm")[m] for m in params.FEATURE_LGM}
+    if "terms" in groups:
+        df = df.withColumn("g_terms", terms.lsim_scores(F.col("a1"), F.col("b1"), {m: (m, True, False) for m in params.FEATURE_TERMS}, profile, frequent))
+        found |= {f"terms__{m}": F.col("g_terms")[m] for m in params.FEATURE_TERMS}
     if {"ind", "stat"} & set(groups):
         df = again(df, "a1", "b1", "a2", "b2")
     if "ind" in groups:

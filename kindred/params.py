@@ -83,7 +83,7 @@ FEATURE_BASIC = (
     "skipgram", "monge_elkan", "soft_jaccard", "davies",
 )
 FEATURE_SORTED = tuple(m for m in FEATURE_BASIC if m != "sorted_winkler") + ("l_jaro_winkler", "l_jaro_winkler_r")
-FEATURE_LGM = (
+FEATURE_TERMS = (
     "damerau_levenshtein", "davies", "skipgram", "soft_jaccard", "strike_a_match", "cosine", "jaccard", "monge_elkan",
     "jaro_winkler", "jaro", "jaro_winkler_r", "l_jaro_winkler", "l_jaro_winkler_r",
 )
@@ -92,7 +92,7 @@ FREQUENT = 20
 
 def feature_names() -> list[str]:
     stats = ["tokens_s1", "tokens_s2", "has_freq_s1", "has_freq_s2", *(f"freq{i}_s{s}" for s in (1, 2) for i in range(FREQUENT))]
-    return [f"{g}__{m}" for g, ms in (("basic", FEATURE_BASIC), ("sorted", FEATURE_SORTED), ("lgm", FEATURE_LGM), ("ind", ("base", "mismatch", "special")), ("stat", stats)) for m in ms]
+    return [f"{g}__{m}" for g, ms in (("basic", FEATURE_BASIC), ("sorted", FEATURE_SORTED), ("terms", FEATURE_TERMS), ("ind", ("base", "mismatch", "special")), ("stat", stats)) for m in ms]
 
 
 def threshold_mode(sorting: bool, latin: bool = False, encoding: str | None = None) -> str:
