@@ -19,14 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The stand-in for a shared folder, made when first needed.
+_own: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir).
 
     Where the setting is missing, as in tests on one machine, a temporary folder stands in for it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get("root")
     if not root:
-        root = tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own["root"] = tempfile.mkdtemp(prefix="kindred-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
