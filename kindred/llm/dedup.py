@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import bounded_broadcast, small_batches, table, written
 
 SHINGLE = 5
 CHUNKS, WIDE = 11, 6
 ERRORS = 2 * CHUNKS - 1
 #: Members of a block, on average.
 BLOCK = 400
+#: Ids (8 bytes each) that are broadcast at most, so that not all texts are shuffled where few are asked for.
+IDS = 200_000
 #: Two sets are linked if PERCENT % of their union is shared.
 PERCENT = 85
 #: Words whose hashes a task keeps.
@@ -200,7 +202,7 @@ def signed(docs: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the documents with the given ids; if rows share an id, the smallest of their texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(bounded_broadcast(ids, IDS), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,7 +213,7 @@ def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs
     own = member.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig")
     hope = written(met.groupBy("leader", "i", "j").applyInPandas(_hopeful, "leader long, i int, j int, own int, cid long, comp long"), "dedup-hope")
-    texts = texts_of(docs, hope.select(F.col("cid").alias("id")).distinct())
+    texts = texts_of(docs, written(hope.select(F.col("cid").alias("id")).distinct(), "dedup-ids"))
     return hope.join(texts, F.col("cid") == F.col("doc_id")).select("leader", "i", "j", "own", "cid", "comp", "text").groupBy("leader", "i", "j").applyInPandas(_joining, "a long, b long")
 
 
@@ -220,7 +222,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     sigs = classes.select("cid", "sig")
     both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = written(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_near, "a long, b long"), "dedup-near")
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "dedup-ids")
     texts = written(texts_of(docs, ids), "dedup-texts")
     with_a = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return written(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed, "a long, b long"), "dedup-links")
