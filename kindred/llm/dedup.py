@@ -1,10 +1,10 @@
 """Near-duplicates by MinHash signatures and a multi-index Hamming join.
 
-A document's set of five-word shingles gets a signature of CHUNKS * WIDE values of 16 bits. Two sets of
-similarity 0.85 differ in 15 % of the values on average; a signature distance up to ERRORS misses such a pair
-with a chance of about 1e-4, and more similar ones less. With no more than ERRORS = 2 * CHUNKS - 1 errors
-one chunk at least has at most one (pigeonhole): enumerating its place, each chunk gives WIDE keys of the
-values left. So all pairs within the distance share a key.
+A document's set of five-word shingles gets a signature of chunks * wide values of 16 bits. Two sets of
+similarity 0.85 differ in 15 % of the values on average; a signature distance up to `errors` misses such a pair
+with a chance of about 1e-4, and more similar ones less. With no more than errors = 2 * chunks - 1 errors
+one chunk at least has at most one (pigeonhole): enumerating its place, each chunk gives `wide` keys of the
+values left. So all pairs within the distance share a key. A Layout holds these numbers for a threshold.
 
 Documents with equal sets are one class. In a key's group members are compared with its smallest and its
 largest. Where these links leave several components, the groups of one smallest member are taken together,
@@ -19,7 +19,8 @@ set, if it has an id; an empty table gives an empty result. Further columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,19 +31,37 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, small_batches, table, written
 
 SHINGLE = 5
-CHUNKS, WIDE = 11, 6
-ERRORS = 2 * CHUNKS - 1
 #: Members of a block, on average.
 BLOCK = 400
 #: Ids (8 bytes each) that are broadcast at most, so that not all texts are shuffled where few are asked for.
 IDS = 200_000
-#: Two sets are linked if PERCENT % of their union is shared.
-PERCENT = 85
+
+
+class Layout(NamedTuple):
+    """Two sets are linked if `percent` % of their union is shared; signatures have `chunks` chunks of `wide` values."""
+
+    percent: int
+    chunks: int
+    wide: int
+
+    @property
+    def values(self) -> int:
+        return self.chunks * self.wide
+
+    @property
+    def errors(self) -> int:
+        return 2 * self.chunks - 1
+
+
+#: A pair at the threshold is missed with a chance of 1.6e-4 (21 of 66 values may differ) and 1.0e-4 (27 of 70).
+AT_85, AT_80 = Layout(85, 11, 6), Layout(80, 14, 5)
 #: Words whose hashes a task keeps.
 CACHE = 1_500_000
 _random = np.random.default_rng(20)
-FACTORS = _random.integers(0, 2**63, CHUNKS * WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _random.integers(0, 2**63, AT_85.values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDER = _random.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Those that longer signatures have besides.
+FACTORS = np.concatenate([FACTORS, _random.integers(0, 2**63, AT_80.values - AT_85.values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
 SIGNED = "doc_id long, n_shingles long, hi long, lo long, sig binary"
 
 
@@ -69,32 +88,36 @@ def shingles(text: str | None, of: Hashes) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def signature(h: np.ndarray) -> np.ndarray:
+def signature(h: np.ndarray, values: int) -> np.ndarray:
     """16 bits of the smallest of a set's hashes under each function."""
-    least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
+    factors = FACTORS[:values]
+    least = np.full(values, 2**64 - 1, np.uint64)
     for at in range(0, len(h), 2048):
-        np.minimum(least, (h[at : at + 2048, None] * FACTORS).min(0), out=least)
+        np.minimum(least, (h[at : at + 2048, None] * factors).min(0), out=least)
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2")
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of = Hashes()
-    for b in batches:
-        rows = []
-        for t in b.text:
-            h = shingles(t, of)
-            both = xxhash.xxh3_128_digest(h.tobytes())
-            rows.append((len(h), int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True), signature(h).tobytes() if len(h) else None))
-        yield pd.DataFrame(rows, columns=["n_shingles", "hi", "lo", "sig"]).assign(doc_id=b.doc_id.to_numpy())[["doc_id", "n_shingles", "hi", "lo", "sig"]]
+def _signed(layout: Layout) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Hashes()
+        for b in batches:
+            rows = []
+            for t in b.text:
+                h = shingles(t, of)
+                both = xxhash.xxh3_128_digest(h.tobytes())
+                rows.append((len(h), int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True), signature(h, layout.values).tobytes() if len(h) else None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "hi", "lo", "sig"]).assign(doc_id=b.doc_id.to_numpy())[["doc_id", "n_shingles", "hi", "lo", "sig"]]
+
+    return run
 
 
-def _keys_of(sig: np.ndarray) -> np.ndarray:
-    """(rows, CHUNKS * WIDE): the hash of each chunk without each of its values."""
-    chunks = sig.reshape(-1, CHUNKS, WIDE).astype(np.uint64)
+def _keys_of(sig: np.ndarray, layout: Layout) -> np.ndarray:
+    """(rows, chunks * wide): the hash of each chunk without each of its values."""
+    chunks = sig.reshape(-1, layout.chunks, layout.wide).astype(np.uint64)
     out = np.empty(chunks.shape, np.uint64)
-    for j in range(WIDE):
-        h = np.full(chunks.shape[:2], j, np.uint64) + np.uint64(8) * np.arange(CHUNKS, dtype=np.uint64)
-        for i in range(WIDE):
+    for j in range(layout.wide):
+        h = np.full(chunks.shape[:2], j, np.uint64) + np.uint64(8) * np.arange(layout.chunks, dtype=np.uint64)
+        for i in range(layout.wide):
             if i != j:
                 h = (h ^ chunks[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
@@ -102,34 +125,43 @@ def _keys_of(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(chunks), -1).view(np.int64)
 
 
-def _sigs(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, CHUNKS * WIDE)
+def _sigs(column: pd.Series, layout: Layout) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(-1, layout.values)
+
+
+def _keyed(layout: Layout) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                keys = _keys_of(_sigs(b.sig, layout), layout)
+                yield pd.DataFrame({"key": keys.reshape(-1), "cid": np.repeat(b.cid.to_numpy(), keys.shape[1])})
+
+    return run
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            keys = _keys_of(_sigs(b.sig))
-            yield pd.DataFrame({"key": keys.reshape(-1), "cid": np.repeat(b.cid.to_numpy(), keys.shape[1])})
+def _near(layout: Layout) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[(_sigs(b.sig_a, layout) != _sigs(b.sig_b, layout)).sum(1) <= layout.errors][["a", "b"]]
 
+    return run
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            yield b[(_sigs(b.sig_a) != _sigs(b.sig_b)).sum(1) <= ERRORS][["a", "b"]]
 
+def _confirmed(layout: Layout) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Hashes()
+        for b in batches:
+            last, left, keep = None, None, []
+            for r in b.itertuples():
+                if r.a != last:
+                    last, left = r.a, shingles(r.text_a, of)
+                right = shingles(r.text_b, of)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(100 * both >= layout.percent * (len(left) + len(right) - both))
+            yield b[np.array(keep, bool)][["a", "b"]]
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of = Hashes()
-    for b in batches:
-        last, left, keep = None, None, []
-        for r in b.itertuples():
-            if r.a != last:
-                last, left = r.a, shingles(r.text_a, of)
-            right = shingles(r.text_b, of)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(left) + len(right) - both))
-        yield b[np.array(keep, bool)][["a", "b"]]
+    return run
 
 
 def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,65 +170,71 @@ def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (every, every) if g.i.iloc[0] == g.j.iloc[0] else (every[(g.own == g.i).to_numpy()], every[(g.own == g.j).to_numpy()])
 
 
-def _hopeful(g: pd.DataFrame) -> pd.DataFrame:
-    """The members with one of another component within the signature distance."""
-    sig, comp = _sigs(g.sig), g.comp.to_numpy()
-    left, right = _sides(g)
-    hope = np.zeros(len(g), bool)
-    for x in left:
-        near = right[(comp[right] != comp[x])]
-        near = near[(sig[near] != sig[x]).sum(1) <= ERRORS]
-        hope[near] = True
-        hope[x] |= len(near) > 0
-    return g.loc[hope, ["leader", "i", "j", "own", "cid", "comp"]]
-
-
-def _joining(g: pd.DataFrame) -> pd.DataFrame:
-    """Links that join components, by the full sets of two blocks' members."""
-    of = Hashes()
-    sets = [shingles(t, of) for t in g.text]
-    n = np.array([len(x) for x in sets])
-    codes, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(g)), n)
-    held = np.bincount(at, minlength=len(codes)) > 1  # what one member has alone is shared with none
-    number = np.cumsum(held) - 1
-    owner, at = owner[held[at]], number[at[held[at]]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    left, right = _sides(g)
-    both = np.zeros((len(left), len(right)), np.float32)
-    row, col = np.full(len(g), -1), np.full(len(g), -1)
-    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
-    for start in range(0, int(held.sum()), 2048):
-        part = slice(np.searchsorted(at, start), np.searchsorted(at, start + 2048))
-        x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
-        o, c = owner[part], at[part] - start
-        x[row[o][row[o] >= 0], c[row[o] >= 0]] = 1
-        y[col[o][col[o] >= 0], c[col[o] >= 0]] = 1
-        both += x @ y.T
-    shared = both.astype(np.int64)
-    alike = 100 * shared >= PERCENT * (n[left][:, None] + n[right] - shared)
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root.setdefault(c, c) != c:
-            c = root[c]
-        return c
-
-    cid, comp, out = g.cid.to_numpy(), g.comp.to_numpy(), []
-    for i, j in np.argwhere(alike):
-        p, q = int(left[i]), int(right[j])
-        u, v = find(int(comp[p])), find(int(comp[q]))
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append((min(cid[p], cid[q]), max(cid[p], cid[q])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def signed(docs: DataFrame) -> DataFrame:
+def _hopeful(layout: Layout) -> Callable:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        """The members with one of another component within the signature distance."""
+        sig, comp = _sigs(g.sig, layout), g.comp.to_numpy()
+        left, right = _sides(g)
+        hope = np.zeros(len(g), bool)
+        for x in left:
+            near = right[(comp[right] != comp[x])]
+            near = near[(sig[near] != sig[x]).sum(1) <= layout.errors]
+            hope[near] = True
+            hope[x] |= len(near) > 0
+        return g.loc[hope, ["leader", "i", "j", "own", "cid", "comp"]]
+
+    return run
+
+
+def _joining(layout: Layout) -> Callable:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components, by the full sets of two blocks' members."""
+        of = Hashes()
+        sets = [shingles(t, of) for t in g.text]
+        n = np.array([len(x) for x in sets])
+        codes, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(g)), n)
+        held = np.bincount(at, minlength=len(codes)) > 1  # what one member has alone is shared with none
+        number = np.cumsum(held) - 1
+        owner, at = owner[held[at]], number[at[held[at]]]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        left, right = _sides(g)
+        both = np.zeros((len(left), len(right)), np.float32)
+        row, col = np.full(len(g), -1), np.full(len(g), -1)
+        row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+        for start in range(0, int(held.sum()), 2048):
+            part = slice(np.searchsorted(at, start), np.searchsorted(at, start + 2048))
+            x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+            o, c = owner[part], at[part] - start
+            x[row[o][row[o] >= 0], c[row[o] >= 0]] = 1
+            y[col[o][col[o] >= 0], c[col[o] >= 0]] = 1
+            both += x @ y.T
+        shared = both.astype(np.int64)
+        alike = 100 * shared >= layout.percent * (n[left][:, None] + n[right] - shared)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        cid, comp, out = g.cid.to_numpy(), g.comp.to_numpy(), []
+        for i, j in np.argwhere(alike):
+            p, q = int(left[i]), int(right[j])
+            u, v = find(int(comp[p])), find(int(comp[q]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((min(cid[p], cid[q]), max(cid[p], cid[q])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def signed(docs: DataFrame, layout: Layout) -> DataFrame:
     """doc_id, n_shingles, hi and lo (a fingerprint of the set) and sig of every document."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_signed, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_signed(layout), SIGNED)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -205,27 +243,27 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(bounded_broadcast(ids, IDS), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
     """Links (a, b) between different components of comp that share a key's group."""
     member = groups.filter("n > 2").select(F.col("first").alias("leader"), "cid").distinct().join(comp, F.col("cid") == F.col("node"), "left").select("leader", "cid", F.coalesce("comp", "cid").alias("comp"))
     member = written(member, "dedup-members")
     mixed = member.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select("leader", "blocks")
     own = member.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig")
-    hope = written(met.groupBy("leader", "i", "j").applyInPandas(_hopeful, "leader long, i int, j int, own int, cid long, comp long"), "dedup-hope")
+    hope = written(met.groupBy("leader", "i", "j").applyInPandas(_hopeful(layout), "leader long, i int, j int, own int, cid long, comp long"), "dedup-hope")
     texts = texts_of(docs, written(hope.select(F.col("cid").alias("id")).distinct(), "dedup-ids"))
-    return hope.join(texts, F.col("cid") == F.col("doc_id")).select("leader", "i", "j", "own", "cid", "comp", "text").groupBy("leader", "i", "j").applyInPandas(_joining, "a long, b long")
+    return hope.join(texts, F.col("cid") == F.col("doc_id")).select("leader", "i", "j", "own", "cid", "comp", "text").groupBy("leader", "i", "j").applyInPandas(_joining(layout), "a long, b long")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
     """The pairs (a, b) of classes within the signature distance whose full sets are similar enough."""
     sigs = classes.select("cid", "sig")
     both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = written(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_near, "a long, b long"), "dedup-near")
+    near = written(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(layout), "a long, b long"), "dedup-near")
     ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "dedup-ids")
     texts = written(texts_of(docs, ids), "dedup-texts")
     with_a = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed, "a long, b long"), "dedup-links")
+    return written(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed(layout), "a long, b long"), "dedup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,18 +283,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, layout: Layout = AT_85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    rows = written(signed(docs), "dedup-signed")
+    rows = written(signed(docs, layout), "dedup-signed")
     classes = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig")), "dedup-classes")
-    keyed = classes.select("cid", "sig").mapInPandas(_keyed, "key long, cid long")
+    keyed = classes.select("cid", "sig").mapInPandas(_keyed(layout), "key long, cid long")
     shared = keyed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.count("*").alias("n")).filter("n > 1")
     groups = written(keyed.join(shared, "key"), "dedup-groups")
     star = groups.select(F.col("first").alias("a"), F.col("cid").alias("b")).union(groups.select(F.col("cid").alias("a"), F.col("last").alias("b"))).filter("a < b").distinct()
-    links = confirm(star, classes, docs)
+    links = confirm(star, classes, docs, layout)
     comp = components(links)
 
-    links = written(links.union(join_components(groups, comp, classes, docs)).distinct(), "dedup-all-links")
+    links = written(links.union(join_components(groups, comp, classes, docs, layout)).distinct(), "dedup-all-links")
     comp = components(links)
     of_class = classes.drop("sig").join(comp, F.col("cid") == F.col("node"), "left").select(F.struct("n_shingles", "hi", "lo").alias("set"), F.coalesce("comp", "cid").alias("comp"))
     out = rows.select("doc_id", "n_shingles", F.struct("n_shingles", "hi", "lo").alias("set")).join(of_class, "set", "left")
@@ -264,9 +302,9 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, layout: Layout = AT_85) -> DataFrame:
     """The documents that link() keeps, with their own columns; of rows that share id and text, one."""
-    kept = written(link(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "dedup-kept")
+    kept = written(link(docs, layout).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "dedup-kept")
     out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
     if not kept.filter("n > 1").limit(1).count():
         return out

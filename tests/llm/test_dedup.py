@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from kindred.llm import dedup
 
 from .helpers import ODD, documents
@@ -74,3 +75,25 @@ def test_odd_rows(spark):
     kept = dedup.deduplicated(documents(spark)).collect()
     assert sorted(str(x.doc_id) for x in kept) == ["1", "2", "3", "4", "6", "7", "None", "None"]
     assert dedup.link(documents(spark, [])).collect() == [] and dedup.deduplicated(documents(spark, [])).collect() == []
+
+
+def test_pipeline_links_from_80_percent(spark):
+    """Pairs on both sides of 0.8 and of 0.85, against brute force: the stage drops from 0.8 up, op3 links from 0.85 up."""
+    r = random.Random(8)
+    rows, want = [], {80: set(), 85: set()}
+    for i in range(120):
+        base = [str(r.random()) for _ in range(r.randint(150, 250))]
+        copy = list(base)
+        # A changed word far from the others changes five shingles of each text.
+        for at in range(8, len(base) - 8, r.choice((40, 47, 54, 75))):
+            copy[at] = str(r.random())
+        rows += [(2 * i, " ".join(base), "en", "s", 0), (2 * i + 1, " ".join(copy), "en", "s", 0)]
+        x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (base, copy))
+        for percent, dropped in want.items():
+            if 100 * len(x & y) >= percent * len(x | y):
+                dropped.add(2 * i + 1)
+    assert want[85] and len(want[80] - want[85]) > 20 and len(want[80]) < 120
+    docs, every = documents(spark, rows), {x[0] for x in rows}
+    assert every - {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want[80]
+    assert {x.doc_id for x in dedup.link(docs).filter("NOT kept").collect()} == want[85]
+    assert all(2 * x.chunks - 1 == x.errors and x.values <= len(dedup.FACTORS) for x in (dedup.AT_85, dedup.AT_80))
