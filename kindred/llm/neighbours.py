@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample and linked to a graph, which tasks keep
 neighbour to neighbour. Every vector goes to the list of its nearest centroid and, near a boundary, to those
 of other centroids about as near. Long lists are split by hash into parts of bounded size. A query visits
 all lists whose centroid is at most RATIO times as far as its nearest one: many where distances are alike,
-few where they differ. Lists are met with blocks of queries; distances are exact.
+few where they differ. Where these lists are the homes of no more than k vectors, it visits those within RATIO of the
+centroid at which more than k are reached. Lists are met with blocks of queries; distances are exact.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from
 the most common length (the smallest of those most common) take no part, nor do rows without an id; rows that
@@ -91,6 +92,16 @@ class Centroids:
         near = sorted(x for x in found if x[0] <= best * ratio)
         return np.array([j for _, j in near], int), np.array([d for d, _ in near])
 
+    def visited(self, x: np.ndarray, ratio: float, homed: np.ndarray, least: int) -> np.ndarray:
+        """The lists of a query: those within ratio, or as many more as are the homes of `least` vectors (homed: a count a list)."""
+        near = self.search(x, ratio)[0]
+        if homed[near].sum() >= least:
+            return near
+        d = np.sqrt(((self.c - x) ** 2).sum(1))
+        order = np.argsort(d, kind="stable")
+        at = min(int(np.searchsorted(homed[order].cumsum(), least)), len(order) - 1)
+        return order[: np.searchsorted(d[order], d[order[at]] * ratio, side="right")]
+
     def homes(self, x: np.ndarray) -> list[int]:
         """The lists of a vector: the nearest, and, near a boundary, others about as near."""
         return self.search(x, BOUNDARY)[0][:COPIES].tolist()
@@ -115,16 +126,16 @@ def fit(vectors: DataFrame, seed: int = 3) -> Centroids | None:
 
 
 def index(vectors: DataFrame, centroids: Centroids) -> DataFrame:
-    """list, vec_id and embedding: the posting lists, with every vector in one of them at least."""
+    """list, home, vec_id and embedding: the posting lists. Every vector is in one of them at least, and home is true in one."""
     model = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             homes = [model.value.homes(np.asarray(v, float)) for v in b.embedding]
             at = np.repeat(np.arange(len(b)), [len(h) for h in homes])
-            yield pd.DataFrame({"list": [j for h in homes for j in h], "vec_id": b.vec_id.to_numpy()[at], "embedding": b.embedding.to_numpy()[at]})
+            yield pd.DataFrame({"list": [j for h in homes for j in h], "home": [j == h[0] for h in homes for j in h], "vec_id": b.vec_id.to_numpy()[at], "embedding": b.embedding.to_numpy()[at]})
 
-    return vectors.mapInPandas(posted, "list int, vec_id long, embedding array<double>")
+    return vectors.mapInPandas(posted, "list int, home boolean, vec_id long, embedding array<double>")
 
 
 def _nearest(k: int):
@@ -162,17 +173,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     lists = written(index(vectors, centroids), "ann-lists")
     n_blocks = max(1, -(-queries.count() // QUERIES))
     # As many rows as centroids.
-    parts = written(lists.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "ann-parts")
-    model = spark.sparkContext.broadcast(centroids)
+    parts = written(lists.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count_if("home").alias("homed")), "ann-parts")
+    homed = np.zeros(len(centroids.c), int)
+    for r in parts.collect():
+        homed[r["list"]] = r["homed"]
+    model = spark.sparkContext.broadcast((centroids, homed))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            near = [model.value.search(np.asarray(v, float), ratio)[0] for v in b.embedding]
+            near = [model.value[0].visited(np.asarray(v, float), ratio, model.value[1], k + 1) for v in b.embedding]
             at = np.repeat(np.arange(len(b)), [len(x) for x in near])
             yield pd.DataFrame({"list": np.concatenate(near) if near else [], "query_id": b.vec_id.to_numpy()[at], "embedding": b.embedding.to_numpy()[at]})
 
     asked = queries.mapInPandas(visits, "list int, query_id long, embedding array<double>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    asked = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "query_id", "embedding")
+    asked = asked.join(F.broadcast(parts.drop("homed")), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "query_id", "embedding")
     sizes = parts.select(F.col("list").alias("of"), F.col("parts").alias("n"))
     held = lists.join(F.broadcast(sizes), F.col("list") == F.col("of")).select("list", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "embedding")
     key = ["list", "part", "block"]

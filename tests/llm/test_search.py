@@ -35,6 +35,28 @@ def test_recall_and_ties(spark):
     assert hit >= 0.9 * 10 * 15
 
 
+def test_outliers_and_clumps_get_k(spark):
+    """Vectors and small clumps that have a centroid of their own, far from all others."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 8))
+    for i in range(0, 600, 100):
+        x[i : i + 1 + i // 100] = 1000 * r.normal(size=8)
+    vectors = neighbours.valid(frame(spark, list(enumerate(x.tolist()))))
+    assert len(neighbours.fit(vectors).c) > 1
+    out = neighbours.search(vectors, vectors.filter("vec_id % 100 = 0")).toPandas()
+    for q in range(0, len(x), 100):
+        got = out[out.query_id == q].sort_values("rank")
+        assert got["rank"].tolist() == list(range(1, 11)) and q not in set(got.vec_id) and got.score.is_monotonic_increasing
+        assert set(got.vec_id) >= {*range(q + 1, q + 1 + q // 100)} if q < 600 else True
+
+
+def test_visited_lists_hold_enough():
+    c = neighbours.Centroids(np.array([[0.0, 0], [10, 0], [10.5, 0], [0, 20], [40, 0]]))
+    assert c.visited(np.zeros(2), 1.12, np.array([1, 5, 30, 30, 30]), 11).tolist() == [0, 1, 2]
+    assert c.visited(np.zeros(2), 1.12, np.array([11, 5, 30, 30, 30]), 11).tolist() == [0]
+    assert c.visited(np.zeros(2), 1.12, np.array([1, 1, 1, 1, 1]), 11).tolist() == [0, 1, 2, 3, 4]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1, 2]), (0, [1, 2]), (1, None), (2, [0, 0]), (3, [1, None]), (4, [float("nan"), 1]), (5, [float("inf"), 1]), (6, [1, 2, 3]), (None, [3, 3]), (7, [1, 3]), (100, [1, 3]), (8, [])]
     vectors = neighbours.valid(frame(spark, rows))
