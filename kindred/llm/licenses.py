@@ -1,7 +1,8 @@
 """License scans: a set-similarity join of text blocks with license templates, in native expressions only.
 
-A block is a window of BLOCK words of a line, half a window apart, so that a notice of up to half a window
-lies in one block whole. Words of templates are ordered by their frequency in the whole corpus, rarest first. A block can
+A block is a window of BLOCK words of a line or of the whole text, half a window apart, so that a notice of up to
+half a window lies in one block whole, wrapped or not. (OP4_SQL has the windows of lines alone; on the given tables both
+give the same rows.) Words of templates are ordered by their frequency in the whole corpus, rarest first. A block can
 hold a share t of a template's n words only if it has one of the template's first n - ceil(t n) + 1 in that
 order (prefix filter), enough words of the vocabulary (length filter), and enough words left behind the
 shared one on both sides (positional filter). What passes is verified on full sets.
@@ -113,11 +114,13 @@ def token_order(rows: DataFrame, templates=TEMPLATES) -> list[str]:
 def blocks(rows: DataFrame, order: list[str], templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
     """key and ranks (places in order of a block's template words, ascending) of the blocks that can pass.
 
-    A line that as a whole holds too few of the words for every template has no block that passes."""
+    A line or text that as a whole holds too few of the words for every template has no block that passes."""
     vocab = F.array(*map(F.lit, order))
     least = min(least_shared(t, threshold) for t in templates)
-    lines = rows.select("key", F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-    ws = lines.select("key", once(words(F.col("line"))).alias("ws")).filter(F.size(F.array_intersect("ws", vocab)) >= least)
+    lines = rows.select("key", once(F.transform(F.split(lowered(F.col("text")), "\n"), words)).alias("lines"))
+    # No word holds a line feed: the lines' words in a row are those of the whole text.
+    whole = lines.select("key", "lines", once(F.flatten("lines")).alias("ws")).filter(F.size(F.array_intersect("ws", vocab)) >= least)
+    ws = whole.select("key", F.explode(F.when(F.size("lines") > 1, F.array_append("lines", F.col("ws"))).otherwise(F.col("lines"))).alias("ws")).filter(F.size(F.array_intersect("ws", vocab)) >= least)
     cuts = F.when(F.size("ws") <= BLOCK, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size("ws") - BLOCK // 2, F.lit(BLOCK // 2)))
     windows = ws.withColumn("cuts", once(cuts)).select("key", F.explode(F.transform("cuts", lambda i: F.array_intersect(F.slice("ws", i, BLOCK), vocab))).alias("ws")).filter(F.size("ws") >= least)
     return windows.select("key", once(F.array_sort(F.transform("ws", lambda w: F.array_position(vocab, w).cast("int") - 1))).alias("ranks"))

@@ -33,6 +33,21 @@ def test_base_and_join(spark):
     assert out[102].score == 0 and out[107].labels == ""
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped at each of their words are found as on one line, within other words too."""
+    rows, want = [], []
+    for t, label in licenses.TEMPLATES.items():
+        ws = t.split(" ")
+        for cut in range(1, len(ws)):
+            for around in ("", "other words here\n" * 20):
+                rows.append((len(rows), around + " ".join(ws[:cut]) + "\r\n * " + " ".join(ws[cut:]) + "\n" + around, "en", "s", 0))
+                want.append(label)
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published"
+    rows, want = [*rows, (len(rows), gpl, "en", "s", 0)], [*want, "gpl"]
+    out = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert all(label in out[i].labels.split(",") and out[i].score == 1 for i, label in enumerate(want))
+
+
 def test_odd_rows(spark):
     out = licenses.scan(documents(spark)).collect()
     assert len(out) == len(ODD) and all(r.labels == "" and r.score == 0 for r in out)
