@@ -126,8 +126,10 @@ def queries() -> dict:
         "test_metrics": lambda spark, sf: evaluate.evaluate_at(part_pairs(spark, sf), 0.55),
         "sweep_threshold": lambda spark, sf: _ordered(sweep.sweep_thresholds(part_pairs(spark, sf), names=NATIVE)),
         "best_per_metric": lambda spark, sf: _ordered(sweep.best_setting(sweep.sweep_thresholds(part_pairs(spark, sf), names=NATIVE), "method")),
-        "sweep_sorting": lambda spark, sf: sweep.sweep_sorting(part_pairs(spark, sf), names=("damerau_levenshtein", "jaccard"), sort_thresholds=[0.55, 0.7, 0.85]),
-        "sweep_weights": lambda spark, sf: sweep.best_setting(sweep.sweep_terms(part_pairs(spark, sf), sweep.steps(0.6, 0.8), sweep.steps(0.35, 0.8), metrics=("jaccard", "damerau_levenshtein")), "metric"),
+        **{f"sweep_threshold_{c}": (lambda spark, sf, c=c: _ordered(sweep.sweep_thresholds(part_pairs(spark, sf), c))) for c in ("basic", "sorted")},
+        **{f"best_per_metric_{c}": (lambda spark, sf, c=c: _ordered(sweep.best_setting(sweep.sweep_thresholds(part_pairs(spark, sf), c), "method"))) for c in ("basic", "sorted")},
+        "sweep_sorting": lambda spark, sf: sweep.sweep_sorting(part_pairs(spark, sf), canonical=True),
+        "sweep_weights": lambda spark, sf: sweep.best_setting(sweep.sweep_terms(part_pairs(spark, sf), sweep.steps(0.6, 0.8), sweep.steps(0.35, 0.8)), "metric"),
         "term_split": lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", terms.term_split(F.col("s1"), F.col("s2"), 0.55).alias("t")).select("s1", "s2", *(F.array_join(F.col("t")[g][s], ",").alias(f"{g}_{s}") for g in ("base", "mismatch", "special") for s in "ab")),
         "lsim_simple": _lsim(False),
         "lsim_avg": _lsim(True),

@@ -142,3 +142,24 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["-d", str(tmp_path / "none")])
     out = capsys.readouterr().out
     assert "no test 9" in out and "no such file" in out
+
+
+def test_sweep_queries_cover_the_grid(spark, tmp_path):
+    """All metrics and thresholds, each over all pairs; the four metrics that SQL gives come out alike in both queries."""
+    from kindred import params
+    from kindred.plans import catalog
+
+    names = ["Lake Red Point", "red lake point", "Réd Lake Point", "Old Mill Town", "Mill Town Old", "New Mill Town", "North Point"]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    run = lambda name: [r.asDict() for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+    rows = run("sweep_sorting")
+    assert {r["sort_thres"] for r in rows} == {0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85} and {r["method"] for r in rows} == set(params.EVALUATED)
+    assert all(r["tp"] + r["fn"] + r["fp"] + r["tn"] == 21 for r in rows)
+    assert {r["metric"] for r in run("sweep_weights")} == set(params.TERM_METRICS)
+    for case, metrics in (("basic", params.FEATURE_BASIC), ("sorted", params.FEATURE_SORTED)):
+        swept = run(f"sweep_threshold_{case}")
+        assert {(r["method"], r["thres"]) for r in swept} == {(m, t) for m in metrics for t in sweep.steps(0.3, 0.85)}
+        best = run(f"best_per_metric_{case}")
+        assert {r["method"]: r["accuracy"] for r in best} == {m: max(r["accuracy"] for r in swept if r["method"] == m) for m in metrics}
+    four = [r for r in run("sweep_threshold_basic") if r["method"] in catalog.NATIVE]
+    assert sorted(map(str, four)) == sorted(map(str, run("sweep_threshold")))
