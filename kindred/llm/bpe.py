@@ -1,24 +1,24 @@
 """Byte-level BPE encoding and decoding around one global shuffle of distinct words.
 
-Texts are cut into words (matches of the tokenizer's pattern) with their positions. Tasks gather documents
-into blocks, keep a block's distinct words once, and deal them out to buckets by hash, so that all blocks'
-copies of a word meet in one bucket and it is encoded there once. The ids go back to the blocks, which put
-them at the words' positions. A common word adds one entry a block to its bucket, however often it occurs.
-Decoding looks up the bytes of each id in the token-byte table, as small as the vocabulary.
-
-Defined results: a null text is empty and has no ids; rows that repeat or lack an id are encoded each; an
-empty table gives an empty result. Further columns of the input are ignored.
+Texts are exploded into words (matches of the tokenizer's pattern) with their positions. A task keeps the distinct
+words of a block of documents once and deals them out by hash, a row a bucket, so that a word's entries from all
+blocks meet in one partition, where it is encoded once. The ids go back to the blocks and are put at the words'
+positions. A common word adds one entry a block to its bucket, however often it occurs.
+Decoding joins the table of the tokens' bytes, as small as the vocabulary, and puts the bytes of each id in a row.
+
+Defined results: a null text is empty and has no ids; rows that repeat or lack an id are encoded each, so no tie
+arises; a text longer than a block makes a block of its own; an empty table gives an empty result. Further columns
+of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, table
+from .common import shared_path, small, table
 from .token_files import pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a block, more only if one document has more.
-BLOCK = 6_000_000
-BLOCKS = "block long, doc_ids array<long>, lengths array<int>, places array<binary>, words array<binary>"
+BLOCK = 24_000_000
+#: Words whose ids a task keeps, and words of documents that are put together at once.
+CACHE, AT_ONCE = 1_000_000, 500_000
 
 
 def ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -47,153 +48,157 @@ def encoding(path: str = RANKS):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def _packed(values: np.ndarray) -> list[bytes]:
-    """Unsigned 32-bit integers as compressed planes of bytes, the lowest first."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return [zlib.compress(planes[:, i].tobytes(), 1) for i in range(4)]
-
-
-def _unpacked(planes: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(zlib.decompress(p), np.uint8) for p in planes], axis=1).reshape(-1).view("<u4")
-
-
-def _strings(words: list[bytes]) -> bytes:
-    """Words, none of which is empty, with their lengths, compressed."""
-    return zlib.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 1)
-
-
-def _words(packed: bytes) -> list[bytes]:
-    raw = zlib.decompress(packed)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
-    starts = [4 * (n + 1), *ends[:-1].tolist()]
-    return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=False)]
+class Block:
+    """Documents, the places of their words, and the distinct words by buckets.
 
+    Word i of bucket b has the place i * buckets + b; frequent words come first in their bucket, so most places are small."""
 
-class Block:
-    """Documents, the places of their words in the list of distinct words, and that list, by buckets."""
+    SCHEMA = "block long, doc_ids array<long>, lengths array<int>, places array<int>, words array<array<string>>"
+    TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.string())))
 
-    def __init__(self, pattern, buckets: int):
-        self.find, self.buckets = pattern.findall, buckets
+    def __init__(self, find: Callable[[str], list[str]], buckets: int):
+        self.find, self.buckets = find, buckets
         self.doc_ids, self.lengths, self.parts, self.chars = [], [], [], 0
         self.words: dict[str, int] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def add(self, doc_id: int | None, text: str, cut) -> None:
-        pieces, known = cut(text), self.pieces
-        for p in set(pieces).difference(known):
-            words = self.words
+    def add(self, doc_id: int | None, text: str) -> None:
+        cut, known, words = pieces(text), self.pieces, self.words
+        for p in set(cut).difference(known):
             known[p] = np.array([words.setdefault(w, len(words)) for w in self.find(p)], "<u4").tobytes()
-        part = b"".join(map(known.__getitem__, pieces))
+        part = b"".join(map(known.__getitem__, cut))
         self.doc_ids.append(doc_id)
         self.lengths.append(len(part) // 4)
         self.parts.append(part)
         self.chars += len(text)
 
-    def row(self, block: int) -> tuple:
-        """The distinct words are listed bucket by bucket and by their bytes within; places follow that list."""
-        raw = [w.encode() for w in self.words]
-        bucket = np.array([xxhash.xxh32_intdigest(w) % self.buckets for w in raw], np.int64)
-        order = sorted(range(len(raw)), key=lambda i: (bucket[i], raw[i]))
-        at = np.empty(len(raw), np.uint32)
-        at[order] = np.arange(len(raw), dtype=np.uint32)
-        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets)).tolist()
-        listed = [raw[i] for i in order]
-        packed = [_strings(listed[a:b]) if b > a else None for a, b in zip([0, *ends], ends, strict=False)]
-        places = at[np.frombuffer(b"".join(self.parts), "<u4")] if raw else np.zeros(0, np.uint32)
-        return block, self.doc_ids, self.lengths, _packed(places), packed
+    def row(self, block: int) -> pa.RecordBatch:
+        self.pieces.clear()
+        numbers = np.frombuffer(b"".join(self.parts), "<u4")
+        place, lists, words = np.empty(len(self.words), np.int32), [[] for _ in range(self.buckets)], list(self.words)
+        for i in np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable").tolist():
+            bucket = xxhash.xxh32_intdigest(words[i]) % self.buckets
+            place[i] = len(lists[bucket]) * self.buckets + bucket
+            lists[bucket].append(words[i])
+        values = [block, self.doc_ids, self.lengths, place[numbers], lists]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, self.TYPES, strict=True)], ["block", "doc_ids", "lengths", "places", "words"])
 
 
 def _blocked(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, task, k = regex.compile(public_tokenizers.PATTERN), TaskContext.get().partitionId(), 0
-        cut = pieces
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
-        names = ["block", "doc_ids", "lengths", "places", "words"]
-
-        def out(b: Block) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(b.row((task << 32) + k), types, strict=True)], names)
-
-        block = Block(pattern, buckets)
-        for b in batches:
+        find, task, k = regex.compile(public_tokenizers.PATTERN).findall, TaskContext.get().partitionId(), 0
+        block = Block(find, buckets)
+        for b in small(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                block.add(doc_id, text or "", cut)
+                block.add(doc_id, text or "")
                 if block.chars >= BLOCK:
-                    yield out(block)
+                    yield block.row((task << 32) + k)
                     k += 1
-                    block = Block(pattern, buckets)
+                    block = Block(find, buckets)
         if block.doc_ids:
-            yield out(block)
+            yield block.row((task << 32) + k)
 
     return run
 
 
-def _encoded_words(path: str):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        """All blocks' words of one bucket: each distinct word is encoded once."""
-        encode, ids, out = encoding(path).encode_ordinary, {}, []
-        for packed in batch.words:
-            parts = []
-            for w in _words(packed):
-                if w not in ids:
-                    ids[w] = np.array(encode(w.decode()), "<u4").tobytes()
-                parts.append(ids[w])
-            lengths = np.array([len(p) // 4 for p in parts], "<u4")
-            out.append([b for x in (lengths, np.frombuffer(b"".join(parts), "<u4")) for b in _packed(x)])
-        return pd.DataFrame({"block": batch.block, "bucket": batch.bucket, "ids": out})
+def _encoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """counts and ids of the rows' words: all blocks' entries of a word are in one partition, and encoded once."""
+        encode, known = encoding(path).encode_ordinary, {}
+        for b in small(batches, 8):
+            words = b.column("words")
+            flat = words.flatten().to_pylist()
+            if len(known) > CACHE:
+                known.clear()
+            for w in set(flat).difference(known):
+                known[w] = np.array(encode(w), "<i4").tobytes()
+            ids = list(map(known.__getitem__, flat))
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((ends, counts.astype(np.int32)), (upto[ends], np.frombuffer(b"".join(ids), "<i4")))]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), *lists], ["block", "bucket", "counts", "ids"])
 
     return run
 
 
-def _reassembled(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one block: the ids of its words, bucket by bucket, at the words' places."""
-    rows = []
-    by_bucket = found.sort_values("bucket").ids.tolist()
-    lengths = np.concatenate([_unpacked(list(x[:4])) for x in by_bucket]) if by_bucket else np.zeros(0, "<u4")
-    raw = b"".join(_unpacked(list(x[4:])).tobytes() for x in by_bucket)
-    ends = (4 * np.cumsum(lengths, dtype=np.int64)).tolist()
-    words = np.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], object)
-    for b in blocks.itertuples():
-        places = _unpacked(list(b.places)).astype(np.int64)
-        at = 0
-        for doc_id, n in zip(b.doc_ids, b.lengths, strict=True):
-            rows.append((None if doc_id is None or doc_id != doc_id else int(doc_id), b"".join(words[places[at : at + n]])))
-            at += n
-    return pd.DataFrame(rows, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+def _numbers(column: pa.ChunkedArray, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def _documents(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, vocabulary: str) -> pa.RecordBatch:
+    """Rows of documents whose ids, one document after the other, end at `ends`."""
+    at = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.array(4 * np.concatenate([[0], ends]).astype(np.int32)).buffers()[1], pa.py_buffer(ids.astype("<i4", copy=False))])
+    names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(ends), np.int8)), pa.array([vocabulary])).dictionary_decode()
+    return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(at, pa.array(ids)), packed, names], ["doc_id", "ids", "packed", "vocabulary"])
+
+
+def _reassembled(buckets: int, vocabulary: str):
+    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        """The documents of one block: the ids of its words at the words' positions."""
+        out = [_documents(pa.array([], pa.int64()), np.zeros(0, np.int32), np.zeros(0, np.int64), vocabulary)]
+        counts = [_numbers(found.column("counts"), i) for i in range(found.num_rows)]
+        size = buckets * max(map(len, counts), default=0)
+        n, start, before = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
+        for i, bucket in enumerate(found.column("bucket").to_pylist()):
+            own = slice(bucket, bucket + buckets * len(counts[i]), buckets)
+            n[own] = counts[i]
+            start[own] = before + np.cumsum(counts[i]) - counts[i]
+            before += int(counts[i].sum())
+        ids = np.concatenate([np.zeros(0, np.int32), *(_numbers(found.column("ids"), i) for i in range(found.num_rows))])
+        for i in range(blocks.num_rows):
+            places, doc_ids = _numbers(blocks.column("places"), i), blocks.column("doc_ids")[i].values
+            last = np.cumsum(_numbers(blocks.column("lengths"), i), dtype=np.int64)
+            a = 0
+            while a < len(last):
+                before = int(last[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(last, before + AT_ONCE, side="right")))
+                p = places[before : last[b - 1]]
+                upto = np.cumsum(n[p])
+                total = int(upto[-1]) if len(p) else 0
+                part = ids[np.repeat(start[p] - upto + n[p], n[p]) + np.arange(total)]
+                ends = np.concatenate([[0], upto])[last[a:b] - before]
+                out.append(_documents(doc_ids.slice(a, b - a), part, ends, vocabulary))
+                a = b
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every document."""
+    """doc_id, ids (array of int), packed (the ids as little-endian unsigned 32-bit integers) and vocabulary of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocked(buckets), BLOCKS)
-    # Bucketed by block, the blocks need not move again when their ids come back.
-    cut.write.bucketBy(buckets, "block").option("path", shared_path(spark, name)).saveAsTable(name)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocked(buckets), Block.SCHEMA)
+    # Bucketed by block, the blocks need not move again when their ids come back. The table's name is needed for that alone.
+    cut.write.format("parquet").option("compression", "zstd").option("maxRecordsPerFile", 4).bucketBy(buckets, "block").option("path", shared_path(spark, name)).saveAsTable(name)
     blocks = spark.table(name)
-    words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.col("words").isNotNull())
-    found = words.groupBy("bucket").applyInPandas(_encoded_words(path), "block long, bucket int, ids array<binary>")
-    return blocks.select("block", "doc_ids", "lengths", "places").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_reassembled, "doc_id long, ids binary")
-
+    spark.sql(f"DROP TABLE {name}")
+    words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.size("words") > 0)
+    found = words.repartition(buckets, "bucket").mapInArrow(_encoded(path), "block long, bucket int, counts array<int>, ids array<int>")
+    known = blocks.select("block", "doc_ids", "lengths", "places").groupBy("block").cogroup(found.groupBy("block"))
+    return known.applyInArrow(_reassembled(buckets, os.path.basename(path)), "doc_id long, ids array<int>, packed binary, vocabulary string")
 
-def _decoded(path: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = {i: b for b, i in ranks(path).items()}.__getitem__
-        for ids in batches:
-            yield pd.Series([b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in ids])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "binary")
+def token_bytes(spark: SparkSession, path: str = RANKS) -> DataFrame:
+    """vocabulary, token and bytes: a row a token."""
+    rows = [(os.path.basename(path), i, bytearray(b)) for b, i in ranks(path).items()]
+    return spark.createDataFrame(rows, "vocabulary string, token int, bytes binary")
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
-    """encoded with decoded (binary) added: the bytes of its ids."""
-    return encoded.withColumn("decoded", _decoded(path)("ids"))
+    """encoded with decoded (binary) added: the bytes of its ids. Ids run from 0 to the size of the vocabulary."""
+    rows = token_bytes(encoded.sparkSession, path).groupBy("vocabulary").agg(F.sort_array(F.collect_list(F.struct("token", F.col("bytes").cast("string").alias("bytes"))))["bytes"].alias("bytes_of"))
+    joined = encoded.join(F.broadcast(rows.withColumnRenamed("vocabulary", "of")), F.col("vocabulary") == F.col("of"))
+    # Strings carry any bytes; they are joined as they are.
+    decoded = F.array_join(F.transform("ids", lambda i: F.col("bytes_of")[i]), "").cast("binary")
+    return joined.select(*encoded.columns, decoded.alias("decoded"))
 
 
 def digest(decoded: DataFrame, *more: str) -> DataFrame:
-    return decoded.select("doc_id", *more, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +29,11 @@ _own: dict[str, str] = {}
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is missing, as in tests on one machine, a temporary folder stands in for it."""
+    Where the setting is missing, a temporary folder stands in for it on one machine; a cluster must have it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _own.get("root")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _own["root"] = tempfile.mkdtemp(prefix="kindred-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -48,9 +53,11 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long: Python workers get at most so many rows at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: texts can be long, and Python's copies of them take more room than Arrow's."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def held_out(doc_id: Column) -> Column:

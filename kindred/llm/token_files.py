@@ -5,12 +5,14 @@ run-length encoding, stripes can be read in parallel, and row indexes and Bloom
 reader skip what it does not ask for. Offsets are summed up from what the files hold.
 
 Defined results: a null text is empty and has the end id alone; a null id comes first; rows that share an id
-stand in the order of their texts' hashes; an empty table gives an empty result. Further columns are ignored.
+stand in the order of their texts' hashes (rows that tie in these too are equal); a very long text is encoded whole,
+as one row; an empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, shared_path, small_batches, table, written
+from .common import bounded_broadcast, shared_path, small, table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -34,6 +36,11 @@ FILE = "doc_id long, part int, seq long, ids array<int>"
 #: White space other than spaces and line feeds; one of these between two other characters.
 ODD_SPACE = re.compile(r"[^\S \n]")
 CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
+#: Byte-level models write each byte as a letter: a printable one as itself, the others as those from U+0100 up, in order.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_others = iter(range(0x100, 0x200))
+BYTE_LETTERS = [chr(b if b in PRINTED else next(_others)) for b in range(256)]
+SPACE = BYTE_LETTERS[0x20]
 
 
 def pieces(text: str) -> list[str]:
@@ -67,10 +74,18 @@ class Encoder:
         self.ids: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        """A piece of letters alone, with or without a space before them, is one match, and goes to the model directly."""
+        tokenize, of, rest = self.tokenizer.model.tokenize, BYTE_LETTERS.__getitem__, []
+        for p in new:
+            if (p[1:] if p[0] == " " else p).isalpha():
+                ids = [t.id for t in tokenize((SPACE + p[1:] if p[0] == " " else p) if p.isascii() else "".join(map(of, p.encode())))]
+                self.ids[p] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[p] = np.array(e.ids, "<u4").tobytes()
+                self.ids[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
@@ -104,7 +119,7 @@ def _encoded(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own, seq, end = encoder(path), 0, np.array([END], "<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             ids = [x + end for x in own.encode([t or "" for t in b.column("text").to_pylist()])]
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=at[1:])
@@ -118,7 +133,6 @@ def _encoded(path: str):
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     """The ids of all documents as ORC files at path, in the order of doc_id."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     encoded = ordered.mapInArrow(_encoded(tokenizer), "doc_id long, seq long, ids array<int>")
