@@ -67,6 +67,20 @@ def test_large_groups_meet_in_blocks(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in dedup.link(documents(spark, rows)).collect()} == want
 
 
+def test_rows_that_share_an_id_and_differ_in_text(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    a, b, c = ([word() for _ in range(120)] for _ in range(3))
+    near = lambda t: " ".join([*t[:60], "new", *t[61:]])
+    rows = [(7, " ".join(a), "en", "s", 0), (7, " ".join(b), "en", "s", 0), (9, near(b), "en", "s", 0), (8, near(a), "en", "s", 0), (8, " ".join(c), "en", "s", 0), (9, near(c), "en", "s", 0), (7, near(b), "en", "s", 0)]
+    for order in (rows, rows[::-1]):
+        out = dedup.link(documents(spark, order).repartition(3)).collect()
+        assert sorted((x.doc_id, x.component_id) for x in out) == [(7, 7), (7, 7), (7, 7), (8, 7), (8, 8), (9, 7), (9, 8)]
+        kept = [(x.doc_id, x.text) for x in dedup.deduplicated(documents(spark, order)).collect()]
+        # One of each group: a's, b's and c's, of the smallest id.
+        assert sorted(i for i, _ in kept) == [7, 7, 8] and (8, " ".join(c)) in kept and (7, " ".join(a)) in kept
+
+
 def test_odd_rows(spark):
     out = dedup.link(documents(spark)).collect()
     assert len(out) == len(ODD)
