@@ -6,15 +6,18 @@ with a chance of about 1e-4, and more similar ones less. With no more than error
 one chunk at least has at most one (pigeonhole): enumerating its place, each chunk gives `wide` keys of the
 values left. So all pairs within the distance share a key. A Layout holds these numbers for a threshold.
 
-Documents with equal sets are one class. In a key's group members are compared with its smallest and its
+Documents with equal sets are one class, numbered when the classes are written; its text is that of its smallest row by
+id and text hash, so that rows that share an id and differ in text are told apart. In a key's group members are compared with its smallest and its
 largest. Where these links leave several components, the groups of one smallest member are taken together,
 cut into blocks of BLOCK members, and blocks are met two by two: first by signatures, which leaves the members
 with a near partner in another component, then by their full sets. Only links come out, no more than join the
 components. No group is ever gathered in one task, and every link is confirmed on full sets.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts of fewer words
-than a shingle have one; rows that repeat are linked; rows without an id belong to the component of their
-set, if it has an id; an empty table gives an empty result. Further columns are ignored.
+than a shingle have one; a very long text is hashed whole, and compared by its whole set; rows that repeat are linked;
+rows that share an id and differ in text each belong to the component of their own text; rows without an id belong to
+the component of their set, if it has an id; of a group's documents the smallest id stays, and where several rows have
+it, that of the smallest text hash; an empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, small_batches, table, written
+from .common import bounded_broadcast, small, table, written
 
 SHINGLE = 5
 #: Members of a block, on average.
-BLOCK = 400
+BLOCK = 200
 #: Ids (8 bytes each) that are broadcast at most, so that not all texts are shuffled where few are asked for.
 IDS = 200_000
 
@@ -56,13 +60,13 @@ class Layout(NamedTuple):
 #: A pair at the threshold is missed with a chance of 1.6e-4 (21 of 66 values may differ) and 1.0e-4 (27 of 70).
 AT_85, AT_80 = Layout(85, 11, 6), Layout(80, 14, 5)
 #: Words whose hashes a task keeps.
-CACHE = 1_500_000
+CACHE = 300_000
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(0, 2**63, AT_85.values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDER = _random.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Those that longer signatures have besides.
 FACTORS = np.concatenate([FACTORS, _random.integers(0, 2**63, AT_80.values - AT_85.values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
-SIGNED = "doc_id long, n_shingles long, hi long, lo long, sig binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, hi long, lo long, sig binary"
 
 
 class Hashes(dict):
@@ -98,15 +102,19 @@ def signature(h: np.ndarray, values: int) -> np.ndarray:
 
 
 def _signed(layout: Layout) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Hashes()
-        for b in batches:
-            rows = []
-            for t in b.text:
-                h = shingles(t, of)
+        for b in small(batches):
+            sizes, his, los, sigs = [], [], [], []
+            for t in b.column("text"):
+                h = shingles(t.as_py(), of)
                 both = xxhash.xxh3_128_digest(h.tobytes())
-                rows.append((len(h), int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True), signature(h, layout.values).tobytes() if len(h) else None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "hi", "lo", "sig"]).assign(doc_id=b.doc_id.to_numpy())[["doc_id", "n_shingles", "hi", "lo", "sig"]]
+                sizes.append(len(h))
+                his.append(int.from_bytes(both[:8], "little", signed=True))
+                los.append(int.from_bytes(both[8:], "little", signed=True))
+                sigs.append(signature(h, layout.values).tobytes() if len(h) else None)
+            columns = [b.column("doc_id"), b.column("text_hash"), *(pa.array(x, pa.int64()) for x in (sizes, his, los)), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "hi", "lo", "sig"])
 
     return run
 
@@ -231,16 +239,20 @@ def _joining(layout: Layout) -> Callable:
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def signed(docs: DataFrame, layout: Layout) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (a fingerprint of the set) and sig of every document."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_signed(layout), SIGNED)
+    """doc_id, text_hash, n_shingles, hi and lo (a fingerprint of the set) and sig of every document."""
+    return keyed(docs).mapInArrow(_signed(layout), SIGNED)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents with the given ids; if rows share an id, the smallest of their texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(bounded_broadcast(ids, IDS), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+def texts_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid and text of the classes with the given numbers (column id)."""
+    of = written(classes.join(nodes, F.col("cid") == F.col("id")).select("cid", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")), "dedup-ids")
+    found = keyed(docs).join(bounded_broadcast(of, IDS), (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    return found.select("cid", "text").dropDuplicates(["cid"])
 
 
 def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
@@ -251,8 +263,8 @@ def join_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, docs
     own = member.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig")
     hope = written(met.groupBy("leader", "i", "j").applyInPandas(_hopeful(layout), "leader long, i int, j int, own int, cid long, comp long"), "dedup-hope")
-    texts = texts_of(docs, written(hope.select(F.col("cid").alias("id")).distinct(), "dedup-ids"))
-    return hope.join(texts, F.col("cid") == F.col("doc_id")).select("leader", "i", "j", "own", "cid", "comp", "text").groupBy("leader", "i", "j").applyInPandas(_joining(layout), "a long, b long")
+    texts = texts_of(docs, hope.select(F.col("cid").alias("id")).distinct(), classes)
+    return hope.join(texts, "cid").select("leader", "i", "j", "own", "cid", "comp", "text").groupBy("leader", "i", "j").applyInPandas(_joining(layout), "a long, b long")
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, layout: Layout) -> DataFrame:
@@ -260,10 +272,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, layout: Layou
     sigs = classes.select("cid", "sig")
     both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = written(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(layout), "a long, b long"), "dedup-near")
-    ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "dedup-ids")
-    texts = written(texts_of(docs, ids), "dedup-texts")
-    with_a = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed(layout), "a long, b long"), "dedup-links")
+    texts = written(texts_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), classes), "dedup-texts")
+    with_a = near.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    return written(with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed(layout), "a long, b long"), "dedup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,33 +294,50 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, layout: Layout = AT_85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def linked(docs: DataFrame, layout: Layout) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group (a number, null without words), component_id and kept of every document."""
     rows = written(signed(docs, layout), "dedup-signed")
-    classes = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig")), "dedup-classes")
-    keyed = classes.select("cid", "sig").mapInPandas(_keyed(layout), "key long, cid long")
-    shared = keyed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    groups = written(keyed.join(shared, "key"), "dedup-groups")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "hi", "lo").agg(first, F.min("sig").alias("sig"))
+    # Written once, the numbers stay as they are.
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "n_shingles", "hi", "lo", "row.doc_id", "row.text_hash", "sig"), "dedup-classes")
+    keys = classes.select("cid", "sig").mapInPandas(_keyed(layout), "key long, cid long")
+    shared = keys.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    groups = written(keys.join(shared, "key"), "dedup-groups")
     star = groups.select(F.col("first").alias("a"), F.col("cid").alias("b")).union(groups.select(F.col("cid").alias("a"), F.col("last").alias("b"))).filter("a < b").distinct()
     links = confirm(star, classes, docs, layout)
     comp = components(links)
 
     links = written(links.union(join_components(groups, comp, classes, docs, layout)).distinct(), "dedup-all-links")
-    comp = components(links)
-    of_class = classes.drop("sig").join(comp, F.col("cid") == F.col("node"), "left").select(F.struct("n_shingles", "hi", "lo").alias("set"), F.coalesce("comp", "cid").alias("comp"))
-    out = rows.select("doc_id", "n_shingles", F.struct("n_shingles", "hi", "lo").alias("set")).join(of_class, "set", "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    comp = written(components(links), "dedup-components")
+    least = comp.join(classes.select("cid", "doc_id"), F.col("node") == F.col("cid")).groupBy("comp").agg(F.min("doc_id").alias("least"))
+    labels = comp.join(least, "comp")
+    of_class = classes.join(labels, F.col("cid") == F.col("node"), "left").select(F.struct("n_shingles", "hi", "lo").alias("set"), F.coalesce("comp", "cid").alias("group"), F.coalesce("least", "doc_id").alias("least"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", F.struct("n_shingles", "hi", "lo").alias("set")).join(of_class, "set", "left")
+    component = F.coalesce("least", "doc_id")
+    return out.select("doc_id", "text_hash", "n_shingles", "group", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def link(docs: DataFrame, layout: Layout = AT_85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return linked(docs, layout).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame, layout: Layout = AT_85) -> DataFrame:
-    """The documents that link() keeps, with their own columns; of rows that share id and text, one."""
-    kept = written(link(docs, layout).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "dedup-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
-    if not kept.filter("n > 1").limit(1).count():
+    """One document of each group, and those without words, with their own columns; of rows that share id and text, one."""
+    rows = written(linked(docs, layout), "dedup-linked")
+    # Which of its rows a group keeps matters only where rows that share an id differ in text.
+    several = rows.filter(F.col("kept") & F.col("group").isNotNull()).groupBy("group").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).filter("low < high").select(F.col("group").alias("of"), "low")
+    ranked = rows.join(bounded_broadcast(written(several, "dedup-several")), F.col("group") == F.col("of"), "left").withColumn("kept", F.col("kept") & F.coalesce(F.col("text_hash") == F.col("low"), F.lit(True)))
+    status = written(ranked.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "dedup-dropped")
+    same = lambda d: d.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(d.text) == F.col("__hash"))
+    of = lambda s: s.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    out = docs.join(bounded_broadcast(of(status.filter("NOT kept")), IDS), same(docs), "left_anti")
+    again = status.filter("kept")
+    if not again.limit(1).count():
         return out
-    again = kept.filter("n > 1").select(F.col("doc_id").alias("__id"))
-    return out.join(again, out.doc_id.eqNullSafe(F.col("__id")), "left_anti").unionByName(out.join(again, out.doc_id.eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = bounded_broadcast(of(again), IDS)
+    return out.join(again, same(out), "left_anti").unionByName(out.join(again, same(out), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
