@@ -32,7 +32,7 @@ from .token_files import pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a block, more only if one document has more.
-BLOCK = 24_000_000
+BLOCK = 32_000_000
 #: Words whose ids a task keeps, and words of documents that are put together at once.
 CACHE, AT_ONCE = 1_000_000, 500_000
 

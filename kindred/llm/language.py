@@ -6,7 +6,7 @@ A text's bits are counted by language; the share that false positives add, known
 is, is taken off; the largest corrected count decides, ties to the language first in code-point order.
 
 Defined results: a null text and one without a letter get `und` and score 0; so does every text if nothing
-could be learnt; a null language is not learnt; rows that repeat are predicted each; an empty table gives an
+could be learnt; a very long text is counted whole, in chunks; a null language is not learnt; rows that repeat are predicted each; an empty table gives an
 empty result. Further columns are ignored.
 """
 
@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, table, written
+from .common import bounded_broadcast, held_out, table, written
 
 #: Characters of an n-gram, and documents of a language that it is learnt from at most: those with the smallest hash of their id.
 SIZES, SAMPLE = (3, 4), 2000
 #: n-grams of a language that its filter gets at most, and the least share of its n-grams and of its documents that each must be.
 GRAMS, LEAST, IN_DOCS = 20_000, 1e-6, 0.002
+#: Values that ids are hashed to when the sample is drawn.
+SPREAD = 1 << 30
 #: Places of the table (a power of two) and lookups an n-gram.
 PLACES, PROBES = 1 << 20, 3
-#: Languages in all, at most: those with the most documents.
-LANGUAGES = 256
+#: n-grams of all languages' filters together, at most: with very many languages each gets fewer of them.
+ALL_GRAMS = 5_000_000
 #: Characters that are hashed at once.
 CHUNK = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -111,19 +113,25 @@ class Filters:
 def train(docs: DataFrame) -> Filters:
     """Filters from SAMPLE documents a language outside the held-out fifth at most.
 
-    What comes to the driver is bounded: LANGUAGES languages of GRAMS n-grams."""
+    Every language is learnt. What comes to the driver is bounded by ALL_GRAMS n-grams and a row a language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    # A row a language. The hashes of a frequent language's ids are held below a bound that leaves about twice the sample:
+    # no task ranks more of a language than that.
+    size = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = size.count()
     if not langs:
         return Filters({})
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").filter(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).select(F.col("doc_id").alias("of"))
-    # At most LANGUAGES * SAMPLE ids.
-    sample = rows.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("of")).select("lang", "text")
+    bound = size.select(F.col("lang").alias("of_lang"), F.least(F.lit(float(SPREAD)), F.lit(float(SPREAD) * (2 * SAMPLE + 200)) / F.col("n")).alias("bound"))
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    drawn = hashed.join(bounded_broadcast(written(bound, "lang-bounds")), F.col("lang") == F.col("of_lang")).filter(F.pmod("h", F.lit(SPREAD)) < F.col("bound"))
+    first = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPREAD)), "h", "doc_id")
+    ids = written(drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang")).distinct(), "lang-sample")
+    sample = rows.join(bounded_broadcast(ids, 1_000_000), (F.col("doc_id") == F.col("of")) & (F.col("lang") == F.col("of_lang"))).select("lang", "text")
+    each = max(1, min(GRAMS, ALL_GRAMS // langs))
     counted = written(sample.repartition(64).mapInPandas(_counted, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "lang-grams")
     every = counted.groupBy("lang").agg(F.sum("n").alias("all"), F.max("docs").alias("most"))
     top = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.join(F.broadcast(every), "lang").filter((F.col("n") >= F.greatest(F.lit(2), LEAST * F.col("all"))) & (F.col("docs") >= IN_DOCS * F.col("most"))).withColumn("k", F.row_number().over(top)).filter(F.col("k") <= GRAMS)
+    kept = counted.join(bounded_broadcast(every), "lang").filter((F.col("n") >= F.greatest(F.lit(2), LEAST * F.col("all"))) & (F.col("docs") >= IN_DOCS * F.col("most"))).withColumn("k", F.row_number().over(top)).filter(F.col("k") <= each)
     grams = kept.select("lang", "gram").toPandas()
     return Filters({lang: g.to_numpy(np.int64) for lang, g in grams.groupby("lang").gram})
 

@@ -5,8 +5,8 @@ by the next digits, and again by whole keys. A document is then taken if its key
 threshold: a filter, without sorting the documents.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of
-size 0 take nothing; rows that repeat in doc_id and text have one key and are taken together; an empty table
-gives an empty result. Further columns of the input are ignored.
+size 0 take nothing; a very long document at its source's threshold is taken if half of it or more fits; rows that
+repeat in doc_id and text have one key (a tie) and are taken together; an empty table gives an empty result. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -87,11 +87,13 @@ def _planned(sizes: DataFrame, weights, share, limit) -> DataFrame:
     """of (the source), source_size, target, whole and threshold: a row a source."""
     goals = written(targets(sizes, weights, share, limit), "mix-goals")
     cut = written(thresholds(sizes, goals), "mix-cuts")
-    return bounded_broadcast(goals.join(cut, goals.source.eqNullSafe(cut.of), "left").select(goals.source.alias("of"), "source_size", "target", "whole", "threshold"))
+    return bounded_broadcast(goals.join(cut, goals.source.eqNullSafe(cut.of), "left").select(goals.source.alias("of"), "source_size", "target", "whole", "rest", "threshold"))
 
 
-def _copies(key):
-    return (F.col("whole") + F.when(key <= F.col("threshold"), 1).otherwise(0)).cast("int")
+def _copies(key, of: str = ""):
+    """Where nothing is left beyond the whole copies, no key is taken, be its document empty or not: copies are 2 at most."""
+    more = (F.col(f"{of}rest") > 0) & (key <= F.col(f"{of}threshold"))
+    return (F.col(f"{of}whole") + F.when(more, 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame:
@@ -106,9 +108,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame:
     """The rows of docs as the mix takes them, with their own columns: each as often as mix() has copies of it."""
-    plan = _planned(written(sized(docs), "mix-sizes"), weights, share, limit).select(F.struct("of", "whole", "threshold").alias("__plan"))
+    plan = _planned(written(sized(docs), "mix-sizes"), weights, share, limit).select(F.struct("of", "whole", "rest", "threshold").alias("__plan"))
     joined = docs.join(plan, docs.source.eqNullSafe(F.col("__plan.of")))
-    copies = (F.col("__plan.whole") + F.when(_key() <= F.col("__plan.threshold"), 1).otherwise(0)).cast("int")
+    copies = _copies(_key(), "__plan.")
     return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
 
 

@@ -1,11 +1,13 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids are fitted on a bounded sample and linked to a graph, which tasks keep in memory and search from
+Centroids are fitted on a bounded sample, lists that hold far more of it than others are split in two again and again,
+and the centroids are linked to a graph, which tasks keep in memory and search from
 neighbour to neighbour. Every vector goes to the list of its nearest centroid and, near a boundary, to those
 of other centroids about as near. Long lists are split by hash into parts of bounded size. A query visits
 all lists whose centroid is at most RATIO times as far as its nearest one: many where distances are alike,
-few where they differ. Where these lists are the homes of no more than k vectors, it visits those within RATIO of the
-centroid at which more than k are reached. Lists are met with blocks of queries; distances are exact.
+few where they differ. Where these lists are the homes of less than HOMED vectors, it visits those within RATIO of the
+centroid at which so many are reached. A part of a list meets the queries that visit it, in as many blocks as they
+need and no more; distances are exact.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from
 the most common length (the smallest of those most common) take no part, nor do rows without an id; rows that
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, table, written
 
 #: Vectors that centroids are fitted on, at most: those with the smallest hash of their id.
-SAMPLE = 20_000
-#: Vectors for each centroid, and centroids, at most.
-LIST, CENTROIDS = 250, 2048
+SAMPLE = 40_000
+#: Vectors for each centroid, and centroids, at most; how many times the average a list may hold of the sample.
+LIST, CENTROIDS, HEAVY = 250, 8192, 2.0
 #: Lists of a vector, at most, and how much further than the nearest their centroids may be.
 COPIES, BOUNDARY = 6, 1.06
 #: How much further than the nearest a visited list's centroid may be.
 RATIO = 1.12
+#: Vectors that the lists which a query visits are the homes of, at least (more than k in any case).
+HOMED = 1000
 #: Rows of a part of a list and queries of a block, on average.
 PART, QUERIES = 4000, 4000
 #: Links of a centroid, and centroids that a search keeps in view at least.
@@ -53,8 +57,9 @@ class Centroids:
 
     def __init__(self, c: np.ndarray, seed: int = 5):
         self.c, n = c, len(c)
-        d = ((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T) if n <= 4096 else None
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : LINKS + 1]
+        squares = (c * c).sum(1)
+        # A few hundred centroids are compared with all others at once.
+        near = np.concatenate([np.argsort(squares - 2 * part @ c.T, axis=1, kind="stable")[:, : LINKS + 1] for part in np.array_split(c, -(-n // 500))])
         ring = np.random.default_rng(seed).permutation(n)
         after = np.empty(n, int)
         after[ring] = np.roll(ring, -1)
@@ -107,6 +112,44 @@ class Centroids:
         return self.search(x, BOUNDARY)[0][:COPIES].tolist()
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The centroid of each vector."""
+    return np.concatenate([((c * c).sum(1) - 2 * part @ c.T).argmin(1) for part in np.array_split(x, -(-len(x) // 2000))])
+
+
+def lloyd(x: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
+    for _ in range(rounds):
+        own = nearest(x, c)
+        count = np.bincount(own, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
+    return c
+
+
+def balanced(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """c, with centroids of more than HEAVY times the average number of vectors replaced by two of their own.
+
+    Equal vectors can't be parted: their list is split by hash only, see PART."""
+    own, most = nearest(x, c), HEAVY * len(x) / len(c)
+    lists = [(c[i], x[own == i]) for i in range(len(c))]
+    out = []
+    while lists:
+        centre, members = lists.pop()
+        halves = None
+        if len(members) > max(most, 1):
+            far = members[((members - members[0]) ** 2).sum(1).argmax()]
+            two = lloyd(members, np.array([members[0], far]), 4)
+            side = nearest(members, two)
+            if 0 < side.sum() < len(members):
+                halves = [(two[i], members[side == i]) for i in (0, 1)]
+        if halves:
+            lists += halves
+        else:
+            out.append(centre)
+    return np.array(out)
+
+
 def fit(vectors: DataFrame, seed: int = 3) -> Centroids | None:
     """Centroids by Lloyd's method on at most SAMPLE vectors, which come to the driver."""
     n = vectors.count()
@@ -115,14 +158,7 @@ def fit(vectors: DataFrame, seed: int = 3) -> Centroids | None:
         return None
     x = np.array(sample.tolist(), float)
     k = int(min(max(1, n // LIST), CENTROIDS, max(1, len(x) // 4)))
-    c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
-    for _ in range(8):
-        own = np.concatenate([((c * c).sum(1) - 2 * part @ c.T).argmin(1) for part in np.array_split(x, -(-len(x) // 2000))])
-        count = np.bincount(own, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
-    return Centroids(c)
+    return Centroids(balanced(x, lloyd(x, x[np.random.default_rng(seed).choice(len(x), k, replace=False)], 8)))
 
 
 def index(vectors: DataFrame, centroids: Centroids) -> DataFrame:
@@ -171,7 +207,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
     if centroids is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = written(index(vectors, centroids), "ann-lists")
-    n_blocks = max(1, -(-queries.count() // QUERIES))
     # As many rows as centroids.
     parts = written(lists.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count_if("home").alias("homed")), "ann-parts")
     homed = np.zeros(len(centroids.c), int)
@@ -181,14 +216,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            near = [model.value[0].visited(np.asarray(v, float), ratio, model.value[1], k + 1) for v in b.embedding]
+            near = [model.value[0].visited(np.asarray(v, float), ratio, model.value[1], max(HOMED, k + 1)) for v in b.embedding]
             at = np.repeat(np.arange(len(b)), [len(x) for x in near])
             yield pd.DataFrame({"list": np.concatenate(near) if near else [], "query_id": b.vec_id.to_numpy()[at], "embedding": b.embedding.to_numpy()[at]})
 
-    asked = queries.mapInPandas(visits, "list int, query_id long, embedding array<double>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    asked = asked.join(F.broadcast(parts.drop("homed")), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "query_id", "embedding")
-    sizes = parts.select(F.col("list").alias("of"), F.col("parts").alias("n"))
-    held = lists.join(F.broadcast(sizes), F.col("list") == F.col("of")).select("list", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "embedding")
+    asked = queries.mapInPandas(visits, "list int, query_id long, embedding array<double>")
+    asked = written(asked, "ann-visits")
+    # Rows a list again: how many parts it has, and how many blocks of queries visit it.
+    sizes = written(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(parts.drop("homed"), "list"), "ann-sizes")
+    sizes = F.broadcast(sizes.withColumnRenamed("list", "of"))
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
+    asked = asked.join(sizes, F.col("list") == F.col("of")).select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"), "query_id", "embedding")
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    held = lists.join(sizes, F.col("list") == F.col("of")).select("list", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "embedding")
     key = ["list", "part", "block"]
     found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     w = W.partitionBy("query_id").orderBy("score", "vec_id")

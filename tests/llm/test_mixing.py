@@ -49,6 +49,14 @@ def test_odd_rows(spark):
     assert mixed.columns == documents(spark).columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_two_copies_at_most(spark):
+    """Empty documents of a source at its limit are no more than twice in the mix, as its other documents are."""
+    rows = [(i, "" if i % 2 else "w " * 3, "en", "small", 0) for i in range(40)] + [(100 + i, "w " * 50, "en", "zlarge", 0) for i in range(40)]
+    out = mixing.mix(documents(spark, rows)).collect()
+    assert {r.copies for r in out if r.source == "small"} == {2} and max(r.copies for r in out) <= 2
+    assert mixing.mixed_documents(documents(spark, rows)).count() == sum(r.copies for r in out)
+
+
 def test_empty(spark):
     assert mixing.mix(documents(spark, [])).collect() == []
     assert mixing.mixed_documents(documents(spark, [])).collect() == []

@@ -57,6 +57,30 @@ def test_visited_lists_hold_enough():
     assert c.visited(np.zeros(2), 1.12, np.array([1, 1, 1, 1, 1]), 11).tolist() == [0, 1, 2, 3, 4]
 
 
+def test_recall_without_structure(spark):
+    """Vectors of no structure at all, and of all in one clump but a few."""
+    r = np.random.default_rng(11)
+    for x in (r.normal(size=(4000, 32)), np.concatenate([0.01 * r.normal(size=(3800, 16)), r.normal(size=(200, 16))])):
+        vectors = neighbours.valid(frame(spark, list(enumerate(x.tolist())))).cache()
+        out = neighbours.search(vectors, vectors.filter("vec_id % 100 = 0")).toPandas()
+        y = x.astype(np.float32).astype(float)
+        hit = 0
+        for q in range(0, len(x), 100):
+            d = ((y - y[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hit += len({*np.argsort(d)[:10]} & {*out[out.query_id == q].vec_id})
+        assert len(out) == len(x) // 10 and hit >= 0.9 * len(out)
+
+
+def test_lists_are_balanced():
+    r = np.random.default_rng(2)
+    x = np.concatenate([0.01 * r.normal(size=(3600, 8)), r.normal(size=(400, 8)), np.ones((500, 8))])
+    c = neighbours.lloyd(x, x[r.choice(len(x), 20, replace=False)], 8)
+    count = lambda c: np.bincount(neighbours.nearest(x, c), minlength=len(c))
+    after = count(neighbours.balanced(x, c))
+    assert count(c).max() > 2 * 2 * len(x) / 20 and (np.sort(after)[:-1] <= 2.2 * len(x) / 20).all()  # the copies stay together
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1, 2]), (0, [1, 2]), (1, None), (2, [0, 0]), (3, [1, None]), (4, [float("nan"), 1]), (5, [float("inf"), 1]), (6, [1, 2, 3]), (None, [3, 3]), (7, [1, 3]), (100, [1, 3]), (8, [])]
     vectors = neighbours.valid(frame(spark, rows))
@@ -67,9 +91,10 @@ def test_odd_vectors(spark):
     assert neighbours.search(empty, empty).collect() == []
 
 
-def test_hamming_is_exact(spark):
-    x = made(1200, hamming.BITS, 3)
-    rows = [*enumerate(x.tolist()), (5000, None), (None, [1.0] * 64), (5001, [1.0] * 3), (5002, [None] * 64), (0, x[0].tolist())]
+@pytest.mark.parametrize("bits", [64, 150, 20])
+def test_hamming_is_exact(spark, bits):
+    x = made(1200, bits, 3)
+    rows = [*enumerate(x.tolist()), (5000, None), (None, [1.0] * bits), (5001, [1.0] * 3), (5002, [None] * bits), (0, x[0].tolist())]
     codes = hamming.codes(frame(spark, rows))
     out = hamming.search(codes, codes.filter("vec_id % 100 = 0"), block=5).toPandas()
     bits = x > 0
