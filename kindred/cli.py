@@ -31,6 +31,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--case", default="basic", choices=["basic", "sorted", "terms"])
     p.add_argument("--test-dataset", help="pairs that classifiers are tried on; a fifth of the dataset if missing")
     p.add_argument("--terms", help="pattern of frequent-term files")
+    p.add_argument("--trees", type=int, help="trees of forests and rounds of boosting, if not the tuned numbers")
+    p.add_argument("--iterations", type=int, default=300, help="settings that a random search draws for each classifier")
+    p.add_argument("--metric", default="jaccard", choices=params.EVALUATED, help="the metric that --cmp looks at in two files")
+    p.add_argument("--timing", action="store_true", help="seconds by metric")
     p.add_argument("--output", default="output")
     p.add_argument("--version", action="version", version=VERSION)
     return p
@@ -41,15 +45,21 @@ def frequent(spark: SparkSession, a) -> list[str]:
     return [r["term"] for r in files.frequent_terms(spark, a.terms).filter("gram_type = 'tokens'").orderBy("rank").collect()] if a.terms else []
 
 
-def compared(spark: SparkSession, paths: list[str]) -> None:
+def compared(spark: SparkSession, a, paths: list[str]) -> None:
     if len(paths) == 2:
         keyed = [files.read_decisions(spark, x).withColumn("pair_id", pair_id("a", "b")) for x in paths]
-        wrong = keyed[0].select("pair_id", F.col("a").alias("s1"), F.col("b").alias("s2"), (F.col("real") == "TRUE").alias("res1")).join(keyed[1].select("pair_id", (F.col("jaccard") == "TRUE").alias("res2")), "pair_id")
-        compare.false_negatives_positives(wrong).show(50, truncate=False)
+        wrong = keyed[0].select("pair_id", F.col("a").alias("s1"), F.col("b").alias("s2"), (F.col("real") == "TRUE").alias("res1")).join(keyed[1].select("pair_id", (F.col(a.metric) == "TRUE").alias("res2")), "pair_id")
+        found = compare.false_negatives_positives(wrong)
+        for kind, name in (("FN", "false_negatives"), ("FP", "false_positives")):
+            files.write_tsv(found.filter(F.col("kind") == kind).select("s1", "s2"), f"{a.output}/{name}")
+        found.groupBy("kind").count().show()
     elif len(paths) == 3:
         as_bool = lambda df: df.select(pair_id("a", "b").alias("pair_id"), (F.col("real") == "TRUE").alias("res"), *((F.col(m) == "TRUE").alias(m) for m in params.EVALUATED))
         first, second = (as_bool(files.read_decisions(spark, x)) for x in paths[1:])
-        compare.regressions(first, second, list(params.EVALUATED)).groupBy("metric").count().show()
+        found = compare.regressions(first, second, list(params.EVALUATED))
+        named = files.read_decisions(spark, paths[2]).select(pair_id("a", "b").alias("pair_id"), F.col("real").alias("res"), F.col("a").alias("transformed_s1"), F.col("b").alias("transformed_s2"))
+        files.write_tsv(compare.true_first(found.join(named, "pair_id").select("metric", "res", "transformed_s1", "transformed_s2"), "transformed_s1", "transformed_s2"), f"{a.output}/regressions", by="metric")
+        found.groupBy("metric").count().show()
         print("pairs of unequal truth:", compare.inconsistent(first, second).count())
     else:
         print("--cmp takes two or three files")
@@ -71,13 +81,30 @@ def learnt(spark: SparkSession, a, pairs) -> None:
     if a.fs:
         names = ml.strongest(train, names, "rf") if a.fs == "sfm" else ml.eliminate(train, names, "rf", cross_validated=False)[0]
     algorithms = a.ml.split(",")
+    wanted = ml.chosen(algorithms, len(names), a.trees)
     if a.ev == "customExtended":
-        for n in ml.chosen(algorithms, len(names)):
-            print({k: v for k, v in ml.tune(train, names, n, parallelism=a.jobs).items() if k != "model"})
-    quality, decided = ml.train_and_eval(train, test, names, algorithms)
+        best, found = ml.perform_cv(train, names, algorithms, a.iterations, parallelism=a.jobs, trees=a.trees)
+        models = {x["classifier"]: x["model"] for x in found}
+        print("best:", best["classifier"], best["features"])
+    elif a.ev == "customHyperparams":
+        # A classifier's features are those of best cross-validated accuracy as the weakest go.
+        found, models = [], {}
+        for n in wanted:
+            kept, history = ml.eliminate(train, names, n, trees=a.trees)
+            models[n] = ml.fit(train, kept, ml.classifiers(len(kept), a.trees, train.count())[n])
+            found.append({"classifier": n, "features": kept, "cv_score": max((s for _, s in history), default=None)})
+    else:
+        found = [ml.tune(train, names, n, iterations=a.iterations, parallelism=a.jobs, trees=a.trees) for n in wanted]
+        models = {x["classifier"]: x["model"] for x in found}
+    for x in found:
+        print({k: v for k, v in x.items() if k != "model"})
+    quality, decided = ml.train_and_eval(train, test, names, algorithms, models=models)
     quality.show(truncate=False)
+    for x in found:
+        ml.top_importances(spark, models[x["classifier"]], x["features"]).show(truncate=False)
     if a.accuracyresults:
-        files.write_tsv(decided, f"{a.output}/classifiers", by="classifier")
+        # One file a classifier and set of feature groups.
+        files.write_tsv(decided.withColumn("groups", F.lit("-".join(groups))), f"{a.output}/classifiers", by=("classifier", "groups"))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -87,7 +114,11 @@ def main(argv: list[str] | None = None) -> None:
     if a.stemming:
         print("stemming changes nothing")
     if a.buildDataset:
-        files.write_tsv(dataset.balanced(dataset.valid(dataset.pairs_of(files.read_gazetteer(spark, paths), a.onlyLATIN))).drop("rn"), f"{a.output}/dataset-string-similarity")
+        made = dataset.pairs_of(files.read_gazetteer(spark, paths), a.onlyLATIN)
+        files.write_tsv(made, f"{a.output}/dataset-unfiltered")
+        # Read again: the file is what later runs start from.
+        made = files.read_pairs(spark, f"{a.output}/dataset-unfiltered")
+        files.write_tsv(dataset.interleaved(dataset.balanced(dataset.valid(made))), f"{a.output}/dataset-string-similarity")
         return
     for p in paths:
         if not files.exists(spark, p):
@@ -95,17 +126,23 @@ def main(argv: list[str] | None = None) -> None:
             return
     pairs = files.read_pairs(spark, paths[0])
     if a.cmp:
-        compared(spark, paths)
+        compared(spark, a, paths)
+    elif a.timing:
+        evaluate.seconds_by_metric(pairs, sorting=a.sort, canonical=a.canonical).show(50, truncate=False)
     elif a.test == 2:
         strings = profile.both(pairs)
         files.write_tsv(profile.ngram_counts(strings).orderBy(F.desc("count"), "gram"), f"{a.output}/grams", by="kind")
-        profile.abbreviation_counts(strings).orderBy(F.desc("count"), "abbr").show(50, truncate=False)
+        abbreviations = profile.abbreviation_counts(strings).orderBy(F.desc("count"), "abbr")
+        files.write_tsv(abbreviations.withColumn("examples", F.array_join("examples", ",")), f"{a.output}/abbr", header=True)
+        abbreviations.show(50, truncate=False)
         profile.dash_count(strings).show()
     elif a.test == 3:
         sweep.best_setting(sweep.sweep_terms(pairs, sweep.steps(0.6, 0.8), sweep.steps(0.35, 0.8), frequent=frequent(spark, a)), "metric").show(50, truncate=False)
     elif a.test == 4:
         df = features.build(pairs, frequent=frequent(spark, a))
-        profile.feature_stats(df, params.feature_names()).show(100, truncate=False)
+        stats = profile.feature_stats(df, params.feature_names())
+        files.write_tsv(stats, f"{a.output}/feature_stats", header=True)
+        stats.show(100, truncate=False)
     elif a.test == 5:
         files.write_tsv(files.term_export(pairs.withColumn("terms", terms.term_split(F.col("s1"), F.col("s2"), 0.55, frequent(spark, a)))), f"{a.output}/lsimilarity_terms")
     elif a.test is not None:
@@ -124,6 +161,9 @@ def main(argv: list[str] | None = None) -> None:
             files.write_tsv(evaluate.decisions(pairs, a.sort, a.canonical, latin=a.onlyLATIN, encoding=a.encoding), f"{a.output}/decisions")
     elif a.ev == "lSimilarityMetrics":
         evaluate.evaluate_lsimilarities(pairs, a.sort, a.canonical, a.onlyLATIN, a.encoding, frequent=frequent(spark, a)).show(50, truncate=False)
+        if a.accuracyresults:
+            said = evaluate.term_decisions(pairs, a.sort, a.canonical, a.onlyLATIN, a.encoding, frequent=frequent(spark, a))
+            files.write_tsv(said, f"{a.output}/decisions-terms{'_canonical' * a.canonical}{'_sorted' * a.sort}")
     elif a.ev == "TestMetrics":
         evaluate.evaluate_at(pairs, 0.55, frequent=frequent(spark, a)).show(50, truncate=False)
     elif a.ev in ("SotAML", "DLearning"):

@@ -26,8 +26,7 @@ def _both(s: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    x, y = _both(a), _both(b)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return bound(lambda v: F.size(F.array_intersect(v["x"], v["y"])) / F.size(F.array_union(v["x"], v["y"])), x=_both(a), y=_both(b))
 
 
 def strike_a_match(a: Column, b: Column) -> Column:
@@ -37,11 +36,24 @@ def strike_a_match(a: Column, b: Column) -> Column:
     return F.when(total == 0, (a == b).cast("double")).otherwise(F.try_divide(2.0 * F.size(F.array_intersect(x, y)), total))
 
 
+def bound(use, **values: Column) -> Column:
+    """use(struct of the values): as a lambda's argument they are evaluated once, however often use refers to them."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
-    x, y = _both(a), _both(b)
-    count = lambda xs, g: F.size(F.filter(xs, lambda h: h == g))
-    dot = lambda xs, ys: F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda acc, g: acc + count(xs, g) * count(ys, g))
-    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    """Over counts of grams. Counting is left out where no gram of a string repeats, as in most short ones."""
+    count = lambda xs, g: F.size(F.filter(xs, lambda h: h == g)).cast("double")
+    dot = lambda gs, xs, ys: F.aggregate(gs, F.lit(0.0), lambda acc, g: acc + count(xs, g) * count(ys, g))
+    own = lambda xs, gs: F.when(F.size(xs) == F.size(gs), F.size(xs).cast("double")).otherwise(dot(gs, xs, xs))
+
+    def angle(v: Column) -> Column:
+        x, y, dx, dy, shared = v["x"], v["y"], v["dx"], v["dy"], v["shared"]
+        plain = (F.size(x) == F.size(dx)) & (F.size(y) == F.size(dy))
+        return F.when(plain, F.size(shared).cast("double")).otherwise(dot(shared, x, y)) / (F.sqrt(own(x, dx)) * F.sqrt(own(y, dy)))
+
+    distinct = lambda v: bound(angle, x=v["x"], y=v["y"], dx=F.array_distinct(v["x"]), dy=F.array_distinct(v["y"]), shared=F.array_intersect(v["x"], v["y"]))
+    return bound(distinct, x=_both(a), y=_both(b))
 
 
 def skipgram(a: Column, b: Column, fixed: bool = False) -> Column:

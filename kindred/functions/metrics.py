@@ -1,6 +1,7 @@
 """Edit and token similarities: scalar kernels, and Arrow-batched functions around them.
 
-A batch keeps the Jaro-Winkler scores of token pairs that it has met, as token metrics ask for them often."""
+Whole-string edit metrics take a batch at once (see batches). Token metrics look up the Jaro-Winkler scores of token
+pairs; those of a batch are computed together before."""
 
 from __future__ import annotations
 
@@ -9,10 +10,12 @@ from functools import lru_cache
 from itertools import permutations
 from math import sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batches
 from .text import without_accents
 
 
@@ -62,8 +65,27 @@ def jaro(a: str, b: str) -> float:
     return _jaro(a, b, half=False)
 
 
-@lru_cache(200_000)
+#: Jaro-Winkler scores of token pairs that a worker has met, up to KNOWN of them.
+_known: dict[tuple[str, str], float] = {}
+KNOWN = 200_000
+
+
 def jaro_winkler(a: str, b: str) -> float:
+    found = _known.get((a, b))
+    return _jaro_winkler(a, b) if found is None else found
+
+
+def met(pairs) -> None:
+    """Computes the scores of token pairs that are not known yet, all at once."""
+    if len(_known) > KNOWN:
+        _known.clear()
+    new = [p for p in set(pairs) if p not in _known]
+    if new:
+        a, b = zip(*new, strict=True)
+        _known.update(zip(new, batches.grouped(a, b, batches.jaro_winkler, _jaro_winkler).tolist(), strict=True))
+
+
+def _jaro_winkler(a: str, b: str) -> float:
     """Jaro, raised for a common prefix of up to four if both strings are longer than three."""
     w = jaro(a, b)
     if w > 0.7 and len(a) > 3 and len(b) > 3:
@@ -97,15 +119,23 @@ def l_jaro_winkler(a: str, b: str, long_tolerance: bool = False) -> float:
     return w
 
 
+def _sorted(s: str) -> str:
+    return " ".join(sorted(s.split(" ")))
+
+
 def sorted_winkler(a: str, b: str) -> float:
-    return jaro_winkler(" ".join(sorted(a.split(" "))), " ".join(sorted(b.split(" "))))
+    return _jaro_winkler(_sorted(a), _sorted(b))
+
+
+def _orders(s: str) -> list[str]:
+    ts = s.split(" ")
+    return sorted({" ".join(p) for p in permutations(ts if len(ts) <= 5 else [*ts[:5], "".join(ts[5:])])})
 
 
 def permuted_winkler(a: str, b: str) -> float:
     """The best order of the tokens of both strings; tokens from the sixth on count as one."""
-    x, y = (ts if len(ts) <= 5 else [*ts[:5], "".join(ts[5:])] for ts in (a.split(" "), b.split(" ")))
-    left, right = ({" ".join(p) for p in permutations(ts)} for ts in (x, y))
-    return max(jaro_winkler.__wrapped__(p, q) for p in left for q in right)
+    left, right = _orders(a), _orders(b)
+    return float(batches.grouped([p for p in left for _ in right], right * len(left), batches.jaro_winkler, _jaro_winkler).max())
 
 
 def _soft_overlap(x: set[str], y: set[str]) -> float:
@@ -134,10 +164,14 @@ def _spelled_out(x: list[str], y: list[str], limit: int) -> list[str]:
     return out
 
 
-def davies(a: str, b: str) -> float:
+def _davies_tokens(a: str, b: str) -> tuple[list[str], list[str]]:
     x, y = (without_accents(s.lower()).replace("-", " ").split(" ") for s in (a, b))
     x = _spelled_out(x, y, len(b))
-    y = _spelled_out(y, x, len(a))
+    return x, _spelled_out(y, x, len(a))
+
+
+def davies(a: str, b: str) -> float:
+    x, y = _davies_tokens(a, b)
     return (sorted_winkler(a, b) + _soft_overlap(set(x), set(y))) / 2
 
 
@@ -196,14 +230,43 @@ METRICS = {
 }
 
 
+#: Metrics of whole strings: how each string is made ready, the form for a batch, and the kernel.
+WHOLE = {
+    "damerau_levenshtein": (str, batches.damerau_levenshtein, damerau_levenshtein),
+    "jaro": (str, batches.jaro, jaro),
+    "jaro_winkler": (str, batches.jaro_winkler, _jaro_winkler),
+    "jaro_winkler_r": (lambda s: s[::-1], batches.jaro_winkler, _jaro_winkler),
+    "sorted_winkler": (_sorted, batches.jaro_winkler, _jaro_winkler),
+}
+#: Metrics that compare tokens: the tokens of both strings.
+TOKENS = {
+    "monge_elkan": lambda a, b: (a.split(" "), b.split(" ")),
+    "soft_jaccard": lambda a, b: (a.split(" "), b.split(" ")),
+    "davies": _davies_tokens,
+}
+
+
+def batch(name: str, left: list[str], right: list[str]) -> np.ndarray:
+    """A metric of many pairs of strings."""
+    if name in WHOLE:
+        ready, many, one = WHOLE[name]
+        return batches.grouped(list(map(ready, left)), list(map(ready, right)), many, one)
+    if name in TOKENS:
+        met((s, t) for x, y in map(TOKENS[name], left, right) for s in x for t in y)
+    return np.fromiter(map(METRICS[name], left, right), float, len(left))
+
+
 def scores(a: Column, b: Column, names) -> Column:
     """A struct of doubles: the named metrics of two string columns, null if one is null. One Python stage for all."""
     names = list(names)
 
     def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        own = [METRICS[n] for n in names]
-        rows = [[m(x, y) for m in own] if x is not None and y is not None else [None] * len(own) for x, y in zip(left, right, strict=True)]
-        return pd.DataFrame(rows, columns=names, dtype=float)
+        whole = (left.notna() & right.notna()).to_numpy()
+        x, y = left[whole].tolist(), right[whole].tolist()
+        out = pd.DataFrame(np.nan, index=range(len(left)), columns=names).astype("Float64")
+        for n in names:
+            out.loc[whole, n] = batch(n, x, y)
+        return out
 
     run.__annotations__ = {"left": pd.Series, "right": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(a, b)

@@ -56,9 +56,14 @@ def tokens(s: Column) -> Column:
 
 
 def natural_key(t: Column) -> Column:
-    """Digit runs of up to 20 digits compare as numbers, and before any other character."""
-    wide = F.regexp_replace(t, "([0-9]+)", "\u0000" + "0" * 20 + "$1")
-    return F.regexp_replace(wide, "0+([0-9]{20})(?![0-9])", "$1")
+    """An array that compares as t does in natural order: runs of digits, of any length, as numbers and before all else."""
+
+    def part(run: Column) -> Column:
+        number = run.rlike("^[0-9]")
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.struct((~number).alias("text"), F.when(number, F.length(digits)).otherwise(0).alias("digits"), F.when(number, digits).otherwise(run).alias("run"))
+
+    return F.transform(F.regexp_extract_all(t, F.lit("[0-9]+|[^0-9]+"), 0), part)
 
 
 def natural_sorted(ts: Column) -> Column:
@@ -75,6 +80,31 @@ def wordpunct_words(s: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words, lambda t: ~t.isin(stop_words)) if stop_words else words
 
 
+def stopped_words(s: Column, stop_words: list[str], sort: bool = False) -> Column:
+    """The words that wordpunct_words leaves out: the second half of a normalised string."""
+    words = F.filter(wordpunct_words(s), lambda t: t.isin(stop_words))
+    return natural_sorted(words) if sort else words
+
+
+def language(s: Column, stop_words: dict[str, list[str]] | None = None, default: str = "english") -> Column:
+    """The language whose stop-words occur most often in s, ties to the first by name; the default without lists or without any."""
+    if not stop_words:
+        return F.lit(default)
+    words = wordpunct_words(s)
+
+    def vote(name: str, own: list[str]) -> Column:
+        return F.struct((-F.size(F.filter(words, lambda t: t.isin(own)))).alias("n"), F.lit(name).alias("name"))
+
+    votes = F.array(*(vote(name, own) for name, own in stop_words.items()))
+    first = F.array_min(votes)
+    return F.when(first["n"] < 0, first["name"]).otherwise(F.lit(default))
+
+
+def distinct_in_order(ts: Column) -> Column:
+    """The distinct tokens, each where it stood first."""
+    return F.array_distinct(ts)
+
+
 def stem(s: Column) -> Column:
     """Stemming is accepted and changes nothing."""
     return s
@@ -98,10 +128,12 @@ def contains_tokens(a: Column, b: Column) -> Column:
 
 
 def balanced_brackets(s: Column) -> Column:
-    """Whether round, square and curly brackets close in order: innermost pairs are deleted until none is left."""
-    kept = F.regexp_replace(s, "[^(){}\\[\\]]", "")
-    rounds = F.sequence(F.lit(0), F.floor(F.length(kept) / 2).cast("int"))
-    return F.aggregate(rounds, kept, lambda x, _: F.regexp_replace(x, "\\(\\)|\\[\\]|\\{\\}", "")) == ""
+    """Whether round, square and curly brackets close in order: one pass, with the brackets that are open on a stack."""
+    kept = F.regexp_extract_all(s, F.lit("[(){}\\[\\]]"), 0)
+    closes = lambda top, c: ((top == "(") & (c == ")")) | ((top == "[") & (c == "]")) | ((top == "{") & (c == "}"))
+    # A bracket that closes nothing stays on the stack for good.
+    step = lambda stack, c: F.when(closes(F.substring(stack, 1, 1), c), F.substring(stack, 2, 2**30)).otherwise(F.concat(c, stack))
+    return F.aggregate(kept, F.lit(""), step) == ""
 
 
 def abbreviation(s: Column) -> Column:

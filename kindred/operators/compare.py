@@ -23,6 +23,10 @@ def regressions(first: DataFrame, second: DataFrame, metrics: list[str], on: str
     return rows.filter("res1 = d1 AND res2 <> d2").select(on, "metric", "res1", "d2")
 
 
+def true_first(df: DataFrame, *ties: str) -> DataFrame:
+    return df.orderBy(F.desc("res"), *ties)
+
+
 def inconsistent(first: DataFrame, second: DataFrame, on: str = "pair_id") -> DataFrame:
     """Pairs whose ground truth differs between two runs."""
     return first.select(on, F.col("res").alias("res1")).join(second.select(on, F.col("res").alias("res2")), on).filter("res1 <> res2")

@@ -55,11 +55,30 @@ def valid(pairs: DataFrame) -> DataFrame:
     return pairs.filter("res IN ('TRUE', 'FALSE') AND length(cc1) = 2 AND length(cc2) = 2 AND a1 <> 'UND' AND a2 <> 'UND' AND c1 RLIKE '^[0-9]+$' AND c2 RLIKE '^[0-9]+$' AND length(s1) >= 3 AND length(s2) >= 3")
 
 
+#: Leading bits of the hash that pairs are put in order by: a label has 4096 buckets.
+BITS = 12
+
+
 def balanced(pairs: DataFrame, most: int = 2_500_000, seed: int = 13) -> DataFrame:
     """As many pairs of each label, most at most, those of smallest hash, with rn: their place within the label.
 
-    A rank limit keeps most rows from the shuffle."""
-    count = {r["res"]: r["count"] for r in pairs.filter("res IN ('TRUE', 'FALSE')").groupBy("res").count().collect()}
-    k = min(most, count.get("TRUE", 0), count.get("FALSE", 0))
-    w = W.partitionBy("res").orderBy(F.xxhash64("s1", "s2", F.lit(seed)), *pairs.columns)
-    return pairs.filter("res IN ('TRUE', 'FALSE')").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    Places are counted by buckets of the hash: no task ranks a label, and buckets behind the last place are dropped
+    before the shuffle. Written in the order of rn and res, positive and negative pairs take turns (see interleaved)."""
+    hashed = pairs.filter("res IN ('TRUE', 'FALSE')").withColumn("__h", F.xxhash64("s1", "s2", F.lit(seed))).withColumn("__b", F.shiftrightunsigned("__h", 64 - BITS).cast("int"))
+    # At most 2 * 4096 rows.
+    sizes = hashed.groupBy("res", "__b").agg(F.count("*").alias("n")).collect()
+    k = min(most, *(sum(r["n"] for r in sizes if r["res"] == label) for label in ("TRUE", "FALSE")))
+    before, upto = [], {"TRUE": 0, "FALSE": 0}
+    for r in sorted(sizes, key=lambda r: r["__b"]):
+        if upto[r["res"]] < k:
+            before.append((r["res"], r["__b"], upto[r["res"]]))
+        upto[r["res"]] += r["n"]
+    starts = F.broadcast(pairs.sparkSession.createDataFrame(before, "res string, __b int, __before long"))
+    w = W.partitionBy("res", "__b").orderBy("__h", *pairs.columns)
+    ranked = hashed.join(starts, ["res", "__b"]).withColumn("rn", F.row_number().over(w) + F.col("__before"))
+    return ranked.filter(F.col("rn") <= k).select(*pairs.columns, "rn")
+
+
+def interleaved(balanced_pairs: DataFrame) -> DataFrame:
+    """Pairs of both labels in turns, the positive one first; rn is dropped."""
+    return balanced_pairs.orderBy("rn", F.desc("res")).drop("rn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from time import perf_counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +111,28 @@ def evaluate_at(pairs: DataFrame, thres: float, split_thres: float = 0.55, weigh
     return ratios(counted(df.withColumn("predicted", score >= thres), "metric")).filter(F.col("f1").isNotNull())
 
 
+def seconds_by_metric(pairs: DataFrame, names=params.EVALUATED, sorting=False, canonical=False) -> DataFrame:
+    """method, pairs and seconds: each metric's scores are computed in a job of their own, on pairs transformed and kept before."""
+    ready = transformed(pairs, sorting, canonical).select("a", "b").cache()
+    n, took = ready.count(), []
+    for name in names:
+        began = perf_counter()
+        scored(ready, [name]).select(name).write.format("noop").mode("overwrite").save()
+        took.append((name, n, perf_counter() - began))
+    ready.unpersist()
+    return pairs.sparkSession.createDataFrame(took, "method string, pairs long, seconds double")
+
+
+def term_decisions(pairs: DataFrame, sorting=True, canonical=False, latin=False, encoding=None, profile="global", frequent=()) -> DataFrame:
+    """real, a decision a term metric in order of evaluation, and the transformed strings."""
+    table = {m: t for _, m, mode, t in params.thresholds() if mode == params.threshold_mode(sorting, latin, encoding)}
+    specs = {f"avg_lsim_{m}": (m.removesuffix("_r"), True, m.endswith("_r")) for m in params.TERM_METRICS}
+    df = transformed(pairs, sorting, canonical, simple_sorting=False)
+    df = df.select("res", "a", "b", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent).alias("l"))
+    said = lambda c: F.upper(c.cast("string"))
+    return df.select(said(label(F.col("res")) > 0).alias("real"), *(said(F.col("l")[n] >= table[n]).alias(n) for n in specs), "a", "b")
+
+
 def unavailable(name: str):
     raise NotImplementedError(f"{name} has no evaluator: choose another")
 

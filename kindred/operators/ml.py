@@ -3,37 +3,39 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, VectorAssembler, VectorSlicer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .evaluate import counted, ratios
 
 SEED, FOLDS, KEEP = 13, 5, 20
-ABSENT = {"qda", "lda", "ada"}
+#: Trees of the forests, rounds of boosting, penalty and steps of the linear machine.
+TREES, ROUNDS, C, STEPS = 908, 988, 1.0, 3000
 
 
-def classifiers(n_features: int, trees: int = 100) -> dict:
+def classifiers(n_features: int, trees: int | None = None, rows: int | None = None) -> dict:
     """The seven classifiers. Extra-trees stand as a forest without bootstrap, XGBoost as gradient-boosted
-    trees; depths end at 30, which is as deep as MLlib's trees go; the perceptron has no penalty."""
+    trees; depths end at 30, which is as deep as MLlib's trees go; the perceptron has no penalty. trees takes the
+    place of TREES and ROUNDS; rows, how many the machine is fitted on, turns C into the weight that MLlib asks for."""
+    trees, rounds = trees or TREES, trees or ROUNDS
     return {
-        "lsvm": LinearSVC(maxIter=100, regParam=0.01),
+        "lsvm": LinearSVC(maxIter=STEPS, regParam=1 / (C * rows) if rows else 0.01),
         "dt": DecisionTreeClassifier(maxDepth=30, seed=SEED),
         "rf": RandomForestClassifier(numTrees=trees, maxDepth=16, impurity="entropy", featureSubsetStrategy="log2", minInstancesPerNode=3, seed=SEED),
         "nn": MultilayerPerceptronClassifier(layers=[n_features, 100, 2], maxIter=100, seed=SEED),
         "nb": NaiveBayes(modelType="gaussian"),
         "et": RandomForestClassifier(numTrees=trees, maxDepth=30, bootstrap=False, seed=SEED),
-        "xgboost": GBTClassifier(maxIter=min(trees, 50), maxDepth=5, stepSize=0.1, subsamplingRate=0.7, seed=SEED),
+        "xgboost": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.7, seed=SEED),
     }
 
 
-def chosen(names, n_features: int, trees: int = 100) -> dict:
-    every = classifiers(n_features, trees)
+def chosen(names, n_features: int, trees: int | None = None, rows: int | None = None) -> dict:
+    every = classifiers(n_features, trees, rows)
     wanted = list(every) if "all" in names else names
     unknown = [n for n in wanted if n not in every]
     if unknown:
@@ -88,20 +90,52 @@ def draws(clf, name: str, n: int, seed: int = SEED) -> list:
     return [m for _ in range(n) for m in _params(clf, {k: f(r) for k, f in DRAWS[name].items()})]
 
 
-def tune(train: DataFrame, names: list[str], name: str, search: str = "randomized", iterations: int = 10, k: int = FOLDS, parallelism: int = 4):
-    """The best setting of one classifier by cross-validated accuracy: settings, accuracy and fitted pipeline."""
-    clf = classifiers(len(names))[name].setFeaturesCol("scaled")
+class Strongest(Estimator):
+    """Keeps the n features of most importance to one fit of a classifier: a stage of a pipeline, fitted in each fold anew.
+    Classifiers without importances leave the choice to a decision tree."""
+
+    def __init__(self, name: str, n_features: int, n: int, trees: int | None = None):
+        super().__init__()
+        self.name, self.n_features, self.n, self.trees = name if name not in ("nn", "nb") else "dt", n_features, n, trees
+
+    def _fit(self, df: DataFrame) -> VectorSlicer:
+        model = classifiers(self.n_features, self.trees)[self.name].setFeaturesCol("scaled").fit(df)
+        weights = _weights(model)
+        first = sorted(range(self.n_features), key=lambda i: (-weights[i], i))[: self.n]
+        return VectorSlicer(inputCol="scaled", outputCol="selected", indices=sorted(first))
+
+
+def tune(train: DataFrame, names: list[str], name: str, search: str = "randomized", iterations: int = 10, k: int = FOLDS, parallelism: int = 4, keep: int | None = None, trees: int | None = None):
+    """The best setting of one classifier by cross-validated accuracy: settings, accuracy, pipeline fitted with them on all
+    of train, and the features that it uses. With keep, each fold's pipeline chooses so many features before it is fitted."""
+    keep = min(keep or len(names), len(names))
+    clf = classifiers(keep, trees, train.count())[name].setFeaturesCol("selected" if keep < len(names) else "scaled")
     maps = grid(clf, name) if search == "grid" else draws(clf, name, iterations)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled"), clf])
+    select = [Strongest(name, len(names), keep, trees)] if keep < len(names) else []
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled"), *select, clf])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold", parallelism=parallelism, seed=SEED)
     model = cv.fit(folds(train, k))
     at = int(np.argmax(model.avgMetrics))
-    return {"classifier": name, "params": {p.name: v for p, v in maps[at].items()}, "cv_score": float(model.avgMetrics[at]), "model": model.bestModel}
+    return {"classifier": name, "params": {p.name: v for p, v in maps[at].items()}, "cv_score": float(model.avgMetrics[at]), "model": model.bestModel, "features": used(model.bestModel, names)}
+
+
+def used(model: PipelineModel, names: list[str]) -> list[str]:
+    """The features that reach a pipeline's classifier."""
+    return [names[i] for s in model.stages if isinstance(s, VectorSlicer) for i in s.getIndices()] or names
+
+
+def perform_cv(train: DataFrame, names: list[str], algorithms=("all",), iterations: int = 10, k: int = FOLDS, parallelism: int = 4, keep: int | None = KEEP, trees: int | None = None) -> tuple[dict, list[dict]]:
+    """The best of several classifiers, each scaled, reduced to keep features and tuned; and what was found for each."""
+    found = [tune(train, names, n, "randomized", iterations, k, parallelism, keep, trees) for n in chosen(list(algorithms), len(names), trees)]
+    return max(found, key=lambda x: x["cv_score"]), found
 
 
 def importance(model: PipelineModel, names: list[str]) -> list[float] | None:
     """Importances or absolute coefficients of a pipeline's classifier; None if it has neither."""
-    last = model.stages[-1]
+    return _weights(model.stages[-1])
+
+
+def _weights(last) -> list[float] | None:
     if hasattr(last, "featureImportances"):
         return last.featureImportances.toArray().tolist()
     return np.abs(last.coefficients.toArray()).tolist() if hasattr(last, "coefficients") else None
@@ -119,7 +153,7 @@ def fit(train: DataFrame, names: list[str], clf, standardize: bool = True, polyn
     return Pipeline(stages=[*stages, clf.copy().setFeaturesCol(col)]).fit(train)
 
 
-def eliminate(train: DataFrame, names: list[str], name: str, least: int = KEEP, step: int = 2, k: int = FOLDS, cross_validated: bool = True) -> tuple[list[str], list[tuple[int, float]]]:
+def eliminate(train: DataFrame, names: list[str], name: str, least: int = KEEP, step: int = 2, k: int = FOLDS, cross_validated: bool = True, trees: int | None = None) -> tuple[list[str], list[tuple[int, float]]]:
     """Recursive elimination: the weakest features go, step at a time, down to least; of the sizes met the one
     of best cross-validated accuracy wins. Classifiers without importances keep all."""
     kept, history, best = list(names), [], (-1.0, list(names))
@@ -127,10 +161,10 @@ def eliminate(train: DataFrame, names: list[str], name: str, least: int = KEEP,
     score = MulticlassClassificationEvaluator(metricName="accuracy")
     while True:
         if cross_validated:
-            accuracy = float(np.mean([score.evaluate(fit(data.filter(F.col("fold") != i), kept, classifiers(len(kept))[name]).transform(data.filter(F.col("fold") == i))) for i in range(k)]))
+            accuracy = float(np.mean([score.evaluate(fit(data.filter(F.col("fold") != i), kept, classifiers(len(kept), trees)[name]).transform(data.filter(F.col("fold") == i))) for i in range(k)]))
             history.append((len(kept), accuracy))
             best = max(best, (accuracy, list(kept)), key=lambda x: x[0])
-        weights = importance(fit(data, kept, classifiers(len(kept))[name]), kept) if len(kept) > least else None
+        weights = importance(fit(data, kept, classifiers(len(kept), trees)[name]), kept) if len(kept) > least else None
         if weights is None:
             break
         weakest = {n for _, n in sorted(zip(weights, kept, strict=True))[: min(step, len(kept) - least)]}
@@ -139,17 +173,21 @@ def eliminate(train: DataFrame, names: list[str], name: str, least: int = KEEP,
     return (best[1] if cross_validated else kept), history
 
 
-def strongest(train: DataFrame, names: list[str], name: str, n: int = 12) -> list[str]:
+def strongest(train: DataFrame, names: list[str], name: str, n: int = 12, trees: int | None = None) -> list[str]:
     """The n features of most importance to one fit."""
-    weights = importance(fit(train, names, classifiers(len(names))[name]), names)
+    weights = importance(fit(train, names, classifiers(len(names), trees)[name]), names)
     return names if weights is None else [f for _, f in sorted(zip(weights, names, strict=True), reverse=True)[:n]]
 
 
-def train_and_eval(train: DataFrame, test: DataFrame, names: list[str], algorithms=("all",), trees: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Quality by classifier on test, and the decisions: classifier, pair_id, label, predicted. Each classifier is its own best."""
+def train_and_eval(train: DataFrame, test: DataFrame, names: list[str], algorithms=("all",), trees: int | None = None, models: dict[str, PipelineModel] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Quality by classifier on test, and the decisions: classifier, pair_id, label, predicted.
+
+    models are pipelines fitted before, by tune() say; without them each classifier is fitted with its own settings."""
+    if models is None:
+        models = {name: fit(train, names, clf) for name, clf in chosen(list(algorithms), len(names), trees, train.count()).items()}
     out = None
-    for name, clf in chosen(list(algorithms), len(names), trees).items():
-        one = fit(train, names, clf).transform(test).select(F.lit(name).alias("classifier"), "pair_id", "label", (F.col("prediction") > 0).alias("predicted"))
+    for name, model in models.items():
+        one = model.transform(test).select(F.lit(name).alias("classifier"), "pair_id", "label", (F.col("prediction") > 0).alias("predicted"))
         out = one if out is None else out.unionByName(one)
     return ratios(counted(out, "classifier"), missing=0.0), out
 
@@ -160,7 +198,8 @@ def top_importances(spark, model: PipelineModel, names: list[str], n: int = 50)
 
 
 def ranking(df: DataFrame, value: str) -> DataFrame:
-    """value scaled to [0, 1] over all rows, to two places."""
-    w = W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn("rank", F.bround(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)), 2))
+    """value scaled to [0, 1] over all rows, to two places. Its ends are one row, found by an aggregate."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None or high == low:
+        return df.withColumn("rank", F.lit(0.0))
+    return df.withColumn("rank", F.bround(F.coalesce((F.col(value) - low) / (high - low), F.lit(0.0)), 2))

@@ -58,9 +58,9 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("res1 boolean, res2 boolean").option("sep", "\t").csv(path)
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = False, by: str | None = None) -> None:
+def write_tsv(df: DataFrame, path: str, header: bool = False, by: str | tuple[str, ...] | None = None) -> None:
     w = df.write.mode("overwrite").option("sep", "\t").option("header", header)
-    (w.partitionBy(by) if by else w).csv(path)
+    (w.partitionBy(*([by] if isinstance(by, str) else by)) if by else w).csv(path)
 
 
 def term_export(split: DataFrame) -> DataFrame:

@@ -85,3 +85,33 @@ def test_text(spark):
     assert one(text.contains_tokens(lit("ab c"), lit("xaby c"))) and one(text.n_tokens(lit("a b a"))) == 2
     assert one(text.frequent_flags(lit("b c"), ["a", "b"], 3)) == [False, True, False] and one(text.token_ngrams(F.array(lit("a"), lit("b")), 2)) == ["a b"]
     assert one(text.token_ngrams(F.array(lit("a")), 2)) == [] and one(text.thirds(lit("abcdef"))) == ["ab", "cd", "ef"]
+
+
+def test_batches_equal_the_kernels():
+    import random
+
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcde é-.中") for _ in range(r.randint(0, n)))
+    a = [word(r.choice([3, 12, 30, 200])) for _ in range(400)]
+    b = [("".join(c for c in x if r.random() < 0.8) if r.random() < 0.6 else word(20)) for x in a]
+    for name, own in metrics.METRICS.items():
+        x, y = ([s[:14] for s in side[:60]] for side in (a, b)) if name == "permuted_winkler" else (a, b)
+        assert metrics.batch(name, x, y) == pytest.approx([own(p, q) for p, q in zip(x, y, strict=True)], abs=1e-12), name
+    assert metrics.batch("jaro", [], []).tolist() == []
+
+
+def test_text_additions(spark):
+    words = {"english": ["the", "of"], "german": ["der", "und"]}
+    rows = spark.createDataFrame([("The town of the Lake", "b10 b9 b100000000000000000000000 b99999999999999999999999 9 10 a"), ("Haus der Tiere und Baum", "x"), ("Ort", "")], "s string, t string")
+    out = rows.select(text.language(F.col("s"), words).alias("l"), text.stopped_words(F.col("s"), words["english"]).alias("w"), text.sorted_text(F.col("t")).alias("n")).collect()
+    assert [r.l for r in out] == ["english", "german", "english"] and out[0].w == ["the", "of", "the"] and out[1].w == []
+    assert out[0].n == "9 10 a b9 b10 b99999999999999999999999 b100000000000000000000000"
+    deep = spark.createDataFrame([("([{" * 500 + "}])" * 500,), ("([)]",), (")(",), ("",), ("no brackets",)], "s string").select(text.balanced_brackets(F.col("s")).alias("b")).collect()
+    assert [r.b for r in deep] == [True, False, False, True, True]
+    assert rows.limit(1).select(text.distinct_in_order(F.split(F.lit("b a b c a"), " ")).alias("x")).first().x == ["b", "a", "c"]
+
+
+def test_cosine_counts_repeated_grams(spark):
+    pairs = [("banana banana", "banana"), ("aaaa", "aaab"), ("night", "nacht"), ("", ""), ("a", "b"), ("abcabcabc", "cabcab")]
+    out = spark.createDataFrame(pairs, "a string, b string").select(grams.cosine(F.col("a"), F.col("b")).alias("x"), grams.jaccard(F.col("a"), F.col("b")).alias("j")).collect()
+    assert [r.x for r in out] == pytest.approx([metrics.cosine(a, b) for a, b in pairs]) and [r.j for r in out] == pytest.approx([metrics.jaccard(a, b) for a, b in pairs])

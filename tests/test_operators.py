@@ -77,6 +77,21 @@ def test_ml(spark):
         ml.chosen(["qda"], 3)
 
 
+def test_tuning_is_used(spark):
+    """Selection runs within the search, the tuned pipeline is what is tried on the test rows, and settings reach the classifiers."""
+    rows = [(i, float(i % 2), float(i % 2) + (i % 7) / 20, float(i % 5), float(i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "pair_id long, label double, a double, b double, c double")
+    best, found = ml.perform_cv(df, ["b", "a", "c"], ["dt", "nb"], iterations=1, k=2, keep=1, trees=3)
+    assert best["features"] == ["a"] and {x["classifier"] for x in found} == {"dt", "nb"} and best["cv_score"] == max(x["cv_score"] for x in found) > 0.9
+    quality, out = ml.train_and_eval(df, df, ["b", "a", "c"], models={"tuned": best["model"]})
+    assert [(r.classifier, r.accuracy > 0.9) for r in quality.collect()] == [("tuned", True)] and out.count() == 120
+    assert ml.top_importances(spark, best["model"], best["features"]).count() <= 1
+    own = ml.classifiers(3, rows=200)
+    assert own["lsvm"].getRegParam() == pytest.approx(1 / 200) and own["lsvm"].getMaxIter() == 3000
+    assert own["rf"].getNumTrees() == 908 and own["xgboost"].getMaxIter() == 988 and ml.classifiers(3, 7)["xgboost"].getMaxIter() == 7
+    assert {r["rank"] for r in ml.ranking(df, "b").collect()} == {0.0, 0.25, 0.5, 0.75, 1.0}
+
+
 def test_dataset(spark):
     rows = [(str(i), f"Place{i} Bay", f"Place{i} Bay", f"Bay {i},Place number {i},Porto {i},Cape {i},ab", "FR") for i in range(40)]
     g = spark.createDataFrame(rows, "geonameid string, name string, asciiname string, alternatenames string, country_code string")
@@ -87,6 +102,12 @@ def test_dataset(spark):
     assert all(r.s1.lower() != r.s2.lower() for r in got) and dataset.valid(p).count() == len(got)
     b = dataset.balanced(p, most=10).groupBy("res").count().collect()
     assert {r["count"] for r in b} == {10}
+    every = p.filter("res = 'TRUE'").selectExpr("*", "xxhash64(s1, s2, 13) AS h").collect()
+    first = sorted(every, key=lambda r: (r.h % 2**64, tuple(r)[:-1]))[:10]
+    took = dataset.balanced(p, most=10).filter("res = 'TRUE'").orderBy("rn").collect()
+    assert [(r.s1, r.s2, r.rn) for r in took] == [(r.s1, r.s2, i) for i, r in enumerate(first, 1)]
+    assert [r.res for r in dataset.interleaved(dataset.balanced(p, most=10)).collect()] == ["TRUE", "FALSE"] * 10
+    assert dataset.balanced(p.filter("res = 'TRUE'")).collect() == []
 
 
 def test_files_and_comparison(spark, pairs, tmp_path):
@@ -138,6 +159,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert "jaro_winkler" in capsys.readouterr().out and files.read_decisions(spark, str(tmp_path / "o" / "decisions")).count() == 8
     cli.main(["-d", str(p), "--optimalThres"])
     cli.main(["-d", str(p), "--test", "5", "--output", str(tmp_path / "o")])
+    cli.main(["-d", str(p), "--test", "2", "--output", str(tmp_path / "o")])
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "o" / "abbr")).columns in ([], ["abbr", "count", "examples"])
+    cli.main(["-d", str(p), "--ev", "lSimilarityMetrics", "--sort", "--accuracyresults", "--output", str(tmp_path / "o")])
+    assert len(spark.read.option("sep", "\t").csv(str(tmp_path / "o" / "decisions-terms_sorted")).columns) == 16
+    other = str(tmp_path / "o" / "decisions")
+    cli.main(["-d", f"{other},{other}", "--cmp", "--metric", "jaro", "--output", str(tmp_path / "c")])
+    kinds = {k: spark.read.schema("s1 string, s2 string").option("sep", "\t").csv(str(tmp_path / "c" / k)).count() for k in ("false_negatives", "false_positives")}
+    said = files.read_decisions(spark, other)
+    assert kinds == {"false_negatives": said.filter("real = 'TRUE' AND jaro = 'FALSE'").count(), "false_positives": said.filter("real = 'FALSE' AND jaro = 'TRUE'").count()}
+    cli.main(["-d", f"{other},{other},{other}", "--cmp", "--output", str(tmp_path / "c")])
+    cli.main(["-d", str(p), "--timing"])
     cli.main(["-d", str(p), "--test", "9"])
     cli.main(["-d", str(tmp_path / "none")])
     out = capsys.readouterr().out
@@ -163,3 +195,31 @@ def test_sweep_queries_cover_the_grid(spark, tmp_path):
         assert {r["method"]: r["accuracy"] for r in best} == {m: max(r["accuracy"] for r in swept if r["method"] == m) for m in metrics}
     four = [r for r in run("sweep_threshold_basic") if r["method"] in catalog.NATIVE]
     assert sorted(map(str, four)) == sorted(map(str, run("sweep_threshold")))
+
+
+def test_learning_commands_write_what_they_tuned(spark, tmp_path, capsys):
+    from kindred import cli
+
+    p = tmp_path / "pairs.tsv"
+    p.write_text("\n".join(f"{a}{i}\t{b if i % 2 else a}{i}\t{'TRUE' if i % 2 == 0 else 'FALSE'}\t1\t2\tLATIN\tLATIN\tGR\tGR" for i in range(12) for a, b, _ in PAIRS[:5]))
+    for ev in ("custom", "customExtended"):
+        out = tmp_path / ev
+        cli.main(["-d", str(p), "--ev", ev, "--ml", "dt", "--iterations", "1", "--trees", "2", "--accuracyresults", "--output", str(out)])
+        got = spark.read.option("sep", "\t").csv(str(out / "classifiers"))
+        assert {"classifier", "groups"} <= set(got.columns) and got.count() > 0 and got.first()["classifier"] == "dt"
+        assert "cv_score" in capsys.readouterr().out
+
+
+def test_dataset_command_writes_both_files(spark, tmp_path):
+    from kindred import cli
+
+    columns = 19
+    rows = []
+    for i in range(30):
+        r = [""] * columns
+        r[0], r[1], r[2], r[3], r[8] = str(100 + i), f"Place{i} Bay", f"Place{i} Bay", f"Bay {i},Place number {i},Porto {i},Cape {i}", "FR"
+        rows.append("\t".join(r))
+    (tmp_path / "g.txt").write_text("\n".join(rows))
+    cli.main(["-d", str(tmp_path / "g.txt"), "--buildDataset", "--output", str(tmp_path / "o")])
+    every, kept = (files.read_pairs(spark, str(tmp_path / "o" / n)) for n in ("dataset-unfiltered", "dataset-string-similarity"))
+    assert every.count() >= kept.count() > 0 and kept.filter("res = 'TRUE'").count() * 2 == kept.count()
