@@ -33,8 +33,8 @@ from .token_files import pieces
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of a block, more only if one document has more.
 BLOCK = 32_000_000
-#: Words whose ids a task keeps, and words of documents that are put together at once.
-CACHE, AT_ONCE = 1_000_000, 500_000
+#: Pieces of texts whose words, and words whose ids, a task keeps; words of documents that are put together at once.
+PIECES, CACHE, AT_ONCE = 200_000, 500_000, 500_000
 
 
 def ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -64,6 +64,8 @@ class Block:
 
     def add(self, doc_id: int | None, text: str) -> None:
         cut, known, words = pieces(text), self.pieces, self.words
+        if len(known) > PIECES:
+            known.clear()
         for p in set(cut).difference(known):
             known[p] = np.array([words.setdefault(w, len(words)) for w in self.find(p)], "<u4").tobytes()
         part = b"".join(map(known.__getitem__, cut))
@@ -75,6 +77,7 @@ class Block:
     def row(self, block: int) -> pa.RecordBatch:
         self.pieces.clear()
         numbers = np.frombuffer(b"".join(self.parts), "<u4")
+        self.parts.clear()
         place, lists, words = np.empty(len(self.words), np.int32), [[] for _ in range(self.buckets)], list(self.words)
         for i in np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable").tolist():
             bucket = xxhash.xxh32_intdigest(words[i]) % self.buckets

@@ -4,7 +4,8 @@ Every version of a text is a blob named by its SHA-256. The ledger holds, for ea
 already scanned, the spans found. A scan takes only blobs that the ledger lacks for this rule version, one
 document standing for all its copies, appends them, and joins findings back to every document.
 
-Defined results: a null text is the empty blob; rows that repeat, or have a null id, get the findings of
+Defined results: a null text is the empty blob; a very long text is one blob, scanned whole; spans that start
+together stand in the order of KINDS; rows that repeat, or have a null id, get the findings of
 their blob each; an empty table adds nothing to the ledger. Further columns of the input are ignored.
 """
 

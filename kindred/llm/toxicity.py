@@ -7,7 +7,8 @@ insult beside the mention of a group). All documents are then scored, whole, in
 
 Defined results: null and empty texts have no terms and get the score of the bias; documents without a
 label, or with a null label, are scored but never learnt from; if a document has several labels the largest
-counts; without labelled documents of both classes the bias alone scores, from the classes' counts; rows
+counts, and where documents tie in the hash that the sample is drawn by, the smaller id; a very long text is scored by
+all its words; without labelled documents of both classes the bias alone scores, from the classes' counts; rows
 that repeat are scored each; an empty table gives an empty result. Further columns are ignored.
 """
 
@@ -32,6 +33,8 @@ FACTORS, EPOCHS, RATE, DECAY = 4, 30, 0.1, 2e-4
 #: Bytes other than letters, digits and those of multi-byte characters separate words.
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 PREFIXES = (4, 5, 6)
+#: Words whose buckets a task keeps.
+CACHE = 400_000
 
 
 def words(text: str | None) -> set[bytes]:
@@ -48,7 +51,7 @@ class Buckets(dict):
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         ids = [xxhash.xxh32_intdigest(word) >> (32 - BITS), *(xxhash.xxh32_intdigest(word[:n] + b"*") >> (32 - BITS) for n in PREFIXES if len(word) >= n)]
         found = tuple(dict.fromkeys(ids)) if self.known is None else tuple(dict.fromkeys(self.known[i] for i in ids if i in self.known))
-        if len(self) > 1_000_000:
+        if len(self) > CACHE:
             self.clear()
         self[word] = found
         return found
