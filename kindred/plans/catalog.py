@@ -150,7 +150,7 @@ def queries() -> dict:
         "token_ngrams": lambda spark, sf: names(spark, sf).select(F.explode(text.token_ngrams(text.tokens(F.col("s")), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("count")),
         "freq_term_flags": lambda spark, sf: names(spark, sf).distinct().select("s", text.has_frequent(F.col("s"), _frequent(spark, sf)).alias("has_freq"), F.array_join(F.transform(text.frequent_flags(F.col("s"), _frequent(spark, sf)), lambda x: x.cast("int").cast("string")), "").alias("flags")),
         "ngram_counts": lambda spark, sf: profile.ngram_counts(names(spark, sf)),
-        "abbr_examples": lambda spark, sf: profile.abbreviation_counts(names(spark, sf)).select("abbr", "count", F.array_join("examples", "|").alias("examples")),
+        "abbr_examples": lambda spark, sf: profile.abbreviation_counts(table(spark, sf, "conversations").select(F.col("text").alias("s"))).select("abbr", "count", F.array_join("examples", "|").alias("examples")),
         "in_pos_thirds_both": lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", F.posexplode(text.thirds(F.col("s2"))).alias("pos", "third")).select("s1", "s2", "pos", F.round(metrics.score(F.col("s1"), F.col("third"), "damerau_levenshtein"), 6).alias("score")),
         "natural_order": lambda spark, sf: table(spark, sf, "part").select("p_brand", F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string"), "p_name").alias("s")).select("s", text.sorted_text(F.col("s")).alias("sorted")),
         "abbr_counts": lambda spark, sf: profile.abbreviation_counts(docs(spark, sf)).select("abbr", "count"),
