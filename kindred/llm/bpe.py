@@ -31,10 +31,10 @@ from .common import shared_path, small, table
 from .token_files import pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Characters of a block, more only if one document has more.
+#: Characters of a block, more only if one document has more: larger blocks repeat fewer words, and take more memory.
 BLOCK = 32_000_000
 #: Pieces of texts whose words, and words whose ids, a task keeps; words of documents that are put together at once.
-PIECES, CACHE, AT_ONCE = 200_000, 500_000, 500_000
+PIECES, CACHE, AT_ONCE = 200_000, 500_000, 200_000
 
 
 def ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -87,14 +87,14 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, self.TYPES, strict=True)], ["block", "doc_ids", "lengths", "places", "words"])
 
 
-def _blocked(buckets: int):
+def _blocked(buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, task, k = regex.compile(public_tokenizers.PATTERN).findall, TaskContext.get().partitionId(), 0
         block = Block(find, buckets)
         for b in small(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 block.add(doc_id, text or "")
-                if block.chars >= BLOCK:
+                if block.chars >= size:
                     yield block.row((task << 32) + k)
                     k += 1
                     block = Block(find, buckets)
@@ -169,12 +169,12 @@ def _reassembled(buckets: int, vocabulary: str):
     return run
 
 
-def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
+def encode(docs: DataFrame, path: str = RANKS, block: int = BLOCK) -> DataFrame:
     """doc_id, ids (array of int), packed (the ids as little-endian unsigned 32-bit integers) and vocabulary of every document."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocked(buckets), Block.SCHEMA)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocked(buckets, block), Block.SCHEMA)
     # Bucketed by block, the blocks need not move again when their ids come back. The table's name is needed for that alone.
     cut.write.format("parquet").option("compression", "zstd").option("maxRecordsPerFile", 4).bucketBy(buckets, "block").option("path", shared_path(spark, name)).saveAsTable(name)
     blocks = spark.table(name)

@@ -38,7 +38,7 @@ def test_files_hold_what_the_library_encodes(spark):
 def test_bpe_is_exact_and_comes_back(spark):
     e = bpe.encoding()
     rows = [(3 * i, x, "en", "s", 0) for i, x in enumerate(fuzz(seed=2))] + ODD
-    out = bpe.digest(bpe.decode(bpe.encode(documents(spark, rows).repartition(3)))).collect()
+    out = bpe.digest(bpe.decode(bpe.encode(documents(spark, rows).repartition(3), block=500))).collect()
     want = sorted((-1 if i is None else i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for i, x, *_ in rows for ids in [e.encode_ordinary(x or "")])
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in out) == want
 
