@@ -12,6 +12,10 @@ from kindred.llm import bpe, dedup, mixing, secrets, toxicity
 from kindred.llm.common import shared_path, table, written
 
 
+#: Characters of a block of the last stage: executors that have run four stages before have less memory to spare.
+BLOCK = 8_000_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, learnt from labels of other documents' fifths, does not take for toxic."""
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
@@ -34,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of ids and of the bytes that they decode to."""
-    return bpe.digest(bpe.decode(bpe.encode(docs)), "ids")
+    return bpe.digest(bpe.decode(bpe.encode(docs, block=BLOCK)), "packed").withColumnRenamed("packed", "ids")
 
 
 STAGES = [
