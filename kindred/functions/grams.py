@@ -25,20 +25,23 @@ def _both(s: Column) -> Column:
     return F.concat(grams(padded(s), 2), grams(padded(s), 3))
 
 
+def bound(use, **values: Column) -> Column:
+    """use(struct of the values): as a lambda's argument they are evaluated once, however often use refers to them."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return bound(lambda v: F.size(F.array_intersect(v["x"], v["y"])) / F.size(F.array_union(v["x"], v["y"])), x=_both(a), y=_both(b))
 
 
 def strike_a_match(a: Column, b: Column) -> Column:
     """Dice over distinct bigrams without padding; equality decides if neither has one."""
-    x, y = F.array_distinct(grams(a, 2)), F.array_distinct(grams(b, 2))
-    total = F.size(x) + F.size(y)
-    return F.when(total == 0, (a == b).cast("double")).otherwise(F.try_divide(2.0 * F.size(F.array_intersect(x, y)), total))
 
+    def dice(v: Column) -> Column:
+        total = F.size(v["x"]) + F.size(v["y"])
+        return F.when(total == 0, (a == b).cast("double")).otherwise(F.try_divide(2.0 * F.size(F.array_intersect(v["x"], v["y"])), total))
 
-def bound(use, **values: Column) -> Column:
-    """use(struct of the values): as a lambda's argument they are evaluated once, however often use refers to them."""
-    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
+    return bound(dice, x=F.array_distinct(grams(a, 2)), y=F.array_distinct(grams(b, 2)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -59,7 +62,13 @@ def cosine(a: Column, b: Column) -> Column:
 def skipgram(a: Column, b: Column, fixed: bool = False) -> Column:
     """Jaccard over bigrams and skip-grams. The second string's two-skips are taken from the first, as the
     thresholds were tuned on that; fixed=True takes its own."""
-    a1, b1 = F.array_distinct(grams(padded(a), 2)), F.array_distinct(grams(padded(b), 2))
-    a2 = F.array_union(skipped(padded(a), 1), skipped(padded(a), 2))
-    b2 = F.array_union(skipped(padded(b), 1), skipped(padded(b if fixed else a), 2))
-    return (F.size(F.array_intersect(a1, b1)) + F.size(F.array_intersect(a2, b2))) / (F.size(F.array_union(a1, b1)) + F.size(F.array_union(a2, b2)))
+
+    def share(v: Column) -> Column:
+        shared = F.size(F.array_intersect(v["a1"], v["b1"])) + F.size(F.array_intersect(v["a2"], v["b2"]))
+        return shared / (F.size(F.array_union(v["a1"], v["b1"])) + F.size(F.array_union(v["a2"], v["b2"])))
+
+    def sides(v: Column) -> Column:
+        x, y, two = v["x"], v["y"], v["two"]
+        return bound(share, a1=grams(x, 2), b1=grams(y, 2), a2=F.concat(skipped(x, 1), two), b2=F.concat(skipped(y, 1), skipped(y, 2) if fixed else two))
+
+    return bound(sides, x=padded(a), y=padded(b), two=skipped(padded(a), 2))
