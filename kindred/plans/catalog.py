@@ -10,7 +10,7 @@ from ..functions import metrics, terms, text
 from ..operators import compare, dataset, evaluate, features, ml, profile, sweep
 from ..schema import label, pair_id
 from . import sql
-from .fixtures import PAIRS_SQL, gazetteer, part_pairs, table
+from .fixtures import PAIRS_SQL, STEPPED_SQL, gazetteer, part_pairs, stepped_pairs, table
 
 ALL = list(params.BASIC)
 #: Metrics whose scores SQL gives too.
@@ -21,6 +21,10 @@ ORIG = {m: t for _, m, mode, t in params.thresholds() if mode == "orig"}
 SORTED = {m: t for _, m, mode, t in params.thresholds() if mode == "sorted"}
 TREES = 10
 GROUPED = ("basic", "ind")
+#: Metrics of names of any number of words that SQL gives.
+STEPPED = [m for m in SQL_METRICS if m != "permuted_winkler"]
+#: Term metrics that SQL gives.
+SQL_TERMS = [m for m in params.TERM_METRICS if m in sql.METRICS]
 
 
 def _metric(name: str):
@@ -102,12 +106,17 @@ def _pairs(expr):
     return lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", *(c.alias(n) for n, c in expr(F.col("s1"), F.col("s2")).items()))
 
 
-def _lsim(averaged: bool):
+def _lsim(averaged: bool, names=params.TERM_METRICS):
     prefix = "avg_lsim_" if averaged else "lsim_"
-    specs = {f"{prefix}{m}": (m, averaged, False) for m in params.TERM_METRICS}
+    specs = {f"{prefix}{m}": (m, averaged, False) for m in names}
     return lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", terms.lsim_scores(F.col("s1"), F.col("s2"), specs).alias("x")).select("s1", "s2", *(F.round(F.col("x")[n], 6).alias(n) for n in specs))
 
 
+def _lsim_sql(averaged: bool) -> str:
+    own = {m: params.PROFILES["global"][m]["avg" if averaged else "simple"] for m in SQL_TERMS}
+    return sql.lsimilarity({f"{'avg_' * averaged}lsim_{m}": (m, *own[m]) for m in SQL_TERMS}, averaged)
+
+
 def _words(df: DataFrame) -> DataFrame:
     return df.select(F.explode(text.wordpunct_words(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("count")).select(F.lit("gram_token").alias("kind"), "gram", "count")
 
@@ -133,6 +142,10 @@ def queries() -> dict:
         "term_split": lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", terms.term_split(F.col("s1"), F.col("s2"), 0.55).alias("t")).select("s1", "s2", *(F.array_join(F.col("t")[g][s], ",").alias(f"{g}_{s}") for g in ("base", "mismatch", "special") for s in "ab")),
         "lsim_simple": _lsim(False),
         "lsim_avg": _lsim(True),
+        "lsim_simple_standard": _lsim(False, SQL_TERMS),
+        "lsim_avg_standard": _lsim(True, SQL_TERMS),
+        "stepped_confusion": lambda spark, sf: _rounded(evaluate.evaluate_metrics(stepped_pairs(spark, sf), names=STEPPED)),
+        "stepped_scores": lambda spark, sf: evaluate.scored(stepped_pairs(spark, sf).withColumns({"a": F.col("s1"), "b": F.col("s2")}), NATIVE).select("k1", "k2", *(F.round(m, 6).alias(m) for m in NATIVE)),
         "transform_pair": lambda spark, sf: evaluate.transformed(part_pairs(spark, sf), sorting=True, canonical=True).select("s1", "s2", "a", "b"),
         "transform_pair_guarded": lambda spark, sf: evaluate.transformed(part_pairs(spark, sf), sorting=True, simple_sorting=False).select("s1", "s2", "a", "b"),
         "normalize_strip_accents": _docs(lambda t: {"md5": F.md5(text.strip_accents(t).cast("binary"))}),
@@ -186,6 +199,11 @@ def oracle_sql() -> dict[str, str]:
         "decisions": f"WITH {PAIRS_SQL} SELECT s1 AS a, s2 AS b, upper(y::VARCHAR) AS real, {decide} FROM p",
         "sweep_threshold": sql.sweep(NATIVE, sweep.steps(0.3, 0.85)),
         "best_per_metric": sql.sweep(NATIVE, sweep.steps(0.3, 0.85), best=True),
+        "term_split": sql.term_split(0.55),
+        "lsim_simple_standard": _lsim_sql(False),
+        "lsim_avg_standard": _lsim_sql(True),
+        "stepped_confusion": sql.confusion({m: ORIG[m] for m in STEPPED}, STEPPED_SQL),
+        "stepped_scores": f"WITH {STEPPED_SQL} SELECT k1, k2, {', '.join(f'round({sql.METRICS[m]("s1", "s2")}, 6) AS {m}' for m in NATIVE)} FROM p",
         "transform_pair": f"WITH {PAIRS_SQL} SELECT s1, s2, {a} AS a, {b} AS b FROM p",
         "normalize_strip_accents": "SELECT doc_id, md5(strip_accents(text)) AS md5 FROM documents",
         "normalize_canonical": f"SELECT doc_id, md5(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '{punctuation}', '', 'g')) AS md5 FROM documents",

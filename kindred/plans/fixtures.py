@@ -26,6 +26,20 @@ def part_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("s1") < F.col("s2")).repartition("s1", "s2").select("s1", "s2", res.alias("res"))
 
 
+#: Each part meets so many of the next keys: the pairs grow in step with the parts.
+STEPS = 5
+
+
+def stepped_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of parts whose keys lie 1 to STEPS apart: k1, k2, their names with types, and TRUE if the types agree.
+
+    An equi-join on the key: rows spread by key, whatever the names are. Parts without a name or type are left out."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("s"), F.lower("p_type").alias("t")).filter("s IS NOT NULL")
+    a = parts.select(F.col("k").alias("k1"), F.col("s").alias("s1"), F.col("t").alias("t1"), F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("d")).withColumn("k2", F.col("k1") + F.col("d"))
+    b = parts.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("t").alias("t2"))
+    return a.join(b, "k2").select("k1", "k2", "s1", "s2", F.when(F.col("t1") == F.col("t2"), "TRUE").otherwise("FALSE").alias("res"))
+
+
 def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     """A record a brand and size, whose names are its parts' names."""
     parts = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
@@ -35,3 +49,5 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 
 PAIRS_SQL = """n AS (SELECT DISTINCT p_name AS n FROM part WHERE p_name IS NOT NULL),
 p AS (SELECT a.n AS s1, b.n AS s2, string_split(a.n, ' ')[-1] = string_split(b.n, ' ')[-1] AS y FROM n AS a JOIN n AS b ON a.n < b.n)"""
+STEPPED_SQL = f"""n AS (SELECT p_partkey AS k, p_name || ' ' || lower(p_type) AS s, lower(p_type) AS t FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL),
+p AS (SELECT a.k AS k1, b.k AS k2, a.s AS s1, b.s AS s2, a.t = b.t AS y FROM (SELECT *, unnest(range(1, {STEPS + 1})) AS d FROM n) AS a JOIN n AS b ON b.k = a.k + a.d)"""

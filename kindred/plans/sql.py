@@ -136,8 +136,8 @@ COUNTS = """count(*) FILTER (y AND score >= thres) AS tp, count(*) FILTER (y AND
        count(*) FILTER (NOT y AND score >= thres) AS fp, count(*) FILTER (NOT y AND score < thres) AS tn"""
 
 
-def confusion(thresholds: dict[str, float]) -> str:
-    return f"WITH {PAIRS_SQL}, d AS ({decided(thresholds)}), c AS (SELECT method, {COUNTS} FROM d GROUP BY method) SELECT method, {QUALITY} FROM c WHERE tp > 0"
+def confusion(thresholds: dict[str, float], pairs: str = PAIRS_SQL) -> str:
+    return f"WITH {pairs}, d AS ({decided(thresholds)}), c AS (SELECT method, {COUNTS} FROM d GROUP BY method) SELECT method, {QUALITY} FROM c WHERE tp > 0"
 
 
 def sweep(methods, thresholds: list[float], best: bool = False) -> str:
@@ -145,3 +145,38 @@ def sweep(methods, thresholds: list[float], best: bool = False) -> str:
     zero = QUALITY.replace("round(tp / nullif(tp + fp, 0), 6)", "round(coalesce(tp / nullif(tp + fp, 0), 0), 6)").replace("round(2 *", "round(coalesce(2 *").replace("fp + fn, 0), 6) AS f1", "fp + fn, 0), 0), 6) AS f1")
     rows = f"WITH {PAIRS_SQL}, d AS ({d}), t AS (SELECT unnest({thresholds})::DOUBLE AS thres), c AS (SELECT method, thres, {COUNTS} FROM d, t GROUP BY method, thres), r AS (SELECT method, thres, {zero} FROM c)"
     return f"{rows} SELECT * FROM r" + (" QUALIFY row_number() OVER (PARTITION BY method ORDER BY accuracy DESC, thres) = 1" if best else "")
+
+
+def term_splits(thresholds) -> str:
+    """CTEs that end in g: the base and mismatching terms of each pair at each threshold. Terms are met in order, a step a row."""
+    alike = jw("reverse(x[i])", "reverse(y[j])")
+    taken = lambda side, word, when: f"CASE WHEN {when} THEN list_append({side}, {word}) ELSE {side} END"
+    return f"""{PAIRS_SQL}, t AS (
+  SELECT s1, s2, thres, {tokens("s1")} AS x, {tokens("s2")} AS y, 1 AS i, 1 AS j, []::VARCHAR[] AS ba, []::VARCHAR[] AS bb, []::VARCHAR[] AS ma, []::VARCHAR[] AS mb
+  FROM p, (SELECT unnest({sorted(set(thresholds))})::DOUBLE AS thres)
+  UNION ALL
+  SELECT s1, s2, thres, x, y, i + (alike OR first)::INT, j + (alike OR NOT first)::INT,
+         {taken("ba", "x[i]", "alike")}, {taken("bb", "y[j]", "alike")}, {taken("ma", "x[i]", "NOT alike AND first")}, {taken("mb", "y[j]", "NOT alike AND NOT first")}
+  FROM (SELECT *, {alike} >= thres AS alike, x[i] < y[j] AS first FROM t WHERE i <= len(x) AND j <= len(y))),
+g AS (SELECT s1, s2, thres, ba, bb, list_concat(ma, x[i:]) AS ma, list_concat(mb, y[j:]) AS mb FROM t WHERE i > len(x) OR j > len(y))"""
+
+
+def term_split(thres: float) -> str:
+    return f"WITH RECURSIVE {term_splits([thres])} SELECT s1, s2, " + ", ".join(f"array_to_string({side}, ',') AS {name}" for side, name in (("ba", "base_a"), ("bb", "base_b"), ("ma", "mismatch_a"), ("mb", "mismatch_b"))) + ", '' AS special_a, '' AS special_b FROM g"
+
+
+def lsimilarity(settings: dict[str, tuple[str, float, tuple]], averaged: bool) -> str:
+    """Term similarity of pairs without frequent terms; settings: column -> metric, split threshold and weights."""
+    chars = lambda a, b: f"(length(array_to_string({a}, '')) + length(array_to_string({b}, '')))"
+    turned = lambda x: f"array_to_string(list_transform({tokens(x)}, lambda t: reverse(t)), ' ')"
+    # A reversed metric reverses each term, not the whole string.
+    own = METRICS | {"jaro_winkler_r": lambda a, b: jw(turned(a), turned(b))}
+    columns = []
+    for name, (metric, thres, (base, mismatch, special)) in settings.items():
+        score = lambda a, b, n: f"CASE WHEN {n} = 0 THEN 0 ELSE {own[metric](a, b)} END"  # noqa: E731, B023
+        w0 = f"(CASE WHEN n0 = 0 THEN 0 WHEN n1 = 0 THEN {base + mismatch} ELSE {base} END + {special} * n0 / (n0 + n1))" + " * c0" * averaged
+        w1 = f"(CASE WHEN n1 = 0 THEN 0 WHEN n0 = 0 THEN {base + mismatch} ELSE {mismatch} END + {special} * n1 / (n0 + n1))" + " * c1" * averaged
+        columns.append(f"round(max(CASE WHEN thres = {thres} THEN ({w0} * {score('a0', 'b0', 'n0')} + {w1} * {score('a1', 'b1', 'n1')}) / ({w0} + {w1}) END), 6) AS {name}")
+    joined = ", ".join(f"array_to_string({side}, ' ') AS {name}" for side, name in (("ba", "a0"), ("bb", "b0"), ("ma", "a1"), ("mb", "b1")))
+    groups = f"h AS (SELECT s1, s2, thres, {joined}, len(ba) + len(bb) AS n0, len(ma) + len(mb) AS n1, {chars('ba', 'bb')} AS c0, {chars('ma', 'mb')} AS c1 FROM g)"
+    return f"WITH RECURSIVE {term_splits(t for _, t, _ in settings.values())}, {groups} SELECT s1, s2, {', '.join(columns)} FROM h GROUP BY s1, s2"

@@ -223,3 +223,28 @@ def test_dataset_command_writes_both_files(spark, tmp_path):
     cli.main(["-d", str(tmp_path / "g.txt"), "--buildDataset", "--output", str(tmp_path / "o")])
     every, kept = (files.read_pairs(spark, str(tmp_path / "o" / n)) for n in ("dataset-unfiltered", "dataset-string-similarity"))
     assert every.count() >= kept.count() > 0 and kept.filter("res = 'TRUE'").count() * 2 == kept.count()
+
+
+def test_queries_equal_their_sql_on_names_of_any_length(spark, tmp_path):
+    """Term similarity and pairs that grow with the parts, against DuckDB, on names of one to four words and missing values."""
+    import duckdb
+
+    from kindred.plans import catalog
+
+    names = ["old mill town", "mill town old", "north point", "point", "new mill bridge road", "mil town", "lake", "lakes north pt", None, "old mill town"]
+    rows = [(i if i < 7 else i + 3, n, None if i == 4 else f"KIND {i % 2}") for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("term_split", "lsim_simple_standard", "lsim_avg_standard", "stepped_scores", "stepped_confusion"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)), db.sql(catalog.oracle_sql()[name])
+        assert sorted(got.columns) == sorted(want.columns)
+        mine = sorted(([r[c] for c in want.columns] for r in got.collect()), key=str)
+        theirs = sorted((list(r) for r in want.fetchall()), key=str)
+        assert len(mine) == len(theirs) > 0
+        for x, y in zip(mine, theirs, strict=True):
+            assert x == pytest.approx(y, abs=2e-6), name
+    from kindred.plans.fixtures import stepped_pairs
+
+    keys = [r[0] for r in rows if r[1] and r[2]]
+    assert sorted((r.k1, r.k2) for r in stepped_pairs(spark, str(tmp_path)).collect()) == [(a, b) for a in keys for b in keys if 0 < b - a <= 5]
