@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_encode_bpe
 from .dedup import op3_near_duplicates
+from .divergence import OP13_SQL, op13_source_divergence
 from .hamming import OP9_SQL, op9_hamming_search
 from .language import op7_identify_language
 from .licenses import OP4_SQL, op4_scan_licenses
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_token_files": op8_token_files,
         "op9_hamming_search": op9_hamming_search,
         "op10_encode_bpe": op10_encode_bpe,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_scan_licenses": OP4_SQL, "op9_hamming_search": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_scan_licenses": OP4_SQL, "op9_hamming_search": OP9_SQL, "op13_source_divergence": OP13_SQL}
