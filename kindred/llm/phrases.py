@@ -105,9 +105,9 @@ class Hashes(dict):
 
 
 def phrase_hashes(words: list[str], lang: str, known: Hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: where its phrases start in words, and their 64-bit hashes."""
+    """For each length: where its phrases start in words, and their 64-bit hashes, which stand for phrases within a task."""
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 1))
     whole, mixed = h != 0, h ^ seed
     for n in range(2, LONGEST + 1):
         whole = whole[:-1] & (h[n - 1 :] != 0)
