@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from . import params
 from .functions import terms
 from .operators import compare, dataset, evaluate, features, ml, profile, sweep
-from .schema import pair_id
 from .sources import files
 
 VERSION = "2.1"
@@ -33,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--terms", help="pattern of frequent-term files")
     p.add_argument("--trees", type=int, help="trees of forests and rounds of boosting, if not the tuned numbers")
     p.add_argument("--iterations", type=int, default=300, help="settings that a random search draws for each classifier")
-    p.add_argument("--metric", default="jaccard", choices=params.EVALUATED, help="the metric that --cmp looks at in two files")
+    p.add_argument("--halves", action="store_true", help="--cmp: the second half of the outcomes stands first, as two-fold trials write them")
     p.add_argument("--timing", action="store_true", help="seconds by metric")
     p.add_argument("--output", default="output")
     p.add_argument("--version", action="version", version=VERSION)
@@ -46,35 +45,36 @@ def frequent(spark: SparkSession, a) -> list[str]:
 
 
 def compared(spark: SparkSession, a, paths: list[str]) -> None:
+    """A file of pairs and one of outcomes, or a file of pairs and the decisions of two runs over it: rows meet by number."""
+    if len(paths) not in (2, 3):
+        print("--cmp takes two or three files")
+        return
+    pairs = files.read_pairs(spark, paths[0], with_rows=True)
     if len(paths) == 2:
-        keyed = [files.read_decisions(spark, x).withColumn("pair_id", pair_id("a", "b")) for x in paths]
-        wrong = keyed[0].select("pair_id", F.col("a").alias("s1"), F.col("b").alias("s2"), (F.col("real") == "TRUE").alias("res1")).join(keyed[1].select("pair_id", (F.col(a.metric) == "TRUE").alias("res2")), "pair_id")
-        found = compare.false_negatives_positives(wrong)
+        found = compare.outcomes_of(pairs, files.read_outcomes(spark, paths[1], a.halves), a.onlyLATIN)
         for kind, name in (("FN", "false_negatives"), ("FP", "false_positives")):
-            files.write_tsv(found.filter(F.col("kind") == kind).select("s1", "s2"), f"{a.output}/{name}")
+            files.write_tsv(found.filter(F.col("kind") == kind).orderBy("row").select("s1", "s2"), f"{a.output}/{name}")
         found.groupBy("kind").count().show()
-    elif len(paths) == 3:
-        as_bool = lambda df: df.select(pair_id("a", "b").alias("pair_id"), (F.col("real") == "TRUE").alias("res"), *((F.col(m) == "TRUE").alias(m) for m in params.EVALUATED))
-        first, second = (as_bool(files.read_decisions(spark, x)) for x in paths[1:])
-        found = compare.regressions(first, second, list(params.EVALUATED))
-        named = files.read_decisions(spark, paths[2]).select(pair_id("a", "b").alias("pair_id"), F.col("real").alias("res"), F.col("a").alias("transformed_s1"), F.col("b").alias("transformed_s2"))
-        files.write_tsv(compare.true_first(found.join(named, "pair_id").select("metric", "res", "transformed_s1", "transformed_s2"), "transformed_s1", "transformed_s2"), f"{a.output}/regressions", by="metric")
-        found.groupBy("metric").count().show()
-        print("pairs of unequal truth:", compare.inconsistent(first, second).count())
-    else:
-        print("--cmp takes two or three files")
+        return
+    first, second = (files.read_decisions(spark, x) for x in paths[1:])
+    metrics = [m for m in files.metrics_of(first) if m in files.metrics_of(second)]
+    found = compare.runs_of(pairs, first, second, metrics, a.onlyLATIN)
+    files.write_tsv(compare.true_first(found, "row").select("metric", "s1", "s2", "res", "transformed_s1", "transformed_s2"), f"{a.output}/regressions", by="metric")
+    found.groupBy("metric").count().show()
+    truth = lambda df: df.select("row", F.col("real").alias("res"))
+    print("pairs of unequal truth:", compare.inconsistent(truth(first), truth(second), "row").count())
 
 
 def learnt(spark: SparkSession, a, pairs) -> None:
     groups = ("basic", "sorted") if a.ev == "custom" else features.GROUPS if a.sort else ("basic",)
     known = frequent(spark, a)
-    build = lambda df: features.build(df, groups, a.canonical, "latin" if a.onlyLATIN or a.encoding == "latin" else "global", known)
+    build = lambda df: features.build(df, groups, a.canonical, "latin" if a.onlyLATIN or a.encoding == "latin" else "global", known, keep=[c for c in ("row",) if c in df.columns])
     df = build(pairs).cache()
-    names = [c for c in df.columns if c not in ("pair_id", "label")]
+    names = [c for c in df.columns if c not in ("row", "pair_id", "label")]
     if a.features and not a.fs:
         df, names = features.masked(df, names, [x == "True" for x in a.features.split(",")])
     if a.test_dataset:
-        train, test = df, build(files.read_pairs(spark, a.test_dataset))
+        train, test = df, build(files.read_pairs(spark, a.test_dataset, with_rows=a.accuracyresults))
     else:
         cut = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
         train, test = df.filter(~cut), df.filter(cut)
@@ -103,8 +103,9 @@ def learnt(spark: SparkSession, a, pairs) -> None:
     for x in found:
         ml.top_importances(spark, models[x["classifier"]], x["features"]).show(truncate=False)
     if a.accuracyresults:
-        # One file a classifier and set of feature groups.
-        files.write_tsv(decided.withColumn("groups", F.lit("-".join(groups))), f"{a.output}/classifiers", by=("classifier", "groups"))
+        # One file a classifier and set of feature groups, which --cmp reads: the pair's row, truth and prediction.
+        said = decided.select("row", (F.col("label") > 0).alias("res1"), F.col("predicted").alias("res2"), "classifier", F.lit("-".join(groups)).alias("groups"))
+        files.write_tsv(said, f"{a.output}/classifiers", header=True, by=("classifier", "groups"))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -124,10 +125,12 @@ def main(argv: list[str] | None = None) -> None:
         if not files.exists(spark, p):
             print(f"no such file: {p}")
             return
-    pairs = files.read_pairs(spark, paths[0])
     if a.cmp:
         compared(spark, a, paths)
-    elif a.timing:
+        return
+    # Result files carry their rows' numbers.
+    pairs = files.read_pairs(spark, paths[0], with_rows=a.accuracyresults)
+    if a.timing:
         evaluate.seconds_by_metric(pairs, sorting=a.sort, canonical=a.canonical).show(50, truncate=False)
     elif a.test == 2:
         strings = profile.both(pairs)
@@ -158,12 +161,12 @@ def main(argv: list[str] | None = None) -> None:
     elif a.ev == "SotAMetrics":
         evaluate.evaluate_metrics(pairs, a.sort, a.canonical, a.permuted, a.onlyLATIN, a.encoding, frequent=frequent(spark, a)).show(50, truncate=False)
         if a.accuracyresults:
-            files.write_tsv(evaluate.decisions(pairs, a.sort, a.canonical, latin=a.onlyLATIN, encoding=a.encoding), f"{a.output}/decisions")
+            files.write_decisions(evaluate.decisions(pairs, a.sort, a.canonical, latin=a.onlyLATIN, encoding=a.encoding, frequent=frequent(spark, a)), f"{a.output}/decisions{'_canonical' * a.canonical}{'_sorted' * a.sort}")
     elif a.ev == "lSimilarityMetrics":
         evaluate.evaluate_lsimilarities(pairs, a.sort, a.canonical, a.onlyLATIN, a.encoding, frequent=frequent(spark, a)).show(50, truncate=False)
         if a.accuracyresults:
             said = evaluate.term_decisions(pairs, a.sort, a.canonical, a.onlyLATIN, a.encoding, frequent=frequent(spark, a))
-            files.write_tsv(said, f"{a.output}/decisions-terms{'_canonical' * a.canonical}{'_sorted' * a.sort}")
+            files.write_decisions(said, f"{a.output}/decisions-terms{'_canonical' * a.canonical}{'_sorted' * a.sort}")
     elif a.ev == "TestMetrics":
         evaluate.evaluate_at(pairs, 0.55, frequent=frequent(spark, a)).show(50, truncate=False)
     elif a.ev in ("SotAML", "DLearning"):

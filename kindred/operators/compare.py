@@ -1,4 +1,4 @@
-"""Comparison of result files by pair id."""
+"""Comparison of runs: rows of result files meet by their number in the file of pairs (or by another key)."""
 
 from __future__ import annotations
 
@@ -23,6 +23,21 @@ def regressions(first: DataFrame, second: DataFrame, metrics: list[str], on: str
     return rows.filter("res1 = d1 AND res2 <> d2").select(on, "metric", "res1", "d2")
 
 
+def outcomes_of(pairs: DataFrame, outcomes: DataFrame, latin: bool = False) -> DataFrame:
+    """row, kind (FN or FP), s1 and s2 of the numbered pairs whose outcome (row, res1, res2) is wrong."""
+    df = (latin_only(pairs) if latin else pairs).select("row", "s1", "s2").join(outcomes, "row")
+    return df.filter(F.col("res1") != F.col("res2")).select("row", F.when(F.col("res1"), "FN").otherwise("FP").alias("kind"), "s1", "s2")
+
+
+def runs_of(pairs: DataFrame, first: DataFrame, second: DataFrame, metrics: list[str], latin: bool = False) -> DataFrame:
+    """row, metric, s1, s2, res and the second run's strings where the first of two runs over the numbered pairs decides
+    rightly and the second wrongly. Runs have row, real, the metrics as TRUE or FALSE, a and b, and may list rows in any order."""
+    said = lambda df: df.select("row", (F.col("real") == "TRUE").alias("res"), *((F.col(m) == "TRUE").alias(m) for m in metrics))
+    rows = regressions(said(first), said(second), metrics, "row").select("row", "metric")
+    named = (latin_only(pairs) if latin else pairs).select("row", "s1", "s2", "res")
+    return rows.join(named, "row").join(second.select("row", F.col("a").alias("transformed_s1"), F.col("b").alias("transformed_s2")), "row")
+
+
 def true_first(df: DataFrame, *ties: str) -> DataFrame:
     return df.orderBy(F.desc("res"), *ties)
 

@@ -12,6 +12,8 @@ from ..functions import grams, metrics, terms, text
 from ..schema import label
 
 NATIVE = {"jaccard": grams.jaccard, "strike_a_match": grams.strike_a_match, "cosine": grams.cosine, "skipgram": grams.skipgram}
+#: The term similarity that sorted runs add, simple and averaged.
+BOTH_TERMS = dict(zip(params.TERM_DECISIONS, (("damerau_levenshtein", False, False), ("damerau_levenshtein", True, False)), strict=True))
 
 
 def transformed(df: DataFrame, sorting=False, canonical=False, simple_sorting=True, sort_thres=0.45, a="s1", b="s2") -> DataFrame:
@@ -80,20 +82,25 @@ def evaluate_metrics(pairs: DataFrame, sorting=False, canonical=False, permuted=
     names = list(names or params.EVALUATED) + (["permuted_winkler"] if permuted else [])
     df = scored(transformed(pairs.withColumn("label", label(F.col("res"))), sorting, canonical), names)
     if sorting:
-        df = df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), {"lsim_damerau_levenshtein": ("damerau_levenshtein", False, False), "avg_lsim_damerau_levenshtein": ("damerau_levenshtein", True, False)}, frequent=frequent)).select("*", "__l.*").drop("__l")
-        names += ["lsim_damerau_levenshtein", "avg_lsim_damerau_levenshtein"]
+        df = df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), BOTH_TERMS, frequent=frequent)).select("*", "__l.*").drop("__l")
+        names += BOTH_TERMS
     rows = long(df, names, "label")
     if thres is None:
         return confusion(rows, params.threshold_mode(sorting, latin, encoding))
     return ratios(counted(rows.withColumn("predicted", F.col("score") >= thres), "method")).filter(F.col("f1").isNotNull())
 
 
-def decisions(pairs: DataFrame, sorting=False, canonical=False, names=params.EVALUATED, latin=False, encoding=None) -> DataFrame:
-    """real, a decision a metric in order of evaluation, and the transformed strings: what a result file holds."""
+def decisions(pairs: DataFrame, sorting=False, canonical=False, names=params.EVALUATED, latin=False, encoding=None, frequent=()) -> DataFrame:
+    """real, a decision a metric in order of evaluation (sorted runs: and the two term metrics), and the transformed strings:
+    what a result file holds. Of numbered pairs row, s1 and s2 come first, by which runs are compared."""
     table = {m: t for _, m, mode, t in params.thresholds() if mode == params.threshold_mode(sorting, latin, encoding)}
     df = scored(transformed(pairs, sorting, canonical), names)
+    if sorting:
+        df = df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), BOTH_TERMS, frequent=frequent)).select("*", "__l.*").drop("__l")
     said = lambda c: F.upper(c.cast("string"))
-    return df.select(said(label(F.col("res")) > 0).alias("real"), *(said(F.col(n) >= table[n]).alias(n) for n in names), "a", "b")
+    key = ["row", "s1", "s2"] if "row" in pairs.columns else []
+    every = [*names, *(BOTH_TERMS if sorting else ())]
+    return df.select(*key, said(label(F.col("res")) > 0).alias("real"), *(said(F.col(n) >= table[n]).alias(n) for n in every), "a", "b")
 
 
 def evaluate_lsimilarities(pairs: DataFrame, sorting=True, canonical=False, latin=False, encoding=None, profile="global", frequent=()) -> DataFrame:
@@ -124,13 +131,14 @@ def seconds_by_metric(pairs: DataFrame, names=params.EVALUATED, sorting=False, c
 
 
 def term_decisions(pairs: DataFrame, sorting=True, canonical=False, latin=False, encoding=None, profile="global", frequent=()) -> DataFrame:
-    """real, a decision a term metric in order of evaluation, and the transformed strings."""
+    """real, a decision a term metric in order of evaluation, and the transformed strings; row, s1 and s2 first of numbered pairs."""
     table = {m: t for _, m, mode, t in params.thresholds() if mode == params.threshold_mode(sorting, latin, encoding)}
     specs = {f"avg_lsim_{m}": (m.removesuffix("_r"), True, m.endswith("_r")) for m in params.TERM_METRICS}
     df = transformed(pairs, sorting, canonical, simple_sorting=False)
-    df = df.select("res", "a", "b", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent).alias("l"))
+    key = ["row", "s1", "s2"] if "row" in pairs.columns else []
+    df = df.select(*key, "res", "a", "b", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent).alias("l"))
     said = lambda c: F.upper(c.cast("string"))
-    return df.select(said(label(F.col("res")) > 0).alias("real"), *(said(F.col("l")[n] >= table[n]).alias(n) for n in specs), "a", "b")
+    return df.select(*key, said(label(F.col("res")) > 0).alias("real"), *(said(F.col("l")[n] >= table[n]).alias(n) for n in specs), "a", "b")
 
 
 def unavailable(name: str):

@@ -52,4 +52,4 @@ def build(pairs: DataFrame, groups=GROUPS, canonical=False, profile="global", fr
 def masked(features: DataFrame, names: list[str], mask: list[bool]) -> tuple[DataFrame, list[str]]:
     """The features that a mask keeps; use it on train and test alike."""
     kept = [n for n, k in zip(names, mask, strict=True) if k]
-    return features.select("pair_id", "label", *kept), kept
+    return features.select("pair_id", *(c for c in ("row",) if c in features.columns), "label", *kept), kept

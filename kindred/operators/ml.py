@@ -180,14 +180,14 @@ def strongest(train: DataFrame, names: list[str], name: str, n: int = 12, trees:
 
 
 def train_and_eval(train: DataFrame, test: DataFrame, names: list[str], algorithms=("all",), trees: int | None = None, models: dict[str, PipelineModel] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Quality by classifier on test, and the decisions: classifier, pair_id, label, predicted.
+    """Quality by classifier on test, and the decisions: classifier, pair_id (and row, if test has it), label, predicted.
 
     models are pipelines fitted before, by tune() say; without them each classifier is fitted with its own settings."""
     if models is None:
         models = {name: fit(train, names, clf) for name, clf in chosen(list(algorithms), len(names), trees, train.count()).items()}
     out = None
     for name, model in models.items():
-        one = model.transform(test).select(F.lit(name).alias("classifier"), "pair_id", "label", (F.col("prediction") > 0).alias("predicted"))
+        one = model.transform(test).select(F.lit(name).alias("classifier"), "pair_id", *(c for c in ("row",) if c in test.columns), "label", (F.col("prediction") > 0).alias("predicted"))
         out = one if out is None else out.unionByName(one)
     return ratios(counted(out, "classifier"), missing=0.0), out
 

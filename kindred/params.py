@@ -77,6 +77,9 @@ EVALUATED = (
     "soft_jaccard", "sorted_winkler", "skipgram", "davies", "l_jaro_winkler", "l_jaro_winkler_r",
 )
 
+#: What sorted runs decide besides: the term similarity, simple and averaged.
+TERM_DECISIONS = ("lsim_damerau_levenshtein", "avg_lsim_damerau_levenshtein")
+
 #: Features: metrics in vector order. Names carry their group, as one display name stands in two groups.
 FEATURE_BASIC = (
     "damerau_levenshtein", "jaro", "jaro_winkler", "jaro_winkler_r", "sorted_winkler", "cosine", "jaccard", "strike_a_match",

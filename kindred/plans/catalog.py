@@ -9,8 +9,9 @@ from .. import params
 from ..functions import metrics, terms, text
 from ..operators import compare, dataset, evaluate, features, ml, profile, sweep
 from ..schema import label, pair_id
+from ..sources import files
 from . import sql
-from .fixtures import PAIRS_SQL, STEPPED_SQL, gazetteer, part_pairs, stepped_pairs, table
+from .fixtures import PAIRS_SQL, STEPPED_SQL, gazetteer, pair_file, part_pairs, stepped_pairs, table
 
 ALL = list(params.BASIC)
 #: Metrics whose scores SQL gives too.
@@ -102,6 +103,16 @@ def _regressions(spark, sf) -> DataFrame:
     return compare.regressions(first, second, list(NATIVE)).join(first.select("pair_id", "s1", "s2"), "pair_id").select("s1", "s2", "metric")
 
 
+def _compared_runs(spark, sf) -> DataFrame:
+    """Two runs over a file of pairs, whose decision files are read again and met by row."""
+    pairs, runs = files.read_pairs(spark, pair_file(spark, sf), with_rows=True), []
+    for sorting in (False, True):
+        path = files.shared_path(spark, "decisions")
+        files.write_decisions(evaluate.decisions(pairs, sorting, names=NATIVE), path)
+        runs.append(files.read_decisions(spark, path))
+    return compare.runs_of(pairs, *runs, list(NATIVE)).select("row", "metric", "s1", "s2", "res")
+
+
 def _pairs(expr):
     return lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", *(c.alias(n) for n, c in expr(F.col("s1"), F.col("s2")).items()))
 
@@ -176,6 +187,7 @@ def queries() -> dict:
         "dataset_balance": lambda spark, sf: dataset.balanced(part_pairs(spark, sf)).groupBy("res").agg(F.count("*").alias("n"), F.max("rn").cast("long").alias("last")),
         "false_pos_neg": _false_pos_neg,
         "metric_regressions": _regressions,
+        "compared_runs": _compared_runs,
         "ml_cv": _tuned,
         "ml_rfe": _eliminated,
         "ml_importances": _importances,
@@ -222,4 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "metric_regressions": f"WITH {PAIRS_SQL}, t AS (SELECT s1, s2, y, {a} AS a, {b} AS b FROM p), d AS ("
         + " UNION ALL ".join(f"SELECT s1, s2, y, '{m}' AS metric, {sql.METRICS[m]('s1', 's2')} >= {ORIG[m]} AS d1, {sql.METRICS[m]('a', 'b')} >= {SORTED[m]} AS d2 FROM t" for m in NATIVE)
         + ") SELECT s1, s2, metric FROM d WHERE y = d1 AND y <> d2",
+        "compared_runs": f"WITH {STEPPED_SQL}, t AS (SELECT row_number() OVER (ORDER BY k1, k2) - 1 AS row, s1, s2, y, {a} AS a, {b} AS b FROM p), d AS ("
+        + " UNION ALL ".join(f"SELECT row, s1, s2, y, '{m}' AS metric, {sql.METRICS[m]('s1', 's2')} >= {ORIG[m]} AS d1, {sql.METRICS[m]('a', 'b')} >= {SORTED[m]} AS d2 FROM t" for m in NATIVE)
+        + ") SELECT row, metric, s1, s2, upper(y::VARCHAR) AS res FROM d WHERE y = d1 AND y <> d2",
     }

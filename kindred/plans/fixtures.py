@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 #: Names are a small vocabulary; beyond so many the pairs are not made.
 NAMES = 20_000
 
@@ -40,6 +42,14 @@ def stepped_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "k2").select("k1", "k2", "s1", "s2", F.when(F.col("t1") == F.col("t2"), "TRUE").otherwise("FALSE").alias("res"))
 
 
+def pair_file(spark: SparkSession, sf: str) -> str:
+    """The path of a file of stepped pairs in order of their keys, as pair files are laid out."""
+    path = files.shared_path(spark, "pairs")
+    ordered = stepped_pairs(spark, sf).orderBy("k1", "k2")
+    files.write_tsv(ordered.select("s1", "s2", "res", "k1", "k2", *(F.lit(x).alias(c) for c, x in (("a1", "LATIN"), ("a2", "LATIN"), ("cc1", "GR"), ("cc2", "GR")))), path)
+    return path
+
+
 def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     """A record a brand and size, whose names are its parts' names."""
     parts = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
