@@ -1,14 +1,16 @@
 """Phrases whose words stand together more often than apart, by language.
 
-Texts are cut into pieces and words. A count of words by language comes first. Then a sketch of two rows of
-saturating counters, indexed by hashes of language and phrase, bounds from above how often each phrase of two or three words
-occurs: phrases whose two bounds reach LEAST are candidates, among them all that occur so often. Candidates compile
-into automata; each phrase is guarded by a blank on either side, as each word of a text is, so that matches, which may
-overlap, begin and end with words. Tasks scan their texts with their language's automata, the counts are
-summed, and thresholds, cuts and the ranking follow on exact counts as joins and windows.
+Texts are cut into pieces and words. A count of words by language comes first: a phrase occurs no more often than its
+rarest word. Then a sketch of two rows of saturating counters, indexed by hashes of language and phrase, bounds from above
+how often each phrase of two or three words occurs: phrases whose two bounds reach LEAST are candidates, among them
+all that occur so often. Candidates compile into automata over words, each of which is one character; delimiters
+stand for ends of pieces and for all words of no candidate, so that matches, which may overlap, are of whole words within a
+piece. Tasks scan their texts with their language's automata, the counts are summed, and thresholds, cuts and
+the ranking follow on exact counts as joins and windows.
 
 Memory is bounded at every size: counters by CELLS, automata by ROUND phrases at a time; where there are more
-candidates, further rounds scan the texts again. Wider data fill the counters and give more candidates, never fewer.
+candidates, further rounds scan the texts again. More data fill the counters and give more candidates, never fewer. What
+tasks pass on of the sketch grows with the distinct phrases that they met, not with the counters.
 
 Defined results: null texts are empty, a null language counts as `und`; very long texts are counted whole; rows that
 repeat count as often as they occur; ties are settled by the smaller cut and by the phrase in UTF-8 order; null doc_ids
@@ -21,6 +23,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from operator import itemgetter
 
 import ahocorasick
@@ -40,8 +43,12 @@ LEAST, LONGEST, INSIDE, FIRST = 10, 3, 50, 2000
 CELLS, FILL = (1 << 16, 1 << 27), 4
 #: Counters that meet in one row of a merge.
 BLOCK = 1 << 16
-#: Candidates that are broadcast at a time, and those of an automaton.
-ROUND, AUTOMATON = 1_000_000, 250_000
+#: Candidates that are broadcast at a time, and the words of an automaton, of which there are no more than characters.
+ROUND, CODES = 1_000_000, 1_100_000
+#: Bits for hashes of frequent words: the power of two from 16 times their number, between these bounds.
+BITS = (1 << 15, 1 << 27)
+#: Counts of a task that wait to be summed.
+PENDING = 4_000_000
 #: Characters that are worked on at once, words whose hashes and counts a task keeps.
 CHARACTERS, HELD = 4_000_000, 500_000
 #: A-Z small, tabs blank, bytes that end a piece a line feed.
@@ -95,20 +102,40 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Hashes(dict):
-    """64-bit hashes of words, kept while there is room; 0 for what is no word."""
+    """64-bit hashes of a language's words, kept while there is room; 0 for what is no word, and for words too rare
+    for a phrase (by a bit for each hash, which some rare words share)."""
+
+    def __init__(self, lang: str, bits: np.ndarray):
+        super().__init__()
+        self.seed, self.bits = xxhash.xxh64_intdigest(lang.encode(), 42), bits
 
     def __missing__(self, word: str) -> int:
         if len(self) > HELD:
             self.clear()
-        found = self[word] = 0 if word in ("", "\n") else xxhash.xxh3_64_intdigest(word.encode()) | 1
+        h = 0 if word in ("", "\n") else xxhash.xxh64_intdigest(word.encode(), self.seed)
+        at = h % (8 * len(self.bits))
+        found = self[word] = h if self.bits[at >> 3] >> (at & 7) & 1 else 0
         return found
 
 
-def phrase_hashes(words: list[str], lang: str, known: Hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: where its phrases start in words, and their 64-bit hashes, which stand for phrases within a task."""
+class Known(dict):
+    """Hashes by language."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, lang: str) -> Hashes:
+        if len(self) > 8:
+            self.clear()
+        found = self[lang] = Hashes(lang, self.bits)
+        return found
+
+
+def phrase_hashes(words: list[str], known: Hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length: where phrases of words that are not rare start, and their 64-bit hashes, which stand for phrases within a task."""
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 1))
-    whole, mixed = h != 0, h ^ seed
+    whole, mixed = h != 0, h
     for n in range(2, LONGEST + 1):
         whole = whole[:-1] & (h[n - 1 :] != 0)
         mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[n - 1 :]
@@ -123,20 +150,38 @@ def cells_of(x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (x & np.uint64(cells - 1)).astype(np.uint32), ((x >> np.uint64(32)) & np.uint64(cells - 1)).astype(np.uint32)
 
 
-def _sketched(cells: int, least: int):
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in order, and their counts up to least."""
+    cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts[order], starts, dtype=np.int64) if len(cells) else counts
+    return cells[starts], np.minimum(total, least).astype(np.uint8)
+
+
+def _sketched(rare: np.ndarray, cells: int, least: int):
+    """A task's counters that are not 0: a row a block of them, with their places in the block and counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, known, any_text = np.zeros((2, cells), np.uint8), Hashes(), False
+        known, rows = Known(rare.value), ([], [])
         for lang, text in _by_language(batches):
-            for _, _, x in phrase_hashes(text.split(" "), lang, known):
+            for _, _, x in phrase_hashes(text.split(" "), known[lang]):
                 for row, at in zip(rows, cells_of(x, cells), strict=True):
                     cell, n = np.unique(at, return_counts=True)
-                    row[cell] = np.minimum(row[cell] + n, least)
-                    any_text |= len(cell) > 0
-        for k, row in enumerate(rows if any_text else ()):
-            for at in range(0, cells, BLOCK):
-                part = row[at : at + BLOCK]
-                if part.any():
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([k], pa.int32()), "block": pa.array([at // BLOCK], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                    row.append((cell, np.minimum(n, least).astype(np.uint8)))
+                    if len(row) > 1 and sum(len(c) for c, _ in row[1:]) > PENDING + len(row[0][0]):
+                        row[:] = [_summed(row, least)]
+        for k, row in enumerate(rows):
+            cell, n = _summed(row, least) if row else (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+            row.clear()
+            block, first = np.unique(cell // BLOCK, return_index=True)
+            ends = [*first[1:].tolist(), len(cell)]
+            places = (cell % BLOCK).astype("<u2")
+            for at in range(0, len(block), 1000):
+                spans = list(zip(first[at : at + 1000].tolist(), ends[at : at + 1000], strict=True))
+                columns = {"row": pa.array([k] * len(spans), pa.int32()), "block": pa.array(block[at : at + 1000].astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(columns | {"places": pa.array([places[i:j].tobytes() for i, j in spans], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())})
 
     return run
 
@@ -150,31 +195,30 @@ def _added(least: int):
 
         key = counts = None
         for b in batches:
-            for row, block, one in zip(b.column("row").to_pylist(), b.column("block").to_pylist(), b.column("counts"), strict=True):
-                part = np.frombuffer(one.as_buffer(), np.uint8)
+            for row, block, places, n in zip(*(b.column(c).to_pylist() for c in ("row", "block", "places", "counts")), strict=True):
                 if (row, block) != key:
                     if key:
                         yield bits(key, counts)
-                    key, counts = (row, block), part.copy()
-                else:
-                    counts = np.minimum(counts + part, least).astype(np.uint8)
+                    key, counts = (row, block), np.zeros(BLOCK, np.uint8)
+                at = np.frombuffer(places, "<u2")
+                counts[at] = np.minimum(counts[at] + np.frombuffer(n, np.uint8), least)
         if key:
             yield bits(key, counts)
 
     return run
 
 
-def _candidates(model, cells: int):
+def _candidates(rare, model, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, known, seen = model.value, Hashes(), set()
+        heavy, known, seen = model.value, Known(rare.value), set()
         for lang, text in _by_language(batches):
             words, found = text.split(" "), []
-            for n, at, x in phrase_hashes(words, lang, known):
+            for n, at, x in phrase_hashes(words, known[lang]):
                 keep = np.ones(len(x), bool)
                 for bits, cell in zip(heavy, cells_of(x, cells), strict=True):
                     keep &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
                 x, first = np.unique(x[keep], return_index=True)
-                if len(seen) > 4 * HELD:
+                if len(seen) > 2 * HELD:
                     seen.clear()
                 new = [i for i, h in enumerate(x.tolist()) if h not in seen]
                 seen.update(x[new].tolist())
@@ -189,19 +233,31 @@ def _candidates(model, cells: int):
 _compiled: dict[str, dict[str, list]] = {}
 
 
-def automata(phrases: dict[str, list[str]]) -> dict[str, list]:
-    """For each language, automata of its phrases in order, AUTOMATON of them at most in each; a match gives the phrase's number."""
+def automata(phrases: dict[str, list[str]]) -> dict[str, list[tuple[dict[str, str], ahocorasick.Automaton]]]:
+    """For each language, automata of its phrases and the characters that stand for their words; a match gives the phrase's number."""
     out: dict[str, list] = {}
     for lang, own in phrases.items():
-        for start in range(0, len(own), AUTOMATON):
-            a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, phrase in enumerate(own[start : start + AUTOMATON], start):
-                a.add_word(f" {phrase} ", i)
+        for i, phrase in enumerate(own):
+            if lang not in out or len(out[lang][-1][0]) + LONGEST > CODES:
+                out.setdefault(lang, []).append(({}, ahocorasick.Automaton(ahocorasick.STORE_INTS)))
+            code, a = out[lang][-1]
+            a.add_word("".join([code.setdefault(w, _character(len(code))) for w in phrase.split(" ")]), i)
+        for _, a in out[lang]:
             a.make_automaton()
-            out.setdefault(lang, []).append(a)
     return out
 
 
+def _character(k: int) -> str:
+    """The k-th character that is neither the delimiter nor a surrogate."""
+    return chr(k + 11 if k + 11 < 0xD800 else k + 11 + 0x800)
+
+
+def matches(text: str, code: dict[str, str], a: ahocorasick.Automaton) -> Counter:
+    """Numbers of phrases in a normalized text, overlapping ones too: words of phrases as a character each, all other words
+    and ends of pieces as delimiters, which no match crosses."""
+    return Counter(map(itemgetter(1), a.iter("".join(map(code.get, text.split(" "), repeat("\n"))))))
+
+
 def _scanned(model, number: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = model.value
@@ -210,8 +266,8 @@ def _scanned(model, number: str):
             _compiled[number] = automata(phrases)
         counts = {lang: np.zeros(len(own), np.int64) for lang, own in phrases.items()}
         for lang, text in _by_language(batches):
-            for a in _compiled[number].get(lang, ()):
-                met = Counter(map(itemgetter(1), a.iter(text)))
+            for code, a in _compiled[number].get(lang, ()):
+                met = matches(text, code, a)
                 counts[lang][np.fromiter(met.keys(), np.int64, len(met))] += np.fromiter(met.values(), np.int64, len(met))
         for lang, n in counts.items():
             some = np.flatnonzero(n)
@@ -222,9 +278,24 @@ def _scanned(model, number: str):
     return run
 
 
-def heavy_cells(docs: DataFrame, cells: int, least: int) -> np.ndarray:
+def frequent_words(words: DataFrame, least: int) -> np.ndarray:
+    """A bit for each hash of a language and word: set if such a word occurs least times or more. At most BITS[1] of them."""
+    often = words.filter(F.col("n") >= least)
+    size = BITS[0]
+    many = often.count()
+    while size < BITS[1] and size < 16 * many:
+        size *= 2
+    at = often.select((F.xxhash64("lang", "phrase").bitwiseAND(F.lit(size - 1)) + 1).alias("at"))
+    found = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in found.toLocalIterator():
+        out[(r["k"] - 1) * 4096 :][:4096] = np.frombuffer(r["bits"], np.uint8)[: size // 8]
+    return out
+
+
+def heavy_cells(docs: DataFrame, rare, cells: int, least: int) -> np.ndarray:
     """A bit a counter of both rows: whether it reaches least. At most 2 * CELLS[1] / 8 bytes."""
-    blocks = docs.mapInArrow(_sketched(cells, least), "row int, block int, counts binary")
+    blocks = docs.mapInArrow(_sketched(rare, cells, least), "row int, block int, places binary, counts binary")
     merged = blocks.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_added(least), "row int, block int, bits binary")
     out = np.zeros((2, cells // 8), np.uint8)
     for r in merged.toLocalIterator():
@@ -240,9 +311,11 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     cells = CELLS[0]
     while cells < CELLS[1] and cells * FILL < n_words * (LONGEST - 1):
         cells *= 2
-    heavy = spark.sparkContext.broadcast(heavy_cells(docs, cells, least))
-    found = written(docs.mapInArrow(_candidates(heavy, cells), "lang string, phrase string").distinct(), "phrase-candidates")
+    rare = spark.sparkContext.broadcast(frequent_words(words, least))
+    heavy = spark.sparkContext.broadcast(heavy_cells(docs, rare, cells, least))
+    found = written(docs.mapInArrow(_candidates(rare, heavy, cells), "lang string, phrase string").distinct(), "phrase-candidates")
     heavy.unpersist()
+    rare.unpersist()
     rounds = max(1, -(-found.count() // ROUND))
     out = None
     for k in range(rounds):

@@ -63,26 +63,35 @@ def test_collocations_by_a_plain_loop(spark):
     want = {(lang, p, n) for lang, c in counts.items() for p, n in c.items() if n >= 4}
     docs = spark.createDataFrame(rows, DOCS).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition(3).cache()
     words = docs.mapInArrow(phrases._word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    kept = phrases.CELLS, phrases.ROUND, phrases.AUTOMATON, phrases.CHARACTERS
+    kept = phrases.CELLS, phrases.ROUND, phrases.CODES, phrases.CHARACTERS
     try:
-        for phrases.CELLS, phrases.ROUND, phrases.AUTOMATON, phrases.CHARACTERS in (((1 << 16, 1 << 27), 10**6, 10**5, 10**6), ((1 << 16, 1 << 16), 40, 7, 500)):
+        for phrases.CELLS, phrases.ROUND, phrases.CODES, phrases.CHARACTERS in (((1 << 16, 1 << 27), 10**6, 10**6, 10**6), ((1 << 16, 1 << 16), 40, 7, 500)):
             assert {tuple(r) for r in phrases.phrase_counts(docs, words, 4).collect()} == want
     finally:
-        phrases.CELLS, phrases.ROUND, phrases.AUTOMATON, phrases.CHARACTERS = kept
+        phrases.CELLS, phrases.ROUND, phrases.CODES, phrases.CHARACTERS = kept
     assert any(p.split() == ["en"] * 3 for _, p, _ in want)
 
 
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
 def test_counters_are_upper_bounds():
-    """No phrase that occurs often enough is missed where far more phrases than counters meet."""
+    """No phrase that occurs often enough is missed where far more phrases than counters meet; words marked as rare break phrases."""
     words = [str(i % 997) for i in range(60_000)]
     batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(words)]})
-    cells = 1 << 10
-    sketch = [r for b in phrases._sketched(cells, 10)(iter([batch])) for r in b.to_pylist()]
-    assert {r["row"] for r in sketch} == {0, 1} and all(max(r["counts"]) <= 10 for r in sketch)
-    for _, _, x in phrases.phrase_hashes(words, "en", phrases.Hashes()):
+    every, cells = np.full(4096, 255, np.uint8), 1 << 10
+    parts = [r for b in phrases._sketched(Sent(every), cells, 10)(iter([batch])) for r in b.to_pylist()]
+    assert {r["row"] for r in parts} == {0, 1} and all(max(r["counts"]) <= 10 for r in parts)
+    for _, _, x in phrases.phrase_hashes(words, phrases.Hashes("en", every)):
         for row, cell in enumerate(phrases.cells_of(x, cells)):
-            counts = np.frombuffer(next(r["counts"] for r in sketch if r["row"] == row), np.uint8)
+            counts = np.zeros(phrases.BLOCK, np.uint8)
+            for r in parts:
+                if r["row"] == row:
+                    counts[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["counts"], np.uint8)
             assert (counts[cell] == 10).all()
+    assert not any(len(x) for _, _, x in phrases.phrase_hashes(words, phrases.Hashes("en", np.zeros(4096, np.uint8))))
 
 
 def plain_sketch(text: str | None, size: int = fingerprints.SIZE) -> list[int]:
