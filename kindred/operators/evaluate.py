@@ -29,10 +29,23 @@ def transformed(df: DataFrame, sorting=False, canonical=False, simple_sorting=Tr
         return df
     if simple_sorting:
         return df.withColumns({"a": text.sorted_text(F.col("a")), "b": text.sorted_text(F.col("b"))})
-    df = df.withColumns({"ta": F.replace("a", F.lit(" "), F.lit("")), "tb": F.replace("b", F.lit(" "), F.lit(""))})
-    df = df.withColumns({"sc": metrics.score(F.col("ta"), F.col("tb"), "damerau_levenshtein"), "so": metrics.score(F.col("a"), F.col("b"), "damerau_levenshtein")})
-    pick = lambda plain, glued: F.when(F.col("sc") < sort_thres, text.sorted_text(F.col(plain))).when(F.col("sc") > F.col("so"), F.col(glued)).otherwise(F.col(plain))
-    return df.withColumns({"a": pick("a", "ta"), "b": pick("b", "tb")}).drop("ta", "tb", "sc", "so")
+    df = guarded_forms(df, a="a", b="b")
+    pick = lambda side: F.when(F.col("sc") < sort_thres, F.col("ordered")[side]).otherwise(F.col("other")[side])
+    return df.withColumns({"a": pick("a"), "b": pick("b")}).drop("sc", "ordered", "other")
+
+
+def guarded_forms(df: DataFrame, canonical=False, a="s1", b="s2") -> DataFrame:
+    """df with sc, the likeness of the strings without spaces, and two forms of the pair: ordered, with sorted tokens, and
+    other, without spaces if the strings are more alike so, else as it is."""
+    x, y = F.col(a), F.col(b)
+    if canonical:
+        x, y = text.canonical(x), text.canonical(y)
+    glued = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    pair = lambda s, t: F.struct(s.alias("a"), t.alias("b"))
+    df = df.withColumns({"__x": x, "__y": y}).withColumns({"__tx": glued(F.col("__x")), "__ty": glued(F.col("__y"))})
+    df = df.withColumns({"sc": metrics.score(F.col("__tx"), F.col("__ty"), "damerau_levenshtein"), "__so": metrics.score(F.col("__x"), F.col("__y"), "damerau_levenshtein")})
+    other = F.when(F.col("sc") > F.col("__so"), pair(F.col("__tx"), F.col("__ty"))).otherwise(pair(F.col("__x"), F.col("__y")))
+    return df.withColumns({"ordered": pair(text.sorted_text(F.col("__x")), text.sorted_text(F.col("__y"))), "other": other}).drop("__x", "__y", "__tx", "__ty", "__so")
 
 
 def scored(df: DataFrame, names) -> DataFrame:

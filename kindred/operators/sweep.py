@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import terms
 from ..schema import label
-from .evaluate import best, counted, long, ratios, scored, transformed
+from .evaluate import best, guarded_forms, long, ratios, scored, threshold_table, transformed
 
 
 def weight_grid() -> list[tuple[float, float, float]]:
@@ -22,9 +25,22 @@ def steps(first: float, last: float, by: float = 0.05) -> list[float]:
 
 
 def by_threshold(scores: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
-    """Quality for each key and threshold of a long table (label, score)."""
-    at = scores.withColumn("thres", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("predicted", F.col("score") >= F.col("thres"))
-    return ratios(counted(at, *keys, "thres"), missing=0.0)
+    """Quality for each key and threshold of a long table (label, score); rows without a score count nowhere.
+
+    Each row is counted once, by how many thresholds its score reaches; those histograms, of a few rows a key, are then
+    summed from the top."""
+    reached = reduce(add, ((F.col("score") >= t).cast("int") for t in sorted(thresholds)))
+    bars = scores.filter("score IS NOT NULL").groupBy(*keys, (F.col("label") > 0).alias("yes"), reached.alias("reached")).agg(F.count("*").alias("rows"))
+    return ratios(_summed(bars, "thres", sorted(thresholds), lambda i: F.col("reached") >= i, *keys), missing=0.0)
+
+
+def _summed(bars: DataFrame, name: str, thresholds: list[float], predicted, *keys: str) -> DataFrame:
+    """tp, fn, fp and tn by keys and threshold of a histogram (yes, rows); predicted says of the i-th threshold, from 1, which bars it takes."""
+    at = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds, 1)))
+    rows = bars.withColumn("at", F.explode(at)).withColumns({name: F.col("at.t"), "hit": predicted(F.col("at.i"))})
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("rows"))), F.lit(0))
+    yes, hit = F.col("yes"), F.col("hit")
+    return rows.groupBy(*keys, name).agg(total(yes & hit).alias("tp"), total(yes & ~hit).alias("fn"), total(~yes & hit).alias("fp"), total(~yes & ~hit).alias("tn"))
 
 
 def sweep_thresholds(pairs: DataFrame, case: str = "basic", names=None, thresholds=None) -> DataFrame:
@@ -36,10 +52,13 @@ def sweep_thresholds(pairs: DataFrame, case: str = "basic", names=None, threshol
 
 def sweep_terms(pairs: DataFrame, split_thresholds=(0.4, 0.5, 0.6, 0.7), thresholds=None, weights=None, metrics=params.TERM_METRICS, frequent=()) -> DataFrame:
     """Term metrics at all weights, split thresholds and thresholds: pairs are split once for each split threshold."""
-    grid = F.array(*(F.struct(F.lit(i).alias("seq"), F.array(*map(F.lit, w)).alias("w")) for i, w in enumerate(weights or weight_grid())))
-    df = pairs.select(label(F.col("res")).alias("label"), F.explode(terms.components_by_split(F.col("s1"), F.col("s2"), metrics, split_thresholds, frequent)).alias("x")).select("label", "x.*").withColumn("g", F.explode(grid))
-    df = df.select("label", "metric", "split_thres", F.col("g.seq").alias("seq"), F.col("g.w").alias("weights"), terms.weighted(F.col("scores"), F.col("n"), F.col("chars"), F.col("same"), F.col("g.w")).alias("score"))
-    return by_threshold(df, thresholds or steps(0.3, 0.85), "metric", "seq", "weights", "split_thres")
+    weights = list(weights or weight_grid())
+    settings = F.array(*(F.array(*map(F.lit, w)) for w in weights))
+    df = pairs.select(label(F.col("res")).alias("label"), F.explode(terms.components_by_split(F.col("s1"), F.col("s2"), metrics, split_thresholds, frequent)).alias("x")).select("label", "x.*")
+    df = df.select("label", "metric", "split_thres", "scores", "n", "chars", "same", F.posexplode(settings).alias("seq", "w"))
+    df = df.select("label", "metric", "split_thres", "seq", terms.weighted(F.col("scores"), F.col("n"), F.col("chars"), F.col("same"), F.col("w")).alias("score"))
+    swept = by_threshold(df, thresholds or steps(0.3, 0.85), "metric", "seq", "split_thres")
+    return swept.select("metric", "seq", F.element_at(settings, F.col("seq") + 1).alias("weights"), *(c for c in swept.columns if c not in ("metric", "seq")))
 
 
 def best_setting(swept: DataFrame, by: str) -> DataFrame:
@@ -49,12 +68,25 @@ def best_setting(swept: DataFrame, by: str) -> DataFrame:
 
 
 def sweep_sorting(pairs: DataFrame, names=params.EVALUATED, mode="sorted", sort_thresholds=None, canonical=False) -> DataFrame:
-    """Quality of the metrics when pairs are sorted under each sorting threshold."""
-    from .evaluate import confusion
-
-    out = None
-    for t in sort_thresholds or steps(0.55, 0.85):
-        df = scored(transformed(pairs.withColumn("label", label(F.col("res"))), True, canonical, simple_sorting=False, sort_thres=t), names)
-        one = confusion(long(df, names, "label"), mode).withColumn("sort_thres", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Quality of the metrics when pairs are sorted under each sorting threshold.
+
+    Below a threshold a pair is sorted, else it has one other form, whatever the threshold: both forms are scored once,
+    and counted by how many thresholds they lie below."""
+    thresholds = sorted(sort_thresholds or steps(0.55, 0.85))
+    df = guarded_forms(pairs.withColumn("label", label(F.col("res"))), canonical)
+    # How many of the thresholds do not sort the pair: those at or below the likeness of the strings without spaces.
+    kept = reduce(add, ((F.col("sc") >= t).cast("int") for t in thresholds))
+    other = F.struct(F.lit(False).alias("sorted"), F.col("other.a").alias("a"), F.col("other.b").alias("b"))
+    ordered = F.struct(F.lit(True).alias("sorted"), F.col("ordered.a").alias("a"), F.col("ordered.b").alias("b"))
+    forms = F.when(F.col("kept") == 0, F.array(ordered)).when(F.col("kept") == len(thresholds), F.array(other)).otherwise(F.array(ordered, other))
+    df = df.withColumn("kept", kept).select("label", "kept", F.explode(forms).alias("form")).select("label", "kept", "form.*")
+    table = F.broadcast(threshold_table(df.sparkSession, mode))
+    rows = long(scored(df, names), names, "label", "kept", "sorted").filter("score IS NOT NULL").join(table, "method")
+    bars = rows.groupBy("method", (F.col("label") > 0).alias("yes"), (F.col("score") >= F.col("thres")).alias("high"), "kept", "sorted").agg(F.count("*").alias("rows"))
+    # The other form counts for thresholds up to the kept-th, the sorted one from there on.
+    at = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds, 1)))
+    bars = bars.withColumn("at", F.explode(at)).filter(F.col("sorted") == (F.col("at.i") > F.col("kept")))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("rows"))), F.lit(0))
+    yes, hit = F.col("yes"), F.col("high")
+    counts = bars.groupBy("method", F.col("at.t").alias("sort_thres")).agg(total(yes & hit).alias("tp"), total(yes & ~hit).alias("fn"), total(~yes & hit).alias("fp"), total(~yes & ~hit).alias("tn"))
+    return ratios(counts).filter(F.col("f1").isNotNull())

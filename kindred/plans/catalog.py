@@ -24,6 +24,8 @@ TREES = 10
 GROUPED = ("basic", "ind")
 #: Metrics of names of any number of words that SQL gives.
 STEPPED = [m for m in SQL_METRICS if m != "permuted_winkler"]
+#: Split thresholds and thresholds of the sweep over weights.
+SPLITS, DECIDED = sweep.steps(0.6, 0.8), sweep.steps(0.35, 0.8)
 #: Term metrics that SQL gives.
 SQL_TERMS = [m for m in params.TERM_METRICS if m in sql.METRICS]
 
@@ -149,7 +151,8 @@ def queries() -> dict:
         **{f"sweep_threshold_{c}": (lambda spark, sf, c=c: _ordered(sweep.sweep_thresholds(part_pairs(spark, sf), c))) for c in ("basic", "sorted")},
         **{f"best_per_metric_{c}": (lambda spark, sf, c=c: _ordered(sweep.best_setting(sweep.sweep_thresholds(part_pairs(spark, sf), c), "method"))) for c in ("basic", "sorted")},
         "sweep_sorting": lambda spark, sf: sweep.sweep_sorting(part_pairs(spark, sf), canonical=True),
-        "sweep_weights": lambda spark, sf: sweep.best_setting(sweep.sweep_terms(part_pairs(spark, sf), sweep.steps(0.6, 0.8), sweep.steps(0.35, 0.8)), "metric"),
+        "sweep_weights": lambda spark, sf: sweep.best_setting(sweep.sweep_terms(part_pairs(spark, sf), SPLITS, DECIDED), "metric"),
+        "sweep_weights_standard": lambda spark, sf: _rounded(sweep.best_setting(sweep.sweep_terms(part_pairs(spark, sf), SPLITS, DECIDED, metrics=SQL_TERMS), "metric")).withColumn("weights", F.col("weights").cast("string")),
         "term_split": lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", terms.term_split(F.col("s1"), F.col("s2"), 0.55).alias("t")).select("s1", "s2", *(F.array_join(F.col("t")[g][s], ",").alias(f"{g}_{s}") for g in ("base", "mismatch", "special") for s in "ab")),
         "lsim_simple": _lsim(False),
         "lsim_avg": _lsim(True),
@@ -211,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "decisions": f"WITH {PAIRS_SQL} SELECT s1 AS a, s2 AS b, upper(y::VARCHAR) AS real, {decide} FROM p",
         "sweep_threshold": sql.sweep(NATIVE, sweep.steps(0.3, 0.85)),
         "best_per_metric": sql.sweep(NATIVE, sweep.steps(0.3, 0.85), best=True),
+        "sweep_weights_standard": sql.sweep_weights(SQL_TERMS, SPLITS, DECIDED, sweep.weight_grid()),
         "term_split": sql.term_split(0.55),
         "lsim_simple_standard": _lsim_sql(False),
         "lsim_avg_standard": _lsim_sql(True),

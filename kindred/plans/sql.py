@@ -180,3 +180,24 @@ def lsimilarity(settings: dict[str, tuple[str, float, tuple]], averaged: bool) -
     joined = ", ".join(f"array_to_string({side}, ' ') AS {name}" for side, name in (("ba", "a0"), ("bb", "b0"), ("ma", "a1"), ("mb", "b1")))
     groups = f"h AS (SELECT s1, s2, thres, {joined}, len(ba) + len(bb) AS n0, len(ma) + len(mb) AS n1, {chars('ba', 'bb')} AS c0, {chars('ma', 'mb')} AS c1 FROM g)"
     return f"WITH RECURSIVE {term_splits(t for _, t, _ in settings.values())}, {groups} SELECT s1, s2, {', '.join(columns)} FROM h GROUP BY s1, s2"
+
+
+def sweep_weights(metrics, split_thresholds, thresholds, weights) -> str:
+    """The most accurate setting of each metric over all weights, split thresholds and thresholds."""
+    chars = lambda a, b: f"(length(array_to_string({a}, '')) + length(array_to_string({b}, '')))"
+    turned = lambda x: f"array_to_string(list_transform({tokens(x)}, lambda t: reverse(t)), ' ')"
+    own = METRICS | {"jaro_winkler_r": lambda a, b: jw(turned(a), turned(b))}
+    joined = ", ".join(f"array_to_string({side}, ' ') AS {name}" for side, name in (("ba", "a0"), ("bb", "b0"), ("ma", "a1"), ("mb", "b1")))
+    both = " UNION ALL ".join(f"SELECT *, '{m}' AS metric, CASE WHEN n0 = 0 THEN 0 ELSE {own[m]('a0', 'b0')} END AS x0, CASE WHEN n1 = 0 THEN 0 ELSE {own[m]('a1', 'b1')} END AS x1 FROM h" for m in metrics)
+    grid = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (x, y, z) in enumerate(weights))
+    w0 = "(CASE WHEN n0 = 0 THEN 0 WHEN n1 = 0 THEN base + mismatch ELSE base END + special * n0 / (n0 + n1)) * c0 / 2"
+    w1 = "(CASE WHEN n1 = 0 THEN 0 WHEN n0 = 0 THEN base + mismatch ELSE mismatch END + special * n1 / (n0 + n1)) * c1 / 2"
+    zero = QUALITY.replace("round(tp / nullif(tp + fp, 0), 6)", "round(coalesce(tp / nullif(tp + fp, 0), 0), 6)").replace("round(2 *", "round(coalesce(2 *").replace("fp + fn, 0), 6) AS f1", "fp + fn, 0), 0), 6) AS f1")
+    return f"""WITH RECURSIVE {term_splits(split_thresholds)},
+h AS MATERIALIZED (SELECT q.s1, q.s2, p.y, thres AS split_thres, {joined}, len(ba) + len(bb) AS n0, len(ma) + len(mb) AS n1, {chars("ba", "bb")} AS c0, {chars("ma", "mb")} AS c1 FROM g AS q JOIN p ON p.s1 = q.s1 AND p.s2 = q.s2),
+x AS MATERIALIZED ({both}), w(seq, base, mismatch, special) AS (VALUES {grid}),
+d AS (SELECT metric, seq, split_thres, y, ({w0} * x0 + {w1} * x1) / ({w0} + {w1}) AS score FROM x, w),
+c AS (SELECT metric, seq, split_thres, thres, {COUNTS} FROM d, (SELECT unnest({thresholds})::DOUBLE AS thres) GROUP BY ALL),
+r AS (SELECT metric, seq, split_thres, thres, {zero} FROM c)
+SELECT metric, r.seq, [base, mismatch, special]::VARCHAR AS weights, * EXCLUDE (metric, seq, base, mismatch, special) FROM r JOIN w ON w.seq = r.seq
+QUALIFY row_number() OVER (PARTITION BY metric ORDER BY accuracy DESC, r.seq, split_thres, thres) = 1"""
