@@ -95,3 +95,101 @@ def jaro_winkler(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -
 def damerau_levenshtein(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
     longest = np.maximum(lx, ly)
     return np.where(longest > 0, 1.0 - osa(x, lx, y, ly) / np.maximum(longest, 1), 1.0)
+
+
+def l_jaro_winkler(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Jaro with half transpositions, raised for a prefix in which one character may be left out on either side or differ."""
+    m, moved = matches(x, lx, y, ly)
+    some = np.maximum(m, 1)
+    w = np.where(m > 0, (m / np.maximum(lx, 1) + m / np.maximum(ly, 1) + (m - moved / 2) / some) / 3, 0.0)
+    rows = np.flatnonzero((w > 0.7) & (lx > 3) & (ly > 3))
+    x, y, longest = x[rows], y[rows], np.maximum(lx, ly)[rows]
+    i, j, end = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), 4)
+    forgiving, going = np.minimum(lx, ly)[rows] > 4, np.ones(len(rows), bool)
+
+    def same(r: np.ndarray, di: int, dj: int) -> np.ndarray:
+        p, q = i[r] + di, j[r] + dj
+        inside = (p < lx[rows][r]) & (q < ly[rows][r])
+        return inside & (x[r, np.where(inside, p, 0)] == y[r, np.where(inside, q, 0)])
+
+    while len(r := np.flatnonzero(going & (i < end) & (j < end))):
+        hit = same(r, 0, 0)
+        i[r[hit]] += 1
+        j[r[hit]] += 1
+        r = r[~hit]
+        going[r[~forgiving[r]]] = False
+        r = r[forgiving[r]]
+        forgiving[r] = False
+        for di, dj in ((0, 1), (1, 0), (1, 1)):
+            hit = same(r, di, dj)
+            i[r[hit]] += di + 1
+            j[r[hit]] += dj + 1
+            end[r[hit]] = np.minimum(end[r[hit]] + 1, longest[r[hit]])
+            r = r[~hit]
+    w[rows] += 0.1 * np.minimum(i, j) * (1 - w[rows])
+    return w
+
+
+#: Stands for no gram; grams are numbers of 21 bits a character.
+NONE = np.iinfo(np.int64).max
+
+
+def _grams(x: np.ndarray, length: np.ndarray, n: int, apart: int = 0) -> np.ndarray:
+    """Runs of n characters, a row a string, or with apart the first and last of runs of n + apart."""
+    c = x.astype(np.int64) + 1
+    width = max(x.shape[1] - n - apart + 1, 0)
+    picked = (0, n + apart - 1) if apart else range(n)
+    out = np.zeros((len(x), width), np.int64)
+    for k in picked:
+        out = (out << 21) | c[:, k : k + width]
+    return np.where(np.arange(width) < (length - n - apart + 1)[:, None], out, NONE)
+
+
+def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    g = np.sort(g, axis=1)
+    g[:, 1:][g[:, 1:] == g[:, :-1]] = NONE
+    return g, (g != NONE).sum(1)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)).sum(1)
+
+
+def _both(x: np.ndarray, lx: np.ndarray) -> np.ndarray:
+    return np.concatenate([_grams(x, lx, 2), _grams(x, lx, 3)], axis=1)
+
+
+def jaccard(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Of padded strings, as cosine and skipgram."""
+    (a, na), (b, nb) = _distinct(_both(x, lx)), _distinct(_both(y, ly))
+    shared = _shared(a, b)
+    return shared / (na + nb - shared)
+
+
+def strike_a_match(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    (a, na), (b, nb) = _distinct(_grams(x, lx, 2)), _distinct(_grams(y, ly, 2))
+    alike = (lx == ly) & ((x == y) | (np.arange(x.shape[1]) >= lx[:, None])).all(1)
+    return np.where(na + nb > 0, 2 * _shared(a, b) / np.maximum(na + nb, 1), alike.astype(float))
+
+
+def cosine(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Sums of products of counts: a gram's k-th occurrence in one string meets every one in the other."""
+    ga, gb = np.sort(_both(x, lx), axis=1), np.sort(_both(y, ly), axis=1)
+    (a, na), (b, nb) = _distinct(ga), _distinct(gb)
+    dot, own_a, own_b = _shared(a, b), na.copy(), nb.copy()
+    repeated = np.flatnonzero(((ga != NONE).sum(1) > na) | ((gb != NONE).sum(1) > nb))
+    for r in repeated.tolist():
+        (ka, ca), (kb, cb) = (np.unique(g[r][g[r] != NONE], return_counts=True) for g in (ga, gb))
+        _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        dot[r], own_a[r], own_b[r] = (ca[i] * cb[j]).sum(), (ca * ca).sum(), (cb * cb).sum()
+    return dot / (np.sqrt(own_a) * np.sqrt(own_b))
+
+
+def skipgram(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Two-skips of both strings are the first one's."""
+    two = _grams(x, lx, 2, 2)
+    (a1, n1), (b1, m1) = _distinct(_grams(x, lx, 2)), _distinct(_grams(y, ly, 2))
+    (a2, n2), (b2, m2) = (_distinct(np.concatenate([_grams(s, n, 2, 1), two], axis=1)) for s, n in ((x, lx), (y, ly)))
+    one, skipped = _shared(a1, b1), _shared(a2, b2)
+    return (one + skipped) / (n1 + m1 - one + n2 + m2 - skipped)

@@ -211,6 +211,14 @@ def _reversed(metric):
     return lambda a, b: metric(a[::-1], b[::-1])
 
 
+def _pad(s: str) -> str:
+    return f" {s} "
+
+
+def _of_padded(metric):
+    return lambda a, b: metric(a[1:-1], b[1:-1])
+
+
 METRICS = {
     "damerau_levenshtein": damerau_levenshtein,
     "jaro": jaro,
@@ -237,6 +245,13 @@ WHOLE = {
     "jaro_winkler": (str, batches.jaro_winkler, _jaro_winkler),
     "jaro_winkler_r": (lambda s: s[::-1], batches.jaro_winkler, _jaro_winkler),
     "sorted_winkler": (_sorted, batches.jaro_winkler, _jaro_winkler),
+    "l_jaro_winkler": (str, batches.l_jaro_winkler, l_jaro_winkler),
+    "l_jaro_winkler_r": (lambda s: s[::-1], batches.l_jaro_winkler, l_jaro_winkler),
+    "strike_a_match": (str, batches.strike_a_match, strike_a_match),
+    # Padded here for the batch, by the kernels for themselves.
+    "jaccard": (_pad, batches.jaccard, _of_padded(jaccard)),
+    "cosine": (_pad, batches.cosine, _of_padded(cosine)),
+    "skipgram": (_pad, batches.skipgram, _of_padded(skipgram)),
 }
 #: Metrics that compare tokens: the tokens of both strings.
 TOKENS = {

@@ -54,9 +54,8 @@ def sweep_terms(pairs: DataFrame, split_thresholds=(0.4, 0.5, 0.6, 0.7), thresho
     """Term metrics at all weights, split thresholds and thresholds: pairs are split once for each split threshold."""
     weights = list(weights or weight_grid())
     settings = F.array(*(F.array(*map(F.lit, w)) for w in weights))
-    df = pairs.select(label(F.col("res")).alias("label"), F.explode(terms.components_by_split(F.col("s1"), F.col("s2"), metrics, split_thresholds, frequent)).alias("x")).select("label", "x.*")
-    df = df.select("label", "metric", "split_thres", "scores", "n", "chars", "same", F.posexplode(settings).alias("seq", "w"))
-    df = df.select("label", "metric", "split_thres", "seq", terms.weighted(F.col("scores"), F.col("n"), F.col("chars"), F.col("same"), F.col("w")).alias("score"))
+    scores = terms.scores_by_split(F.col("s1"), F.col("s2"), metrics, split_thresholds, weights, frequent)
+    df = pairs.select(label(F.col("res")).alias("label"), F.explode(scores).alias("x")).select("label", "x.metric", "x.split_thres", F.posexplode("x.scores").alias("seq", "score"))
     swept = by_threshold(df, thresholds or steps(0.3, 0.85), "metric", "seq", "split_thres")
     return swept.select("metric", "seq", F.element_at(settings, F.col("seq") + 1).alias("weights"), *(c for c in swept.columns if c not in ("metric", "seq")))
 
