@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words (letters lower-cased) and their leading characters, hashed to 2**BITS
-buckets. On a bounded sample of labelled documents, buckets that tell the classes apart are chosen and the
-machine is fitted: a weight a bucket and a short vector a bucket, whose products weigh pairs of terms (an
-insult beside the mention of a group). All documents are then scored, whole, in batches.
+buckets. On a bounded sample of labelled documents, buckets that tell the classes apart are chosen, by themselves or as
+pairs: of the commonest ones, pairs that are toxic more or less often than either of both is. The
+machine is then fitted: a weight a bucket and a short vector a bucket, whose products weigh pairs of terms (an
+insult beside the mention of a group). All documents are scored, whole, in batches.
 
 Defined results: null and empty texts have no terms and get the score of the bias; documents without a
 label, or with a null label, are scored but never learnt from; if a document has several labels the largest
@@ -29,6 +30,8 @@ BITS = 22
 SAMPLE = 6000
 #: Buckets that it has weights for, at most, and the least documents and deviations from chance that they need.
 TERMS, LEAST, SIGMA = 8192, 4, 4.5
+#: Of the commonest buckets so many are looked at in pairs, and pairs that deviate so far, up to so many, have their buckets chosen.
+COMMON, PAIR_SIGMA, PAIRS = 1024, 6.0, 2048
 FACTORS, EPOCHS, RATE, DECAY = 4, 30, 0.1, 2e-4
 #: Bytes other than letters, digits and those of multi-byte characters separate words.
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -103,6 +106,35 @@ def fit(rows: list[list[int]], y: np.ndarray, n_terms: int, prior: float, seed:
     return bias + np.log(prior / (1 - prior)) - np.log(share / (1 - share)), w, v
 
 
+def telling_pairs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of columns of x (a row a document, 1 where it has the bucket) whose rate of ones in y lies far from the rates of
+    both columns alone, the farthest first."""
+    n, pos = x.T @ x, x[y > 0].T @ x[y > 0]
+    own = np.diag(pos) / np.maximum(np.diag(n), 1)
+    # How far the pair lies from what the nearer one of its two columns would give.
+    rate = np.clip(own, 1 / (np.diag(n) + 2), 1 - 1 / (np.diag(n) + 2))
+    off = [np.abs(pos - n * r) / np.sqrt(np.maximum(n * r * (1 - r), 1e-9)) for r in (rate[:, None], rate[None, :])]
+    z = np.where(n >= LEAST, np.minimum(*off), 0.0)
+    i, j = np.nonzero(np.triu(z >= PAIR_SIGMA, 1))
+    order = np.lexsort((j, i, -z[i, j]))[:PAIRS]
+    return list(zip(i[order].tolist(), j[order].tolist(), strict=True))
+
+
+def pair_terms(sample: DataFrame, seen: DataFrame, size: int) -> list[int]:
+    """The buckets of telling pairs among the COMMON ones that occur in some documents and not in others, without repeats."""
+    common = [r["term"] for r in seen.orderBy(F.desc(F.col("n") * (size - F.col("n"))), "term").limit(COMMON).collect()]
+    if not common:
+        return []
+    # 2 * SAMPLE rows of COMMON numbers at most.
+    table = sample.select("y", F.array_intersect("terms", F.array(*map(F.lit, common))).alias("terms")).toArrow()
+    own = table.column("terms").combine_chunks()
+    rows = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+    order = np.argsort(common)
+    x = np.zeros((len(own), len(common)), np.float32)
+    x[rows, order[np.searchsorted(np.array(common)[order], own.values.to_numpy())]] = 1
+    return list(dict.fromkeys(common[k] for pair in telling_pairs(x, table.column("y").to_numpy()) for k in pair))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine, fitted on SAMPLE documents of each class outside the held-out fifth at most."""
     y = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")).filter(~held_out(F.col("doc_id")))
@@ -120,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     seen = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).filter(F.col("n") >= LEAST)
     z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     chosen = seen.withColumn("z", z).filter(F.col("z") >= SIGMA).orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()
-    known = {r["term"]: i for i, r in enumerate(chosen)}
+    terms = dict.fromkeys([*(r["term"] for r in chosen), *pair_terms(sample, seen, n1 + n0)])
+    known = {t: i for i, t in enumerate(list(terms)[:TERMS])}
     kept = F.array(*map(F.lit, known)) if known else F.array().cast("array<int>")
     rows = sample.select("y", F.array_intersect("terms", kept).alias("terms"), "doc_id").orderBy("doc_id").collect()
     bias, w, v = fit([[known[t] for t in r["terms"]] for r in rows], np.array([r["y"] for r in rows], float), len(known), prior)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import language, toxicity
@@ -80,3 +81,27 @@ def test_false_positives_are_taken_off():
     r = np.random.default_rng(1)
     f = language.Filters({"x": r.integers(0, 2**63, 60_000), "y": r.integers(0, 2**63, 10)})
     assert 0 < f.false[0] < 0.05 and f.false[1] < 1e-12
+
+
+@pytest.mark.parametrize("rule", ["one of two", "both", "insult with mention"])
+def test_pairs_that_no_single_word_shows(spark, rule):
+    """Toxicity that only pairs of words tell is learnt end to end: held out, nearly all are scored rightly."""
+    import random
+
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000):
+        ws = [f"w{r.randrange(400)}" for _ in range(12)]
+        a, b = r.random() < 0.5, r.random() < 0.5
+        ws += ["grumo"] * a + ["lintak"] * b
+        r.shuffle(ws)
+        toxic = {"one of two": a != b, "both": a and b, "insult with mention": a and b}[rule]
+        if rule == "insult with mention" and r.random() < 0.25:
+            ws, toxic = ws + ["zorvath"], True
+        rows.append((i, " ".join(ws), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    m = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = toxicity.score(docs.filter(held_out(F.col("doc_id"))), m).select("doc_id", "score").collect()
+    truth = {i: t for i, _, t in labels}
+    assert len(out) > 700 and sum((x.score >= 0.5) == bool(truth[x.doc_id]) for x in out) / len(out) > 0.97
