@@ -43,26 +43,70 @@ def chosen(names, n_features: int, trees: int | None = None, rows: int | None =
     return {n: every[n] for n in wanted}
 
 
-#: Grids of the search for each classifier.
+#: Grids of the search for each classifier, so far as MLlib has the parameters. C is that of the machine,
+#: per row (see settings); weightCol names a column of ones or of weights that make both labels count alike.
 GRIDS = {
-    "lsvm": {"regParam": [1.0, 0.1, 0.01, 0.001], "maxIter": [100]},
-    "dt": {"maxDepth": [5, 10, 15, 20, 25], "minInstancesPerNode": [1, 2, 4, 10]},
-    "rf": {"maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4], "numTrees": [10, 100, 250]},
-    "et": {"maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4], "numTrees": [10, 100, 250]},
+    "lsvm": {"C": [1.0, 10.0, 100.0, 1000.0], "maxIter": [STEPS]},
+    "dt": {"maxDepth": [5, 10, 15, 20, 25, 30], "minInstancesPerNode": [1, 2, 4, 10]},
+    "rf": {"maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4], "numTrees": [250, 500, 1000]},
+    "et": {"maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4], "numTrees": [250, 500, 1000]},
     "xgboost": {"maxDepth": [3, 5, 10], "stepSize": [0.01, 0.1, 0.2], "subsamplingRate": [0.8, 0.9, 1.0]},
-    "nn": {"stepSize": [0.001, 0.01, 0.1], "maxIter": [100, 300], "solver": ["l-bfgs", "gd"]},
+    "nn": {"stepSize": [0.001, 0.01, 0.1], "maxIter": [300, 500, 1000], "solver": ["l-bfgs", "gd"]},
     "nb": {"smoothing": [1e-9, 1e-6, 1e-3]},
 }
-#: Distributions of the random search, as functions of a generator.
+_whole = lambda low, high: lambda r: int(r.integers(low, high))
+_one_of = lambda *values: lambda r: values[int(r.integers(len(values)))]
+
+
+def _truncated(low: float, high: float):
+    """A standard normal number between low and high."""
+
+    def draw(r):
+        while not low <= (x := abs(r.normal())) <= high:
+            pass
+        return float(x)
+
+    return draw
+
+
+_FOREST = {
+    "maxDepth": lambda r: min(int(r.integers(3, 100)), 30),
+    "impurity": _one_of("gini", "entropy"),
+    "featureSubsetStrategy": _one_of("sqrt", "log2"),
+    "minInstancesPerNode": _whole(1, 5),
+    "numTrees": _whole(10, 1000),
+    "weightCol": _one_of("unit", "balanced"),
+}
+#: Distributions of the random search, as functions of a generator; depths beyond MLlib's end at 30.
 DRAWS = {
-    "lsvm": {"regParam": lambda r: 1 / (0.01 + r.exponential(20))},
-    "dt": {"maxDepth": lambda r: int(r.integers(10, 31)), "minInstancesPerNode": lambda r: int(r.integers(1, 5))},
-    "rf": {"maxDepth": lambda r: int(r.integers(3, 31)), "impurity": lambda r: str(r.choice(["gini", "entropy"])), "numTrees": lambda r: int(r.integers(10, 200))},
-    "et": {"maxDepth": lambda r: int(r.integers(3, 31)), "impurity": lambda r: str(r.choice(["gini", "entropy"])), "numTrees": lambda r: int(r.integers(10, 200))},
-    "xgboost": {"maxDepth": lambda r: int(r.integers(3, 11)), "stepSize": lambda r: float(min(1.0, 0.01 + r.exponential(0.1)))},
-    "nn": {"stepSize": lambda r: 0.0001 + r.exponential(0.1), "maxIter": lambda r: int(r.choice([100, 300]))},
+    "lsvm": {"C": lambda r: 0.01 + r.exponential(20), "tol": _one_of(1e-3, 1e-4), "maxIter": _one_of(STEPS)},
+    "dt": {"maxDepth": lambda r: min(int(r.integers(10, 100)), 30), "minInstancesPerNode": _whole(1, 5)},
+    "rf": {"bootstrap": _one_of(True, False), **_FOREST},
+    "et": _FOREST,
+    "xgboost": {
+        "maxIter": _whole(100, 3000), "stepSize": lambda r: float(min(1.0, 0.01 + r.exponential(0.1))), "maxDepth": lambda r: min(int(r.integers(3, 60)), 30),
+        "subsamplingRate": _truncated(0.3, 1), "featureSubsetStrategy": lambda r: str(round(_truncated(0.3, 1)(r), 3)), "minInstancesPerNode": _whole(1, 6),
+    },
+    "nn": {"stepSize": lambda r: 0.0001 + r.exponential(0.1), "maxIter": _one_of(300, 500, 1000), "solver": _one_of("l-bfgs", "gd")},
     "nb": {"smoothing": lambda r: float(10 ** r.uniform(-9, -3))},
-}
+}
+
+
+def settings(values: dict, rows: int, trees: int | None = None) -> dict:
+    """A setting in MLlib's terms: C, which weighs the rows' sum, as the penalty of their mean; trees takes the place of numbers of trees and rounds."""
+    out = {k: v for k, v in values.items() if k != "C"}
+    if "C" in values:
+        out["regParam"] = 1 / (values["C"] * rows)
+    return out | ({k: trees for k in ("numTrees",) if k in out} if trees else {}) | ({"maxIter": trees} if trees and "maxIter" in out and "maxDepth" in out else {})
+
+
+def weighed(df: DataFrame) -> DataFrame:
+    """df with unit, ones, and balanced, weights by which each label has half of all weight."""
+    counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    total, weight = sum(counts.values()), F.lit(1.0)
+    for y, n in counts.items():
+        weight = F.when(F.col("label") == y, total / (len(counts) * n)).otherwise(weight)
+    return df.withColumns({"unit": F.lit(1.0), "balanced": weight})
 
 
 def vectors(df: DataFrame, names: list[str]) -> DataFrame:
@@ -78,45 +122,85 @@ def _params(clf, settings: dict) -> list:
     return ParamGridBuilder().baseOn({clf.getParam(k): v for k, v in settings.items() if clf.hasParam(k)}).build()
 
 
-def grid(clf, name: str) -> list:
-    b = ParamGridBuilder()
+def grid(clf, name: str, rows: int, trees: int | None = None) -> list:
+    out = [{}]
     for k, vs in GRIDS[name].items():
-        b = b.addGrid(clf.getParam(k), vs)
-    return b.build()
+        out = [x | {k: v} for x in out for v in vs]
+    return [m for x in out for m in _params(clf, settings(x, rows, trees))]
 
 
-def draws(clf, name: str, n: int, seed: int = SEED) -> list:
+def draws(clf, name: str, n: int, rows: int, trees: int | None = None, seed: int = SEED) -> list:
     r = np.random.default_rng(seed)
-    return [m for _ in range(n) for m in _params(clf, {k: f(r) for k, f in DRAWS[name].items()})]
+    return [m for _ in range(n) for m in _params(clf, settings({k: f(r) for k, f in DRAWS[name].items()}, rows, trees))]
 
 
-class Strongest(Estimator):
-    """Keeps the n features of most importance to one fit of a classifier: a stage of a pipeline, fitted in each fold anew.
-    Classifiers without importances leave the choice to a decision tree."""
+def _path(train: DataFrame, test: DataFrame | None, n_features: int, make, least: int, step: int) -> tuple[list[int], list[tuple[int, float]]]:
+    """Features of the column scaled that are left when the weakest have gone, step at a time, down to least; and for each
+    number of features met the accuracy on test of the classifier fitted with them."""
+    kept, curve = list(range(n_features)), []
+    score = MulticlassClassificationEvaluator(metricName="accuracy")
+    while True:
+        select = VectorSlicer(inputCol="scaled", outputCol="selected", indices=kept)
+        if test is None and len(kept) <= least:
+            return kept, curve
+        model = make(len(kept)).setFeaturesCol("selected").fit(select.transform(train))
+        if test is not None:
+            curve.append((len(kept), score.evaluate(model.transform(select.transform(test)))))
+        weights = _weights(model) if len(kept) > least else None
+        if weights is None:
+            return kept, curve
+        weakest = sorted(range(len(kept)), key=lambda i: (weights[i], kept[i]))[: min(step, len(kept) - least)]
+        kept = [f for i, f in enumerate(kept) if i not in weakest]
 
-    def __init__(self, name: str, n_features: int, n: int, trees: int | None = None):
-        super().__init__()
-        self.name, self.n_features, self.n, self.trees = name if name not in ("nn", "nb") else "dt", n_features, n, trees
 
-    def _fit(self, df: DataFrame) -> VectorSlicer:
-        model = classifiers(self.n_features, self.trees)[self.name].setFeaturesCol("scaled").fit(df)
-        weights = _weights(model)
-        first = sorted(range(self.n_features), key=lambda i: (-weights[i], i))[: self.n]
-        return VectorSlicer(inputCol="scaled", outputCol="selected", indices=sorted(first))
+class Elimination(Estimator):
+    """Recursive elimination as a stage: the number of features is that of best cross-validated accuracy (of equal ones the
+    smallest), where each fold eliminates on its own; then all rows eliminate down to it. The fitted stage has the curve: the
+    mean accuracy for each number of features. Classifiers without importances keep all."""
 
+    def __init__(self, make, n_features: int, least: int = KEEP, step: int = 2, k: int = 2, cross_validated: bool = True):
+        super().__init__()
+        self.make, self.n_features, self.least, self.step, self.k, self.cross_validated = make, n_features, min(least, n_features), step, k, cross_validated
 
-def tune(train: DataFrame, names: list[str], name: str, search: str = "randomized", iterations: int = 10, k: int = FOLDS, parallelism: int = 4, keep: int | None = None, trees: int | None = None):
+    def _fit(self, df: DataFrame) -> VectorSlicer:
+        # Only what trees and scores read stays in memory.
+        data = folds(df, self.k).select("scaled", "label", "fold").cache()
+        curves: dict[int, list[float]] = {}
+        for i in range(self.k if self.cross_validated else 0):
+            for n, accuracy in _path(data.filter(F.col("fold") != i), data.filter(F.col("fold") == i), self.n_features, self.make, self.least, self.step)[1]:
+                curves.setdefault(n, []).append(accuracy)
+        curve = [(n, float(np.mean(a))) for n, a in curves.items()]
+        target = min((n for n, a in curve if a == max(a for _, a in curve)), default=self.least)
+        kept, _ = _path(data, None, self.n_features, self.make, target, self.step)
+        data.unpersist()
+        slicer = VectorSlicer(inputCol="scaled", outputCol="selected", indices=kept)
+        slicer.curve = curve
+        return slicer
+
+
+def tune(train: DataFrame, names: list[str], name: str, search: str = "randomized", iterations: int = 10, k: int = FOLDS, parallelism: int = 4, keep: int | None = None, trees: int | None = None, step: int = 2):
     """The best setting of one classifier by cross-validated accuracy: settings, accuracy, pipeline fitted with them on all
-    of train, and the features that it uses. With keep, each fold's pipeline chooses so many features before it is fitted."""
-    keep = min(keep or len(names), len(names))
-    clf = classifiers(keep, trees, train.count())[name].setFeaturesCol("selected" if keep < len(names) else "scaled")
-    maps = grid(clf, name) if search == "grid" else draws(clf, name, iterations)
-    select = [Strongest(name, len(names), keep, trees)] if keep < len(names) else []
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled"), *select, clf])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold", parallelism=parallelism, seed=SEED)
-    model = cv.fit(folds(train, k))
+    of train, the features that it uses and the curve of their elimination.
+
+    With keep, features are first eliminated with the classifier's own settings, down to keep at least; the search then
+    tries settings on what is left."""
+    rows, own = train.count(), None
+    prepare = [VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled")]
+    if keep is not None and keep < len(names):
+        own = Elimination(lambda n: classifiers(n, trees, rows)[name], len(names), keep, step)
+    prepared = Pipeline(stages=[*prepare, *([own] if own else [])]).fit(train)
+    kept = used(prepared, names)
+    clf = classifiers(len(kept), trees, rows)[name].setFeaturesCol("selected" if own else "scaled")
+    maps = grid(clf, name, rows, trees) if search == "grid" else draws(clf, name, iterations, rows, trees)
+    cv = CrossValidator(estimator=clf, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold", parallelism=parallelism, seed=SEED)
+    data = folds(weighed(prepared.transform(train)), k).cache()
+    model = cv.fit(data)
+    data.unpersist()
     at = int(np.argmax(model.avgMetrics))
-    return {"classifier": name, "params": {p.name: v for p, v in maps[at].items()}, "cv_score": float(model.avgMetrics[at]), "model": model.bestModel, "features": used(model.bestModel, names)}
+    return {
+        "classifier": name, "params": {p.name: v for p, v in maps[at].items()}, "cv_score": float(model.avgMetrics[at]),
+        "model": PipelineModel([*prepared.stages, model.bestModel]), "features": kept, "curve": getattr(prepared.stages[-1], "curve", []),
+    }
 
 
 def used(model: PipelineModel, names: list[str]) -> list[str]:
@@ -125,7 +209,8 @@ def used(model: PipelineModel, names: list[str]) -> list[str]:
 
 
 def perform_cv(train: DataFrame, names: list[str], algorithms=("all",), iterations: int = 10, k: int = FOLDS, parallelism: int = 4, keep: int | None = KEEP, trees: int | None = None) -> tuple[dict, list[dict]]:
-    """The best of several classifiers, each scaled, reduced to keep features and tuned; and what was found for each."""
+    """The best of several classifiers, each scaled, its features eliminated by cross-validated accuracy down to keep at
+    least, and tuned; and what was found for each."""
     found = [tune(train, names, n, "randomized", iterations, k, parallelism, keep, trees) for n in chosen(list(algorithms), len(names), trees)]
     return max(found, key=lambda x: x["cv_score"]), found
 
@@ -154,23 +239,11 @@ def fit(train: DataFrame, names: list[str], clf, standardize: bool = True, polyn
 
 
 def eliminate(train: DataFrame, names: list[str], name: str, least: int = KEEP, step: int = 2, k: int = FOLDS, cross_validated: bool = True, trees: int | None = None) -> tuple[list[str], list[tuple[int, float]]]:
-    """Recursive elimination: the weakest features go, step at a time, down to least; of the sizes met the one
-    of best cross-validated accuracy wins. Classifiers without importances keep all."""
-    kept, history, best = list(names), [], (-1.0, list(names))
-    data = folds(train, k).cache()
-    score = MulticlassClassificationEvaluator(metricName="accuracy")
-    while True:
-        if cross_validated:
-            accuracy = float(np.mean([score.evaluate(fit(data.filter(F.col("fold") != i), kept, classifiers(len(kept), trees)[name]).transform(data.filter(F.col("fold") == i))) for i in range(k)]))
-            history.append((len(kept), accuracy))
-            best = max(best, (accuracy, list(kept)), key=lambda x: x[0])
-        weights = importance(fit(data, kept, classifiers(len(kept), trees)[name]), kept) if len(kept) > least else None
-        if weights is None:
-            break
-        weakest = {n for _, n in sorted(zip(weights, kept, strict=True))[: min(step, len(kept) - least)]}
-        kept = [n for n in kept if n not in weakest]
-    data.unpersist()
-    return (best[1] if cross_validated else kept), history
+    """The features that elimination leaves, and its curve (see Elimination)."""
+    rows = train.count() if name == "lsvm" else None
+    stages = [VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled")]
+    model = Pipeline(stages=[*stages, Elimination(lambda n: classifiers(n, trees, rows)[name], len(names), least, step, k, cross_validated)]).fit(train)
+    return used(model, names), model.stages[-1].curve
 
 
 def strongest(train: DataFrame, names: list[str], name: str, n: int = 12, trees: int | None = None) -> list[str]:

@@ -70,7 +70,7 @@ def test_ml(spark):
     quality, out = ml.train_and_eval(df, df, ["a", "b", "c"], ["dt", "nb", "et"], trees=3)
     assert {r.classifier: r.accuracy > 0.9 for r in quality.collect()} == {"dt": True, "nb": True, "et": True} and out.count() == 360
     tuned = ml.tune(df, ["a", "b", "c"], "dt", iterations=2, k=2)
-    assert tuned["cv_score"] > 0.9 and set(tuned["params"]) <= {"maxDepth", "minInstancesPerNode"}
+    assert tuned["cv_score"] > 0.9 and set(tuned["params"]) <= {"maxDepth", "minInstancesPerNode"} and tuned["curve"] == []
     kept, history = ml.eliminate(df, ["a", "b", "c"], "dt", least=1, step=1, k=2)
     assert "a" in kept and [n for n, _ in history] == [3, 2, 1] and ml.strongest(df, ["a", "b", "c"], "dt", 1) == ["a"]
     with pytest.raises(ValueError, match="no such classifier"):
@@ -83,6 +83,7 @@ def test_tuning_is_used(spark):
     df = spark.createDataFrame(rows, "pair_id long, label double, a double, b double, c double")
     best, found = ml.perform_cv(df, ["b", "a", "c"], ["dt", "nb"], iterations=1, k=2, keep=1, trees=3)
     assert best["features"] == ["a"] and {x["classifier"] for x in found} == {"dt", "nb"} and best["cv_score"] == max(x["cv_score"] for x in found) > 0.9
+    assert [n for n, _ in found[0]["curve"]] == [3, 1] and found[1]["features"] == ["b", "a", "c"]
     quality, out = ml.train_and_eval(df, df, ["b", "a", "c"], models={"tuned": best["model"]})
     assert [(r.classifier, r.accuracy > 0.9) for r in quality.collect()] == [("tuned", True)] and out.count() == 120
     assert ml.top_importances(spark, best["model"], best["features"]).count() <= 1
@@ -92,6 +93,40 @@ def test_tuning_is_used(spark):
     assert {r["rank"] for r in ml.ranking(df, "b").collect()} == {0.0, 0.25, 0.5, 0.75, 1.0}
 
 
+def test_elimination_scores_each_fold_on_its_own(spark):
+    """The curve and the choice are those of a plain loop over folds; of equal accuracies the fewest features win."""
+    import random
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+
+    r = random.Random(2)
+    names = list("abcdef")
+    rows = [(i, float(y), y + r.gauss(0, 0.7), y * (i % 3) + r.random(), *(r.random() for _ in range(4))) for i in range(300) for y in [i % 2]]
+    df = spark.createDataFrame(rows, "pair_id long, label double, " + ", ".join(f"{n} double" for n in names)).cache()
+    kept, curve = ml.eliminate(df, names, "dt", least=1, step=2, k=2)
+    data = ml.folds(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled")]).fit(df).transform(df), 2)
+    want = {}
+    for i in range(2):
+        train, test, left = data.filter(f"fold <> {i}"), data.filter(f"fold = {i}"), list(names)
+        while left:
+            model = ml.fit(train.drop("features", "scaled"), left, ml.classifiers(len(left))["dt"], standardize=False)
+            want.setdefault(len(left), []).append(MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(test.drop("features", "scaled"))))
+            weights = ml.importance(model, left)
+            left = [n for n, _ in sorted(zip(left, weights, strict=True), key=lambda x: (x[1], names.index(x[0])))[min(2, max(len(left) - 1, 1)) :]] if len(left) > 1 else []
+            left.sort()
+    assert [n for n, _ in curve] == [6, 4, 2, 1] and {n: pytest.approx(a, abs=0.02) for n, a in curve} == {n: sum(v) / 2 for n, v in want.items()}
+    best = max(a for _, a in curve)
+    assert len(kept) == min(n for n, a in curve if a == best)
+    tuned = ml.tune(df, names, "rf", iterations=2, k=2, keep=2, trees=3)
+    assert len(tuned["features"]) in (2, 4, 6) and ml.train_and_eval(df, df, names, models={"rf": tuned["model"]})[1].count() == 300
+    assert {p.name for m in ml.draws(ml.classifiers(6)["xgboost"], "xgboost", 3, 300) for p in m} >= {"maxIter", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode"}
+    assert [list(m.values())[1] for m in ml.grid(ml.classifiers(6)["lsvm"], "lsvm", 200)][0] == pytest.approx(1 / 200)
+    weights = ml.weighed(df.filter("label = 1 OR pair_id < 100")).groupBy("label").agg(F.sum("balanced").alias("w"), F.sum("unit").alias("n")).collect()
+    assert len({round(x.w, 6) for x in weights}) == 1 and sum(x.w for x in weights) == pytest.approx(sum(x.n for x in weights))
+
+
 def test_dataset(spark):
     rows = [(str(i), f"Place{i} Bay", f"Place{i} Bay", f"Bay {i},Place number {i},Porto {i},Cape {i},ab", "FR") for i in range(40)]
     g = spark.createDataFrame(rows, "geonameid string, name string, asciiname string, alternatenames string, country_code string")
