@@ -3,9 +3,9 @@
 Texts are cut into pieces and words. A count of words by language comes first: a phrase occurs no more often than its
 rarest word. Then a sketch of two rows of saturating counters, indexed by hashes of language and phrase, bounds from above
 how often each phrase of two or three words occurs: phrases whose two bounds reach LEAST are candidates, among them
-all that occur so often. Candidates compile into automata over words, each of which is one character; delimiters
-stand for ends of pieces and for all words of no candidate, so that matches, which may overlap, are of whole words within a
-piece. Tasks scan their texts with their language's automata, the counts are summed, and thresholds, cuts and
+all that occur so often. Candidates compile into automata over short codes of words, guarded by blanks, where
+delimiters stand for ends of pieces and for all words of no candidate, so that matches, which may overlap, are of whole
+words within a piece. Tasks scan their texts with their language's automata, the counts are summed, and thresholds, cuts and
 the ranking follow on exact counts as joins and windows.
 
 Memory is bounded at every size: counters by CELLS, automata by ROUND phrases at a time; where there are more
@@ -23,7 +23,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, product, repeat
 from operator import itemgetter
 
 import ahocorasick
@@ -43,8 +43,10 @@ LEAST, LONGEST, INSIDE, FIRST = 10, 3, 50, 2000
 CELLS, FILL = (1 << 16, 1 << 27), 4
 #: Counters that meet in one row of a merge.
 BLOCK = 1 << 16
-#: Candidates that are broadcast at a time, and the words of an automaton, of which there are no more than characters.
-ROUND, CODES = 1_000_000, 1_100_000
+#: Candidates that are broadcast at a time, and phrases whose counts meet in one row.
+ROUND, PHRASES = 1_500_000, 4096
+#: Digits of the codes of words, and what stands for all other words and for ends of pieces.
+DIGITS, DELIMITER = [chr(c) for c in range(0x30, 0x70)], "\n"
 #: Bits for hashes of frequent words: the power of two from 16 times their number, between these bounds.
 BITS = (1 << 15, 1 << 27)
 #: Counts of a task that wait to be summed.
@@ -230,50 +232,74 @@ def _candidates(rare, model, cells: int):
 
 
 #: The automata that a worker has compiled last, and what they were compiled from.
-_compiled: dict[str, dict[str, list]] = {}
+_compiled: dict[str, dict[str, tuple]] = {}
 
 
-def automata(phrases: dict[str, list[str]]) -> dict[str, list[tuple[dict[str, str], ahocorasick.Automaton]]]:
-    """For each language, automata of its phrases and the characters that stand for their words; a match gives the phrase's number."""
-    out: dict[str, list] = {}
+def codes(phrases: list[str]) -> dict[str, str]:
+    """A short code for each word: the words of most phrases have one digit, the next two, and so on."""
+    words = [w for w, _ in Counter(w for p in phrases for w in p.split(" ")).most_common()]
+    digits = ("".join(d) for n in count(1) for d in product(DIGITS, repeat=n))
+    return dict(zip(words, digits))  # noqa: B905
+
+
+def automata(phrases: dict[str, list[str]]) -> dict[str, tuple[dict[str, str], ahocorasick.Automaton]]:
+    """For each language the codes of its phrases' words and an automaton of its phrases, guarded by a blank at
+    either end; a match gives the phrase's number. Codes are of few digits, as an automaton looks through a node's children."""
+    out = {}
     for lang, own in phrases.items():
+        code, a = codes(own), ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, phrase in enumerate(own):
-            if lang not in out or len(out[lang][-1][0]) + LONGEST > CODES:
-                out.setdefault(lang, []).append(({}, ahocorasick.Automaton(ahocorasick.STORE_INTS)))
-            code, a = out[lang][-1]
-            a.add_word("".join([code.setdefault(w, _character(len(code))) for w in phrase.split(" ")]), i)
-        for _, a in out[lang]:
-            a.make_automaton()
+            a.add_word(f" {' '.join([code[w] for w in phrase.split(' ')])} ", i)
+        a.make_automaton()
+        out[lang] = code, a
     return out
 
 
-def _character(k: int) -> str:
-    """The k-th character that is neither the delimiter nor a surrogate."""
-    return chr(k + 11 if k + 11 < 0xD800 else k + 11 + 0x800)
-
-
-def matches(text: str, code: dict[str, str], a: ahocorasick.Automaton) -> Counter:
-    """Numbers of phrases in a normalized text, overlapping ones too: words of phrases as a character each, all other words
-    and ends of pieces as delimiters, which no match crosses."""
-    return Counter(map(itemgetter(1), a.iter("".join(map(code.get, text.split(" "), repeat("\n"))))))
+def matches(text: str, code: dict[str, str], a: ahocorasick.Automaton) -> np.ndarray:
+    """Numbers of phrases in a normalized text, overlapping ones too: words between single blanks, where ends of pieces
+    and words of no phrase are delimiters, which no match crosses."""
+    return np.fromiter(map(itemgetter(1), a.iter(f" {' '.join(map(code.get, text.split(' '), repeat(DELIMITER)))} ")), np.int64)
 
 
 def _scanned(model, number: str):
+    """A task's counts of phrases, in blocks of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = model.value
         if number not in _compiled:
             _compiled.clear()
-            _compiled[number] = automata(phrases)
-        counts = {lang: np.zeros(len(own), np.int64) for lang, own in phrases.items()}
+            _compiled[number] = automata(model.value)
+        counts = {lang: np.zeros(len(own), np.int64) for lang, own in model.value.items()}
         for lang, text in _by_language(batches):
-            for code, a in _compiled[number].get(lang, ()):
-                met = matches(text, code, a)
-                counts[lang][np.fromiter(met.keys(), np.int64, len(met))] += np.fromiter(met.values(), np.int64, len(met))
+            if lang in counts:
+                counts[lang] += np.bincount(matches(text, *_compiled[number][lang]), minlength=len(counts[lang]))
         for lang, n in counts.items():
-            some = np.flatnonzero(n)
-            for at in range(0, len(some), 50_000):
-                part = some[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "phrase": [phrases[lang][i] for i in part.tolist()], "n": n[part]})
+            for at in range(0, len(n), PHRASES):
+                part = n[at : at + PHRASES]
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "block": pa.array([at // PHRASES], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+
+    return run
+
+
+def _totals(model, least: int):
+    """The phrases of blocks whose rows, sorted by language and block, sum up to least or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often(lang, block, n):
+            some = np.flatnonzero(n >= least)
+            own = model.value[lang]
+            return pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "phrase": pa.array([own[block * PHRASES + i] for i in some.tolist()], pa.string()), "n": n[some]})
+
+        key = total = None
+        for b in batches:
+            for lang, block, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
+                if (lang, block) != key:
+                    if key:
+                        yield often(*key, total)
+                    key, total = (lang, block), 0
+                total = total + np.frombuffer(counts, np.int64)
+        if key:
+            yield often(*key, total)
 
     return run
 
@@ -326,8 +352,8 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
             phrases[lang] = own.tolist()
         del part
         model = spark.sparkContext.broadcast(phrases)
-        one = docs.mapInArrow(_scanned(model, uuid.uuid4().hex), "lang string, phrase string, n long")
-        one = written(one.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-counts")
+        blocks = docs.mapInArrow(_scanned(model, uuid.uuid4().hex), "lang string, block int, counts binary").repartition("lang", "block").sortWithinPartitions("lang", "block")
+        one = written(blocks.mapInArrow(_totals(model, least), "lang string, phrase string, n long"), "phrase-counts")
         model.unpersist()
         out = one if out is None else out.unionByName(one)
     return out

@@ -63,12 +63,12 @@ def test_collocations_by_a_plain_loop(spark):
     want = {(lang, p, n) for lang, c in counts.items() for p, n in c.items() if n >= 4}
     docs = spark.createDataFrame(rows, DOCS).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition(3).cache()
     words = docs.mapInArrow(phrases._word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    kept = phrases.CELLS, phrases.ROUND, phrases.CODES, phrases.CHARACTERS
+    kept = phrases.CELLS, phrases.ROUND, phrases.DIGITS, phrases.CHARACTERS
     try:
-        for phrases.CELLS, phrases.ROUND, phrases.CODES, phrases.CHARACTERS in (((1 << 16, 1 << 27), 10**6, 10**6, 10**6), ((1 << 16, 1 << 16), 40, 7, 500)):
+        for phrases.CELLS, phrases.ROUND, phrases.DIGITS, phrases.CHARACTERS in (((1 << 16, 1 << 27), 10**6, phrases.DIGITS, 10**6), ((1 << 16, 1 << 16), 40, ["0", "1"], 500)):
             assert {tuple(r) for r in phrases.phrase_counts(docs, words, 4).collect()} == want
     finally:
-        phrases.CELLS, phrases.ROUND, phrases.CODES, phrases.CHARACTERS = kept
+        phrases.CELLS, phrases.ROUND, phrases.DIGITS, phrases.CHARACTERS = kept
     assert any(p.split() == ["en"] * 3 for _, p, _ in want)
 
 
