@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, VectorAssembler, VectorSlicer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -12,24 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import counted, ratios
+from .extra_trees import ExtraTrees
+from .perceptron import Perceptron
 
 SEED, FOLDS, KEEP = 13, 5, 20
-#: Trees of the forests, rounds of boosting, penalty and steps of the linear machine.
-TREES, ROUNDS, C, STEPS = 908, 988, 1.0, 3000
+#: Trees of both forests, rounds of boosting, penalty and steps of the linear machine.
+TREES, EXTRA, ROUNDS, C, STEPS = 908, 300, 988, 1.0, 3000
 
 
 def classifiers(n_features: int, trees: int | None = None, rows: int | None = None) -> dict:
-    """The seven classifiers. Extra-trees stand as a forest without bootstrap, XGBoost as gradient-boosted
-    trees; depths end at 30, which is as deep as MLlib's trees go; the perceptron has no penalty. trees takes the
-    place of TREES and ROUNDS; rows, how many the machine is fitted on, turns C into the weight that MLlib asks for."""
-    trees, rounds = trees or TREES, trees or ROUNDS
+    """The seven classifiers. XGBoost stands as gradient-boosted trees; depths of MLlib's own trees end at 30, as deep
+    as they go. trees takes the place of TREES, EXTRA and ROUNDS; rows, how many the machine is fitted on, turns C into the weight that MLlib asks for."""
+    forest, rounds = trees or TREES, trees or ROUNDS
     return {
         "lsvm": LinearSVC(maxIter=STEPS, regParam=1 / (C * rows) if rows else 0.01),
         "dt": DecisionTreeClassifier(maxDepth=30, seed=SEED),
-        "rf": RandomForestClassifier(numTrees=trees, maxDepth=16, impurity="entropy", featureSubsetStrategy="log2", minInstancesPerNode=3, seed=SEED),
-        "nn": MultilayerPerceptronClassifier(layers=[n_features, 100, 2], maxIter=100, seed=SEED),
+        "rf": RandomForestClassifier(numTrees=forest, maxDepth=16, impurity="entropy", featureSubsetStrategy="log2", minInstancesPerNode=3, seed=SEED),
+        "nn": Perceptron(hidden=100, alpha=1.0, seed=SEED),
         "nb": NaiveBayes(modelType="gaussian"),
-        "et": RandomForestClassifier(numTrees=trees, maxDepth=30, bootstrap=False, seed=SEED),
+        "et": ExtraTrees(numTrees=trees or EXTRA, maxDepth=100, seed=SEED),
         "xgboost": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.7, seed=SEED),
     }
 
@@ -51,7 +52,7 @@ GRIDS = {
     "rf": {"maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4], "numTrees": [250, 500, 1000]},
     "et": {"maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4], "numTrees": [250, 500, 1000]},
     "xgboost": {"maxDepth": [3, 5, 10], "stepSize": [0.01, 0.1, 0.2], "subsamplingRate": [0.8, 0.9, 1.0]},
-    "nn": {"stepSize": [0.001, 0.01, 0.1], "maxIter": [300, 500, 1000], "solver": ["l-bfgs", "gd"]},
+    "nn": {"stepSize": [0.001, 0.01, 0.1], "maxIter": [300, 500, 1000], "solver": ["gd", "adam"]},
     "nb": {"smoothing": [1e-9, 1e-6, 1e-3]},
 }
 _whole = lambda low, high: lambda r: int(r.integers(low, high))
@@ -82,12 +83,12 @@ DRAWS = {
     "lsvm": {"C": lambda r: 0.01 + r.exponential(20), "tol": _one_of(1e-3, 1e-4), "maxIter": _one_of(STEPS)},
     "dt": {"maxDepth": lambda r: min(int(r.integers(10, 100)), 30), "minInstancesPerNode": _whole(1, 5)},
     "rf": {"bootstrap": _one_of(True, False), **_FOREST},
-    "et": _FOREST,
+    "et": _FOREST | {"maxDepth": _whole(3, 100)},
     "xgboost": {
         "maxIter": _whole(100, 3000), "stepSize": lambda r: float(min(1.0, 0.01 + r.exponential(0.1))), "maxDepth": lambda r: min(int(r.integers(3, 60)), 30),
         "subsamplingRate": _truncated(0.3, 1), "featureSubsetStrategy": lambda r: str(round(_truncated(0.3, 1)(r), 3)), "minInstancesPerNode": _whole(1, 6),
     },
-    "nn": {"stepSize": lambda r: 0.0001 + r.exponential(0.1), "maxIter": _one_of(300, 500, 1000), "solver": _one_of("l-bfgs", "gd")},
+    "nn": {"stepSize": lambda r: 0.0001 + r.exponential(0.1), "maxIter": _one_of(300, 500, 1000), "solver": _one_of("gd", "adam")},
     "nb": {"smoothing": lambda r: float(10 ** r.uniform(-9, -3))},
 }
 
