@@ -11,7 +11,7 @@ from ..operators import compare, dataset, evaluate, features, ml, profile, sweep
 from ..schema import label, pair_id
 from ..sources import files
 from . import sql
-from .fixtures import PAIRS_SQL, STEPPED_SQL, gazetteer, pair_file, part_pairs, stepped_pairs, table
+from .fixtures import BLOCKED_SQL, PAIRS_SQL, STEPPED_SQL, blocked_pairs, gazetteer, pair_file, part_pairs, stepped_pairs, table
 
 ALL = list(params.BASIC)
 #: Metrics whose scores SQL gives too.
@@ -191,6 +191,8 @@ def queries() -> dict:
         "false_pos_neg": _false_pos_neg,
         "metric_regressions": _regressions,
         "compared_runs": _compared_runs,
+        "blocked_pairs": lambda spark, sf: blocked_pairs(spark, sf).withColumn("score", F.round("score", 6)),
+        "blocked_confusion": lambda spark, sf: _rounded(evaluate.evaluate_metrics(blocked_pairs(spark, sf), names=STEPPED)),
         "ml_cv": _tuned,
         "ml_rfe": _eliminated,
         "ml_importances": _importances,
@@ -238,6 +240,8 @@ def oracle_sql() -> dict[str, str]:
         "metric_regressions": f"WITH {PAIRS_SQL}, t AS (SELECT s1, s2, y, {a} AS a, {b} AS b FROM p), d AS ("
         + " UNION ALL ".join(f"SELECT s1, s2, y, '{m}' AS metric, {sql.METRICS[m]('s1', 's2')} >= {ORIG[m]} AS d1, {sql.METRICS[m]('a', 'b')} >= {SORTED[m]} AS d2 FROM t" for m in NATIVE)
         + ") SELECT s1, s2, metric FROM d WHERE y = d1 AND y <> d2",
+        "blocked_pairs": f"WITH {BLOCKED_SQL} SELECT s1, s2, upper(y::VARCHAR) AS res, round(score, 6) AS score FROM p",
+        "blocked_confusion": sql.confusion({m: ORIG[m] for m in STEPPED}, BLOCKED_SQL),
         "compared_runs": f"WITH {STEPPED_SQL}, t AS (SELECT row_number() OVER (ORDER BY k1, k2) - 1 AS row, s1, s2, y, {a} AS a, {b} AS b FROM p), d AS ("
         + " UNION ALL ".join(f"SELECT row, s1, s2, y, '{m}' AS metric, {sql.METRICS[m]('s1', 's2')} >= {ORIG[m]} AS d1, {sql.METRICS[m]('a', 'b')} >= {SORTED[m]} AS d2 FROM t" for m in NATIVE)
         + ") SELECT row, metric, s1, s2, upper(y::VARCHAR) AS res FROM d WHERE y = d1 AND y <> d2",

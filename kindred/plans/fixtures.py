@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocking
 from ..sources import files
 
 #: Names are a small vocabulary; beyond so many the pairs are not made.
@@ -42,6 +43,19 @@ def stepped_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "k2").select("k1", "k2", "s1", "s2", F.when(F.col("t1") == F.col("t2"), "TRUE").otherwise("FALSE").alias("res"))
 
 
+#: The least likeness of blocked pairs.
+ALIKE = 0.6
+
+
+def blocked_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of distinct part names with types that are alike, found without comparing all: s1, s2, TRUE if their types agree, and score."""
+    parts = table(spark, sf, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("s"))
+    # The name has two words, what follows is the type.
+    kind = lambda c: F.array_join(F.slice(F.split(c, " "), 3, 100), " ")
+    found = blocking.pairs_alike(parts, ALIKE)
+    return found.select("s1", "s2", F.when(kind("s1") == kind("s2"), "TRUE").otherwise("FALSE").alias("res"), "score")
+
+
 def pair_file(spark: SparkSession, sf: str) -> str:
     """The path of a file of stepped pairs in order of their keys, as pair files are laid out."""
     path = files.shared_path(spark, "pairs")
@@ -61,3 +75,10 @@ PAIRS_SQL = """n AS (SELECT DISTINCT p_name AS n FROM part WHERE p_name IS NOT N
 p AS (SELECT a.n AS s1, b.n AS s2, string_split(a.n, ' ')[-1] = string_split(b.n, ' ')[-1] AS y FROM n AS a JOIN n AS b ON a.n < b.n)"""
 STEPPED_SQL = f"""n AS (SELECT p_partkey AS k, p_name || ' ' || lower(p_type) AS s, lower(p_type) AS t FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL),
 p AS (SELECT a.k AS k1, b.k AS k2, a.s AS s1, b.s AS s2, a.t = b.t AS y FROM (SELECT *, unnest(range(1, {STEPS + 1})) AS d FROM n) AS a JOIN n AS b ON b.k = a.k + a.d)"""
+#: All pairs that share a gram, counted by the grams that they share.
+BLOCKED_SQL = f"""n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS s FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL),
+gr AS (SELECT s, unnest(list_distinct(list_concat(list_transform(range(1, length(s) + 2), lambda i: substring(' ' || s || ' ', i, 2)), list_transform(range(1, length(s) + 1), lambda i: substring(' ' || s || ' ', i, 3))))) AS gram FROM n),
+z AS (SELECT s, count(*) AS size FROM gr GROUP BY s),
+o AS (SELECT a.s AS s1, b.s AS s2, count(*) AS shared FROM gr AS a JOIN gr AS b ON a.gram = b.gram AND a.s < b.s GROUP BY ALL),
+p AS (SELECT s1, s2, string_split(s1, ' ')[3:] = string_split(s2, ' ')[3:] AS y, shared / (x.size + y.size - shared) AS score
+      FROM o JOIN z AS x ON x.s = s1 JOIN z AS y ON y.s = s2 WHERE shared / (x.size + y.size - shared) >= {ALIKE})"""
