@@ -43,8 +43,8 @@ LEAST, LONGEST, INSIDE, FIRST = 10, 3, 50, 2000
 CELLS, FILL = (1 << 16, 1 << 27), 4
 #: Counters that meet in one row of a merge.
 BLOCK = 1 << 16
-#: Candidates that are broadcast at a time, and phrases whose counts meet in one row.
-ROUND, PHRASES = 1_500_000, 4096
+#: Candidates that are broadcast at a time, phrases whose counts meet in one row, and blocks of a language's candidates.
+ROUND, PHRASES, PARTS = 1_500_000, 4096, 1024
 #: Digits of the codes of words, and what stands for all other words and for ends of pieces.
 DIGITS, DELIMITER = [chr(c) for c in range(0x30, 0x70)], "\n"
 #: Bits for hashes of frequent words: the power of two from 16 times their number, between these bounds.
@@ -211,10 +211,24 @@ def _added(least: int):
 
 
 def _candidates(rare, model, cells: int):
+    """The phrases that a task met whose counters are high, without most repeats: a row a block of phrases, by their hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, known, seen = model.value, Known(rare.value), set()
+        waiting: dict[str, list[tuple[np.ndarray, list[str]]]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, parts in waiting.items():
+                hashes, phrases = np.concatenate([h for h, _ in parts]), [p for _, ps in parts for p in ps]
+                blocks = (hashes % np.uint64(PARTS)).astype(np.int32)
+                order = np.argsort(blocks, kind="stable")
+                found, first = np.unique(blocks[order], return_index=True)
+                spans = [order[i:j].tolist() for i, j in zip(first, [*first[1:], len(order)], strict=True)]
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(spans), "block": found, "phrases": ["\n".join([phrases[i] for i in span]) for span in spans]})
+            waiting.clear()
+
         for lang, text in _by_language(batches):
-            words, found = text.split(" "), []
+            words = text.split(" ")
             for n, at, x in phrase_hashes(words, known[lang]):
                 keep = np.ones(len(x), bool)
                 for bits, cell in zip(heavy, cells_of(x, cells), strict=True):
@@ -224,13 +238,33 @@ def _candidates(rare, model, cells: int):
                     seen.clear()
                 new = [i for i, h in enumerate(x.tolist()) if h not in seen]
                 seen.update(x[new].tolist())
-                found += [" ".join(words[s : s + n]) for s in at[keep][first[new]].tolist()]
-            for i in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found[i : i + 50_000]), "phrase": found[i : i + 50_000]})
+                if new:
+                    waiting.setdefault(lang, []).append((x[new], [" ".join(words[s : s + n]) for s in at[keep][first[new]].tolist()]))
+            if sum(len(h) for parts in waiting.values() for h, _ in parts) > HELD:
+                yield from flushed()
+        yield from flushed()
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct phrases of each block, of rows that are sorted by language and block."""
+    key, phrases = None, set()
+
+    def those() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": [key[0]] * len(phrases), "phrase": list(phrases)})
+
+    for b in batches:
+        for lang, block, some in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "phrases")), strict=True):
+            if (lang, block) != key:
+                if key:
+                    yield those()
+                key, phrases = (lang, block), set()
+            phrases.update(some.split("\n"))
+    if key:
+        yield those()
+
+
 #: The automata that a worker has compiled last, and what they were compiled from.
 _compiled: dict[str, dict[str, tuple]] = {}
 
@@ -242,11 +276,12 @@ def codes(phrases: list[str]) -> dict[str, str]:
     return dict(zip(words, digits))  # noqa: B905
 
 
-def automata(phrases: dict[str, list[str]]) -> dict[str, tuple[dict[str, str], ahocorasick.Automaton]]:
-    """For each language the codes of its phrases' words and an automaton of its phrases, guarded by a blank at
+def automata(phrases: dict[str, str]) -> dict[str, tuple[dict[str, str], ahocorasick.Automaton]]:
+    """For each language the codes of its phrases' words and an automaton of its phrases (a line each), guarded by a blank at
     either end; a match gives the phrase's number. Codes are of few digits, as an automaton looks through a node's children."""
     out = {}
-    for lang, own in phrases.items():
+    for lang, lines in phrases.items():
+        own = lines.split("\n")
         code, a = codes(own), ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, phrase in enumerate(own):
             a.add_word(f" {' '.join([code[w] for w in phrase.split(' ')])} ", i)
@@ -268,7 +303,7 @@ def _scanned(model, number: str):
         if number not in _compiled:
             _compiled.clear()
             _compiled[number] = automata(model.value)
-        counts = {lang: np.zeros(len(own), np.int64) for lang, own in model.value.items()}
+        counts = {lang: np.zeros(lines.count("\n") + 1, np.int64) for lang, lines in model.value.items()}
         for lang, text in _by_language(batches):
             if lang in counts:
                 counts[lang] += np.bincount(matches(text, *_compiled[number][lang]), minlength=len(counts[lang]))
@@ -287,9 +322,14 @@ def _totals(model, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def often(lang, block, n):
             some = np.flatnonzero(n >= least)
-            own = model.value[lang]
+            if lang not in lists:
+                lists.clear()
+                lists[lang] = model.value[lang].split("\n")
+            own = lists[lang]
             return pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "phrase": pa.array([own[block * PHRASES + i] for i in some.tolist()], pa.string()), "n": n[some]})
 
+        _compiled.clear()
+        lists: dict[str, list[str]] = {}
         key = total = None
         for b in batches:
             for lang, block, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
@@ -339,7 +379,8 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
         cells *= 2
     rare = spark.sparkContext.broadcast(frequent_words(words, least))
     heavy = spark.sparkContext.broadcast(heavy_cells(docs, rare, cells, least))
-    found = written(docs.mapInArrow(_candidates(rare, heavy, cells), "lang string, phrase string").distinct(), "phrase-candidates")
+    blocks = docs.mapInArrow(_candidates(rare, heavy, cells), "lang string, block int, phrases string").repartition("lang", "block").sortWithinPartitions("lang", "block")
+    found = written(blocks.mapInArrow(_united, "lang string, phrase string"), "phrase-candidates")
     heavy.unpersist()
     rare.unpersist()
     rounds = max(1, -(-found.count() // ROUND))
@@ -347,9 +388,9 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     for k in range(rounds):
         # ROUND phrases, give or take what the hash leaves uneven.
         part = found.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(rounds)) == k).toArrow()
-        phrases: dict[str, list[str]] = {}
+        phrases: dict[str, str] = {}
         for lang, own in pd.DataFrame({c: part.column(c).to_pandas() for c in ("lang", "phrase")}).groupby("lang")["phrase"]:
-            phrases[lang] = own.tolist()
+            phrases[lang] = "\n".join(own)
         del part
         model = spark.sparkContext.broadcast(phrases)
         blocks = docs.mapInArrow(_scanned(model, uuid.uuid4().hex), "lang string, block int, counts binary").repartition("lang", "block").sortWithinPartitions("lang", "block")
