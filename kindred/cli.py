@@ -33,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--trees", type=int, help="trees of forests and rounds of boosting, if not the tuned numbers")
     p.add_argument("--iterations", type=int, default=300, help="settings that a random search draws for each classifier")
     p.add_argument("--halves", action="store_true", help="--cmp: the second half of the outcomes stands first, as two-fold trials write them")
+    p.add_argument("--learn-stop-words", action="store_true", help="stop-words by language, learnt from a dataset of lines of language and text")
+    p.add_argument("--stop-words", help="a file that --learn-stop-words wrote; --test 2 leaves out those of each string's language")
     p.add_argument("--timing", action="store_true", help="seconds by metric")
     p.add_argument("--output", default="output")
     p.add_argument("--version", action="version", version=VERSION)
@@ -128,13 +130,19 @@ def main(argv: list[str] | None = None) -> None:
     if a.cmp:
         compared(spark, a, paths)
         return
+    if a.learn_stop_words:
+        found = profile.stop_words(spark.read.schema("lang string, text string").options(sep="\t", quote="").csv(paths[0]))
+        files.write_tsv(found.orderBy("lang", "rank"), f"{a.output}/stop_words")
+        found.groupBy("lang").count().show()
+        return
     # Result files carry their rows' numbers.
     pairs = files.read_pairs(spark, paths[0], with_rows=a.accuracyresults)
     if a.timing:
         evaluate.seconds_by_metric(pairs, sorting=a.sort, canonical=a.canonical).show(50, truncate=False)
     elif a.test == 2:
         strings = profile.both(pairs)
-        files.write_tsv(profile.ngram_counts(strings).orderBy(F.desc("count"), "gram"), f"{a.output}/grams", by="kind")
+        stopped = profile.lists_of(spark.read.schema("lang string, word string, no long, rank int").option("sep", "\t").csv(a.stop_words)) if a.stop_words else None
+        files.write_tsv(profile.ngram_counts(strings, stop_words=stopped).orderBy(F.desc("count"), "gram"), f"{a.output}/grams", by="kind")
         abbreviations = profile.abbreviation_counts(strings).orderBy(F.desc("count"), "abbr")
         files.write_tsv(abbreviations.withColumn("examples", F.array_join("examples", ",")), f"{a.output}/abbr", header=True)
         abbreviations.show(50, truncate=False)

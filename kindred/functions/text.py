@@ -25,9 +25,60 @@ def without_accents(s: str) -> str:
     return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
 
 
+#: Hangul initials, vowels and finals, in the order of their code points.
+INITIALS = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
+VOWELS = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i")
+FINALS = ("g", "kk", "gs", "n", "nj", "nh", "d", "l", "lg", "lm", "lb", "ls", "lt", "lp", "lh", "m", "b", "bs", "s", "ss", "ng", "j", "ch", "k", "t", "p", "h")
+#: Alphabets whose letters sound as their names begin, and the sounds of two letters that names begin with.
+NAMED = ("HEBREW", "ARABIC", "SYRIAC", "ARMENIAN", "GEORGIAN", "COPTIC", "GOTHIC", "THAANA")
+SOUNDS = ("SH", "CH", "TS", "TH", "DH", "KH", "GH", "ZH", "JH", "PH")
+
+
+def _by_name(c: str) -> str:
+    """Letters of other scripts by their Unicode names: syllables are their names, letters of alphabets the first sound of theirs."""
+    words = unicodedata.name(c, "").split(" ")
+    if words[0] == "KATAKANA-HIRAGANA" or "LETTER" not in words or len(words) < 3:
+        return c
+    script, name = words[0], words[-1]
+    if script in ("HIRAGANA", "KATAKANA"):
+        return "n" if name == "N" else name.lower()
+    if script in NAMED:
+        own = next((w for w in words[words.index("LETTER") + 1 :] if w != "FINAL"), "")
+        return next((x for x in SOUNDS if own.startswith(x)), own[:1]).lower()
+    return name.lower() if name.isalpha() and script in ("DEVANAGARI", "BENGALI", "GUJARATI", "GURMUKHI", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM") else c
+
+
+def _romanised(c: str) -> str:
+    """A character in ASCII letters and digits, so far as rules give them; else itself."""
+    if c in LETTERS or c.isascii():
+        return LETTERS.get(c, c)
+    if unicodedata.category(c) == "Mn":
+        return ""
+    if (found := _by_name(c)) != c:
+        return found
+    for first, sounds in ((0x1100, INITIALS), (0x1161, VOWELS), (0x11A8, FINALS)):
+        if 0 <= ord(c) - first < len(sounds):
+            return sounds[ord(c) - first]
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return str(digit)
+    parts = unicodedata.normalize("NFD", c)
+    return c if parts == c else "".join(map(_romanised, parts))
+
+
+class _Letters(dict):
+    """What stands for a code point, found when first met."""
+
+    def __missing__(self, code: int) -> str:
+        found = self[code] = _romanised(chr(code))
+        return found
+
+
+_letters = _Letters()
+
+
 def transliterated(s: str) -> str:
     s = s.lower()
-    return s if s.isascii() else "".join(LETTERS.get(c, c) for c in without_accents(s))
+    return s if s.isascii() else unicodedata.normalize("NFC", s).translate(_letters)
 
 
 @F.pandas_udf(StringType())
@@ -100,6 +151,20 @@ def language(s: Column, stop_words: dict[str, list[str]] | None = None, default:
     return F.when(first["n"] < 0, first["name"]).otherwise(F.lit(default))
 
 
+def normalized(s: Column, stop_words: dict[str, list[str]] | list[str] | None = None, sort: bool = False, default: str = "english") -> Column:
+    """kept and stopped words of s. stop_words by language are those of the language that s is in, as its stop-words tell."""
+    if not isinstance(stop_words, dict):
+        own = list(stop_words or ())
+        kept, stopped = wordpunct_words(s, own), stopped_words(s, own) if own else F.array().cast("array<string>")
+    else:
+        lists = F.create_map(*(x for name, ws in stop_words.items() for x in (F.lit(name), F.array(*map(F.lit, ws)).cast("array<string>")))) if stop_words else F.create_map().cast("map<string, array<string>>")
+        own = F.coalesce(F.try_element_at(lists, language(s, stop_words, default)), F.array().cast("array<string>"))
+        words = wordpunct_words(s)
+        kept, stopped = F.filter(words, lambda t: ~F.array_contains(own, t)), F.filter(words, lambda t: F.array_contains(own, t))
+    shape = natural_sorted if sort else (lambda ws: ws)
+    return F.struct(shape(kept).alias("kept"), shape(stopped).alias("stopped"))
+
+
 def distinct_in_order(ts: Column) -> Column:
     """The distinct tokens, each where it stood first."""
     return F.array_distinct(ts)

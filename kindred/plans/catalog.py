@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import metrics, terms, text
+from ..functions import metrics, register, terms, text
 from ..operators import compare, dataset, evaluate, features, ml, profile, sweep
 from ..schema import label, pair_id
 from ..sources import files
@@ -115,6 +115,14 @@ def _compared_runs(spark, sf) -> DataFrame:
     return compare.runs_of(pairs, *runs, list(NATIVE)).select("row", "metric", "s1", "s2", "res")
 
 
+def _by_sql(spark, sf) -> DataFrame:
+    """Metrics and the term split by their names in SQL."""
+    register.register(spark)
+    part_pairs(spark, sf).createOrReplaceTempView("kindred_pairs")
+    split = ", ".join(f"t.{c}" for c in register.COLUMNS[:4])
+    return spark.sql(f"SELECT s1, s2, round(jaro(s1, s2), 6) AS jaro, round(monge_elkan(s1, s2), 6) AS monge_elkan, round(avg_lsim_jaccard(s1, s2), 6) AS avg_lsim_jaccard, {split} FROM kindred_pairs, LATERAL term_split(s1, s2, 0.55) AS t")
+
+
 def _pairs(expr):
     return lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", *(c.alias(n) for n, c in expr(F.col("s1"), F.col("s2")).items()))
 
@@ -180,6 +188,8 @@ def queries() -> dict:
         "abbr_examples": lambda spark, sf: profile.abbreviation_counts(table(spark, sf, "conversations").select(F.col("text").alias("s"))).select("abbr", "count", F.array_join("examples", "|").alias("examples")),
         "in_pos_thirds_both": lambda spark, sf: part_pairs(spark, sf).select("s1", "s2", F.posexplode(text.thirds(F.col("s2"))).alias("pos", "third")).select("s1", "s2", "pos", F.round(metrics.score(F.col("s1"), F.col("third"), "damerau_levenshtein"), 6).alias("score")),
         "natural_order": lambda spark, sf: table(spark, sf, "part").select("p_brand", F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string"), "p_name").alias("s")).select("s", text.sorted_text(F.col("s")).alias("sorted")),
+        "stop_words": lambda spark, sf: profile.stop_words(table(spark, sf, "documents")),
+        "sql_functions": _by_sql,
         "abbr_counts": lambda spark, sf: profile.abbreviation_counts(docs(spark, sf)).select("abbr", "count"),
         "dash_count": lambda spark, sf: profile.dash_count(docs(spark, sf)),
         "top_freq_terms": lambda spark, sf: profile.top_terms(_words(table(spark, sf, "documents"))),
@@ -227,6 +237,11 @@ def oracle_sql() -> dict[str, str]:
         "normalize_canonical": f"SELECT doc_id, md5(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '{punctuation}', '', 'g')) AS md5 FROM documents",
         "wordpunct_tokens": f"SELECT doc_id, len({ws})::BIGINT AS words FROM documents",
         "detect_alphabet": "SELECT doc_id, CASE WHEN regexp_matches(text, '\\p{Cyrillic}') THEN 'CYRILLIC' WHEN regexp_matches(text, '\\p{Latin}') THEN 'LATIN' ELSE 'UND' END AS alphabet, NOT regexp_matches(replace(text, 'µ', ''), '[\\p{Cyrillic}\\p{Greek}\\p{Arabic}\\p{Han}]') AS only_latin FROM documents",
+        "stop_words": f"WITH t AS (SELECT lang, list_distinct(list_transform({ws}, lambda t: lower(t))) AS ws FROM documents WHERE lang IS NOT NULL), n AS (SELECT lang, count(*) AS texts, sum(count(*)) OVER () AS all_texts FROM t GROUP BY lang), "
+        "w AS (SELECT lang, word, count(*) AS no, sum(count(*)) OVER (PARTITION BY word) AS all_no FROM (SELECT lang, unnest(ws) AS word FROM t) GROUP BY lang, word) "
+        "SELECT lang, word, no, row_number() OVER (PARTITION BY lang ORDER BY no DESC, word)::INT AS rank FROM w JOIN n USING (lang) WHERE 100 * no >= 30 * texts AND no * (all_texts - texts) >= 3 * (all_no - no) * texts QUALIFY rank <= 50",
+        "sql_functions": f"SELECT s1, s2, jaro, monge_elkan, avg_lsim_jaccard, base_a, base_b, mismatch_a, mismatch_b FROM ({sql.term_split(0.55)}) JOIN ({_lsim_sql(True)}) USING (s1, s2) "
+        f"JOIN ({sql.metric('jaro').replace('AS score', 'AS jaro')}) USING (s1, s2) JOIN ({sql.metric('monge_elkan').replace('AS score', 'AS monge_elkan')}) USING (s1, s2)",
         "token_counts": "SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')))::BIGINT AS tokens FROM documents",
         "dash_words": "SELECT doc_id, regexp_matches(text, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]-[\\p{L}\\p{M}\\p{N}\\p{Pc}]') AS dashed FROM documents",
         "dash_count": "SELECT count(*) FILTER (regexp_matches(text, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]-[\\p{L}\\p{M}\\p{N}\\p{Pc}]')) AS dashed FROM documents",
