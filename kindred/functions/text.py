@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .grams import bound
+
 #: The punctuation that is deleted.
 PUNCTUATION = "[‘’“”'\"!?;/⧸⁄‹›«»`ʿ,.\\-]"
 #: Latin letters without a decomposition, Greek and Cyrillic, as ASCII.
@@ -159,8 +161,9 @@ def normalized(s: Column, stop_words: dict[str, list[str]] | list[str] | None =
     else:
         lists = F.create_map(*(x for name, ws in stop_words.items() for x in (F.lit(name), F.array(*map(F.lit, ws)).cast("array<string>")))) if stop_words else F.create_map().cast("map<string, array<string>>")
         own = F.coalesce(F.try_element_at(lists, language(s, stop_words, default)), F.array().cast("array<string>"))
-        words = wordpunct_words(s)
-        kept, stopped = F.filter(words, lambda t: ~F.array_contains(own, t)), F.filter(words, lambda t: F.array_contains(own, t))
+        parts = lambda v: F.struct(F.filter(v["words"], lambda t: ~F.array_contains(v["own"], t)).alias("kept"), F.filter(v["words"], lambda t: F.array_contains(v["own"], t)).alias("stopped"))
+        both = bound(parts, words=wordpunct_words(s), own=own)
+        kept, stopped = both["kept"], both["stopped"]
     shape = natural_sorted if sort else (lambda ws: ws)
     return F.struct(shape(kept).alias("kept"), shape(stopped).alias("stopped"))
 

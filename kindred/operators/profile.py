@@ -17,6 +17,8 @@ def ngram_counts(strings: DataFrame, canonical: bool = True, stop_words: dict[st
     """kind, gram and count over a column s: token 1- to 3-grams, and character 2- to 4-grams of the tokens joined without
     spaces. With stop_words by language those of each string's own are left out."""
     s = text.canonical(F.col("s")) if canonical else F.col("s")
+    strings = strings.select(s.alias("s"))
+    s = F.col("s")
     ws = strings.select((text.normalized(s, stop_words)["kept"] if stop_words else text.wordpunct_words(s)).alias("ws"))
     glued = F.array_join("ws", "")
     kinds = {"gram_token": text.token_ngrams(F.col("ws"), 1), "2gram_token": text.token_ngrams(F.col("ws"), 2), "3gram_token": text.token_ngrams(F.col("ws"), 3), **{f"{n}gram": grams.grams(glued, n) for n in (2, 3, 4)}}
