@@ -22,13 +22,13 @@ TREES, EXTRA, ROUNDS, C, STEPS = 908, 300, 988, 1.0, 3000
 
 def classifiers(n_features: int, trees: int | None = None, rows: int | None = None) -> dict:
     """The seven classifiers. XGBoost stands as gradient-boosted trees; depths of MLlib's own trees end at 30, as deep
-    as they go. trees takes the place of TREES, EXTRA and ROUNDS; rows, how many the machine is fitted on, turns C into the weight that MLlib asks for."""
+    as they go. trees takes the place of TREES, EXTRA, ROUNDS and the perceptron's steps; rows, how many the machine is fitted on, turns C into the weight that MLlib asks for."""
     forest, rounds = trees or TREES, trees or ROUNDS
     return {
         "lsvm": LinearSVC(maxIter=STEPS, regParam=1 / (C * rows) if rows else 0.01),
         "dt": DecisionTreeClassifier(maxDepth=30, seed=SEED),
         "rf": RandomForestClassifier(numTrees=forest, maxDepth=16, impurity="entropy", featureSubsetStrategy="log2", minInstancesPerNode=3, seed=SEED),
-        "nn": Perceptron(hidden=100, alpha=1.0, seed=SEED),
+        "nn": Perceptron(hidden=100, alpha=1.0, maxIter=trees or 200, seed=SEED),
         "nb": NaiveBayes(modelType="gaussian"),
         "et": ExtraTrees(numTrees=trees or EXTRA, maxDepth=100, seed=SEED),
         "xgboost": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.7, seed=SEED),
@@ -94,11 +94,11 @@ DRAWS = {
 
 
 def settings(values: dict, rows: int, trees: int | None = None) -> dict:
-    """A setting in MLlib's terms: C, which weighs the rows' sum, as the penalty of their mean; trees takes the place of numbers of trees and rounds."""
+    """A setting in MLlib's terms: C, which weighs the rows' sum, as the penalty of their mean; trees takes the place of numbers of trees, rounds and the perceptron's steps."""
     out = {k: v for k, v in values.items() if k != "C"}
     if "C" in values:
         out["regParam"] = 1 / (values["C"] * rows)
-    return out | ({k: trees for k in ("numTrees",) if k in out} if trees else {}) | ({"maxIter": trees} if trees and "maxIter" in out and "maxDepth" in out else {})
+    return out | ({k: trees for k in ("numTrees",) if k in out} if trees else {}) | ({"maxIter": trees} if trees and "maxIter" in out and {"maxDepth", "solver"} & set(out) else {})
 
 
 def weighed(df: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tasks that add gradients up, and pairs of steps and gradients that the curvature is taken from.
-ADDERS, MEMORY = 16, 10
+#: Gradients that the driver adds up at once, beyond which so many tasks add them before, and pairs of steps and gradients
+#: that the curvature is taken from.
+ADDERS, MEMORY = 64, 10
 
 
 class Shape:
@@ -96,8 +97,8 @@ class Perceptron(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasPr
     def _fit(self, df: DataFrame) -> PerceptronModel:
         rows = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")).cache()
         head = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("p")).first()
-        shape = Shape(head["p"] or 0, self.getOrDefault("hidden"))
-        loss = lambda v: penalised_loss(rows, shape, v, self.getOrDefault("alpha"), head["n"])
+        shape, tasks = Shape(head["p"] or 0, self.getOrDefault("hidden")), rows.rdd.getNumPartitions()
+        loss = lambda v: penalised_loss(rows, shape, v, self.getOrDefault("alpha"), head["n"], tasks)
         start = shape.start(self.getSeed())
         steps = {"l-bfgs": _lbfgs, "adam": _adam, "gd": _descent}[self.getOrDefault("solver")]
         weights, losses = steps(loss, start, self.getMaxIter(), self.getStepSize(), self.getTol()) if head["n"] else (start, [])
@@ -106,8 +107,8 @@ class Perceptron(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasPr
         return model._set(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), probabilityCol=self.getProbabilityCol())
 
 
-def penalised_loss(rows: DataFrame, shape: Shape, v: np.ndarray, alpha: float, n: int) -> tuple[float, np.ndarray]:
-    """Loss and gradient at v over all rows (x, y)."""
+def penalised_loss(rows: DataFrame, shape: Shape, v: np.ndarray, alpha: float, n: int, tasks: int = ADDERS + 1) -> tuple[float, np.ndarray]:
+    """Loss and gradient at v over all rows (x, y), which so many tasks read."""
     at = rows.sparkSession.sparkContext.broadcast(v)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,8 +126,10 @@ def penalised_loss(rows: DataFrame, shape: Shape, v: np.ndarray, alpha: float, n
                 total += np.frombuffer(one)
         yield pd.DataFrame({"v": [total.tobytes()]})
 
-    parts = rows.mapInPandas(summed, "v binary").repartition(ADDERS).mapInPandas(added, "v binary").collect()
-    total = np.sum([np.frombuffer(r["v"]) for r in parts], axis=0)
+    parts = rows.mapInPandas(summed, "v binary")
+    if tasks > ADDERS:
+        parts = parts.repartition(ADDERS).mapInPandas(added, "v binary")
+    total = np.sum([np.frombuffer(r["v"]) for r in parts.collect()], axis=0)
     at.unpersist()
     w = shape.penalised(v)
     return float(total[-1] / n + alpha * (w @ w) / (2 * n)), total[:-1] / n + alpha * w / n
@@ -159,7 +162,7 @@ def _lbfgs(loss, v: np.ndarray, steps: int, rate: float, tol: float) -> tuple[np
             pairs = [*pairs, (s, y)][-MEMORY:]
         v, fell, now, g = v + s, now - after, after, g_after
         losses.append(now)
-        if fell <= tol * max(abs(now), 1e-12) * 1e-2 or np.abs(g).max() < 1e-8:
+        if fell <= tol * max(abs(now), 1e-12) or np.abs(g).max() < 1e-8:
             break
     return v, losses
 
