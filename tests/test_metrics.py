@@ -1,5 +1,6 @@
 """Micro-cases with values that can be worked out by hand, and native expressions against the kernels."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import grams, metrics, terms, text
 from kindred.operators import evaluate
+from kindred.plans import sql
 
 CASES = [
     ("night", "nacht", 0.222222, 0.363636, 0.25, 0.363636),
@@ -37,6 +39,19 @@ def test_edit_metrics():
     assert metrics.damerau_levenshtein("", "") == 1.0 and metrics.jaro("", "") == 0.0 and metrics.soft_jaccard("", "") == 0.0
 
 
+def test_token_metrics_add_up_as_sql_does():
+    """Scores that are just a threshold in exact arithmetic fall on the side of SQL's plain sums, whatever a set's order is."""
+    names = ["large anvil medium", "small gear medium", "blue anvil medium", "small plate medium", "small plate small", "old gear economy", "large ring promo", "hot bolt economy economy"]
+    pairs = [(a, b) for a in names for b in names]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (s1 VARCHAR, s2 VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?)", pairs)
+    for m in ("monge_elkan", "soft_jaccard"):
+        want = {(a, b): x for a, b, x in con.execute(f"SELECT s1, s2, {sql.METRICS[m]('s1', 's2')} FROM p").fetchall()}
+        assert [metrics.METRICS[m](*p) for p in pairs] == [want[p] for p in pairs]
+    assert metrics.monge_elkan(*names[:2]) < 0.7 and not metrics.batch("monge_elkan", names[:1], names[1:2])[0] >= 0.7
+
+
 def test_tolerant_prefix():
     """One character left out on either side, or another one, still counts as a common start."""
     plain = lambda a, b: metrics._jaro(a, b, half=True)
