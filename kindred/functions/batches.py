@@ -179,10 +179,19 @@ def cosine(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.n
     (a, na), (b, nb) = _distinct(ga), _distinct(gb)
     dot, own_a, own_b = _shared(a, b), na.copy(), nb.copy()
     repeated = np.flatnonzero(((ga != NONE).sum(1) > na) | ((gb != NONE).sum(1) > nb))
-    for r in repeated.tolist():
-        (ka, ca), (kb, cb) = (np.unique(g[r][g[r] != NONE], return_counts=True) for g in (ga, gb))
-        _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-        dot[r], own_a[r], own_b[r] = (ca[i] * cb[j]).sum(), (ca * ca).sum(), (cb * cb).sum()
+    if len(repeated):
+        n, both = len(repeated), np.concatenate([ga[repeated], gb[repeated]], axis=1)
+        # Both sides' grams in one order a pair, numbered by pair and gram; counts of each side by that number.
+        order = np.argsort(both, axis=1, kind="stable")
+        both = np.take_along_axis(both, order, axis=1)
+        kept = both != NONE
+        row, left, new = np.nonzero(kept)[0], (order < ga.shape[1])[kept], np.ones(both.shape, bool)
+        new[:, 1:] = both[:, 1:] != both[:, :-1]
+        at = np.cumsum(new[kept]) - 1
+        count_a, count_b = np.bincount(at, left), np.bincount(at, ~left)
+        of = np.zeros(len(count_a), np.int64)
+        of[at] = row
+        dot[repeated], own_a[repeated], own_b[repeated] = (np.bincount(of, x, n) for x in (count_a * count_b, count_a * count_a, count_b * count_b))
     return dot / (np.sqrt(own_a) * np.sqrt(own_b))
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import grams, metrics, terms, text
+from ..functions import metrics, terms, text
 from ..schema import label
 
-NATIVE = {"jaccard": grams.jaccard, "strike_a_match": grams.strike_a_match, "cosine": grams.cosine, "skipgram": grams.skipgram}
 #: The term similarity that sorted runs add, simple and averaged.
 BOTH_TERMS = dict(zip(params.TERM_DECISIONS, (("damerau_levenshtein", False, False), ("damerau_levenshtein", True, False)), strict=True))
 
@@ -49,13 +48,10 @@ def guarded_forms(df: DataFrame, canonical=False, a="s1", b="s2") -> DataFrame:
 
 
 def scored(df: DataFrame, names) -> DataFrame:
-    """df (with a, b) and a column a metric: gram metrics as expressions, all others in one Python stage."""
+    """df (with a, b) and a column a metric: one Python stage for all."""
     names = list(names)
-    python = [n for n in names if n not in NATIVE]
-    if python:
-        df = df.withColumn("__s", metrics.scores(F.col("a"), F.col("b"), python))
-    df = df.withColumns({n: NATIVE[n](F.col("a"), F.col("b")) if n in NATIVE else F.col("__s")[n] for n in names})
-    return df.drop("__s")
+    df = df.withColumn("__s", metrics.scores(F.col("a"), F.col("b"), names))
+    return df.withColumns({n: F.col("__s")[n] for n in names}).drop("__s")
 
 
 def long(df: DataFrame, names, *keep: str) -> DataFrame:
@@ -74,16 +70,22 @@ def ratios(counts: DataFrame, missing: float | None = None) -> DataFrame:
     return counts.withColumns({"accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")), "precision": precision, "recall": recall}).withColumn("f1", fill(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
-def counted(decided: DataFrame, *keys: str, real: str = "label", predicted: str = "predicted") -> DataFrame:
-    """tp, fn, fp and tn by keys: one hash aggregate, with partial sums before the shuffle."""
+def counted(decided: DataFrame, *keys: str, real: str = "label", predicted: str = "predicted", rows: str | None = None) -> DataFrame:
+    """tp, fn, fp and tn by keys: one hash aggregate, with partial sums before the shuffle. A row counts once, or as often as rows says."""
     yes, hit = F.col(real) > 0, F.col(predicted)
-    return decided.groupBy(*keys).agg(F.count_if(yes & hit).alias("tp"), F.count_if(yes & ~hit).alias("fn"), F.count_if(~yes & hit).alias("fp"), F.count_if(~yes & ~hit).alias("tn"))
+    total = (lambda when: F.coalesce(F.sum(F.when(when, F.col(rows))), F.lit(0).cast("long"))) if rows else F.count_if
+    return decided.groupBy(*keys).agg(total(yes & hit).alias("tp"), total(yes & ~hit).alias("fn"), total(~yes & hit).alias("fp"), total(~yes & ~hit).alias("tn"))
+
+
+def repeated(pairs: DataFrame) -> DataFrame:
+    """label, s1, s2 and rows: each labelled pair once, and how often it is there, so that it is scored once."""
+    return pairs.groupBy(label(F.col("res")).alias("label"), "s1", "s2").agg(F.count("*").alias("rows"))
 
 
 def confusion(scores: DataFrame, mode: str) -> DataFrame:
-    """Quality by method of a long table (label, method, score); methods without a true positive are left out."""
+    """Quality by method of a long table (label, rows, method, score); methods without a true positive are left out."""
     table = F.broadcast(threshold_table(scores.sparkSession, mode))
-    return ratios(counted(scores.join(table, "method").withColumn("predicted", F.col("score") >= F.col("thres")), "method")).filter(F.col("f1").isNotNull())
+    return ratios(counted(scores.join(table, "method").withColumn("predicted", F.col("score") >= F.col("thres")), "method", rows="rows")).filter(F.col("f1").isNotNull())
 
 
 def class_counts(pairs: DataFrame) -> DataFrame:
@@ -93,14 +95,14 @@ def class_counts(pairs: DataFrame) -> DataFrame:
 def evaluate_metrics(pairs: DataFrame, sorting=False, canonical=False, permuted=False, latin=False, encoding=None, names=None, thres: float | None = None, frequent=()) -> DataFrame:
     """The basic evaluator: all metrics on transformed pairs, decided by the mode's thresholds or one given."""
     names = list(names or params.EVALUATED) + (["permuted_winkler"] if permuted else [])
-    df = scored(transformed(pairs.withColumn("label", label(F.col("res"))), sorting, canonical), names)
+    df = scored(transformed(repeated(pairs), sorting, canonical), names)
     if sorting:
         df = df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), BOTH_TERMS, frequent=frequent)).select("*", "__l.*").drop("__l")
         names += BOTH_TERMS
-    rows = long(df, names, "label")
+    rows = long(df, names, "label", "rows")
     if thres is None:
         return confusion(rows, params.threshold_mode(sorting, latin, encoding))
-    return ratios(counted(rows.withColumn("predicted", F.col("score") >= thres), "method")).filter(F.col("f1").isNotNull())
+    return ratios(counted(rows.withColumn("predicted", F.col("score") >= thres), "method", rows="rows")).filter(F.col("f1").isNotNull())
 
 
 def decisions(pairs: DataFrame, sorting=False, canonical=False, names=params.EVALUATED, latin=False, encoding=None, frequent=()) -> DataFrame:
@@ -119,9 +121,9 @@ def decisions(pairs: DataFrame, sorting=False, canonical=False, names=params.EVA
 def evaluate_lsimilarities(pairs: DataFrame, sorting=True, canonical=False, latin=False, encoding=None, profile="global", frequent=()) -> DataFrame:
     """Averaged term metrics; reversed ones reverse whole strings and take the plain metric's parameters."""
     specs = {f"avg_lsim_{m}": (m.removesuffix("_r"), True, m.endswith("_r")) for m in params.TERM_METRICS}
-    df = transformed(pairs.withColumn("label", label(F.col("res"))), sorting, canonical, simple_sorting=False)
-    df = df.select("label", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent).alias("l")).select("label", "l.*")
-    return confusion(long(df, list(specs), "label"), params.threshold_mode(sorting, latin, encoding))
+    df = transformed(repeated(pairs), sorting, canonical, simple_sorting=False)
+    df = df.select("label", "rows", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent).alias("l")).select("label", "rows", "l.*")
+    return confusion(long(df, list(specs), "label", "rows"), params.threshold_mode(sorting, latin, encoding))
 
 
 def evaluate_at(pairs: DataFrame, thres: float, split_thres: float = 0.55, weights=params.GLOBAL_WEIGHTS, frequent=()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def part_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("s1") < F.col("s2")).repartition("s1", "s2").select("s1", "s2", res.alias("res"))
 
 
-#: Each part meets so many of the next keys: the pairs grow in step with the parts.
-STEPS = 5
+#: Each part meets so many of the next keys: the pairs grow in step with the parts. Pairs of a task, about.
+STEPS, DEALT = 5, 25_000
 
 
 def stepped_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +42,8 @@ def stepped_pairs(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("s"), F.lower("p_type").alias("t")).filter("s IS NOT NULL")
     a = parts.select(F.col("k").alias("k1"), F.col("s").alias("s1"), F.col("t").alias("t1"), F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("d")).withColumn("k2", F.col("k1") + F.col("d"))
     b = parts.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("t").alias("t2"))
+    # The parts are few bytes, their pairs much work: they are dealt out by number, not by size.
+    a = a.repartition(max(1, ceil(parts.count() * STEPS / DEALT)), "k2")
     return a.join(b, "k2").select("k1", "k2", "s1", "s2", F.when(F.col("t1") == F.col("t2"), "TRUE").otherwise("FALSE").alias("res"))
 
 
