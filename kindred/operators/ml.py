@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, NaiveBayes, RandomForestClassifier
@@ -110,6 +112,16 @@ def weighed(df: DataFrame) -> DataFrame:
     return df.withColumns({"unit": F.lit(1.0), "balanced": weight})
 
 
+#: Rows of a task of a learner, about.
+ROWS = 20_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, in as many partitions as these need, whatever made them: learners pass over their rows up to
+    thousands of times, and a task of few rows costs more than its rows do. Rows go by pair, so repeats deal them alike."""
+    return df.repartition(max(1, ceil(rows / ROWS)), "pair_id")
+
+
 def vectors(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
 
@@ -194,7 +206,7 @@ def tune(train: DataFrame, names: list[str], name: str, search: str = "randomize
     clf = classifiers(len(kept), trees, rows)[name].setFeaturesCol("selected" if own else "scaled")
     maps = grid(clf, name, rows, trees) if search == "grid" else draws(clf, name, iterations, rows, trees)
     cv = CrossValidator(estimator=clf, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold", parallelism=parallelism, seed=SEED)
-    data = folds(weighed(prepared.transform(train)), k).cache()
+    data = folds(weighed(prepared.transform(packed(train, rows))), k).cache()
     model = cv.fit(data)
     data.unpersist()
     at = int(np.argmax(model.avgMetrics))
@@ -258,7 +270,8 @@ def train_and_eval(train: DataFrame, test: DataFrame, names: list[str], algorith
 
     models are pipelines fitted before, by tune() say; without them each classifier is fitted with its own settings."""
     if models is None:
-        models = {name: fit(train, names, clf) for name, clf in chosen(list(algorithms), len(names), trees, train.count()).items()}
+        rows = train.count()
+        models = {name: fit(packed(train, rows), names, clf) for name, clf in chosen(list(algorithms), len(names), trees, rows).items()}
     out = None
     for name, model in models.items():
         one = model.transform(test).select(F.lit(name).alias("classifier"), "pair_id", *(c for c in ("row",) if c in test.columns), "label", (F.col("prediction") > 0).alias("predicted"))
