@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,6 +95,14 @@ def _transliterate(s: pd.Series) -> pd.Series:
     return s.map(transliterated, na_action="ignore")
 
 
+_punctuation = re.compile(PUNCTUATION)
+
+
+def made_canonical(s: str) -> str:
+    """canonical of one string."""
+    return _punctuation.sub("", transliterated(s))
+
+
 def canonical(s: Column) -> Column:
     """Lower case, ASCII letters, punctuation deleted (not replaced by spaces)."""
     return F.regexp_replace(_transliterate(s), PUNCTUATION, "")
@@ -123,6 +133,20 @@ def natural_sorted(ts: Column) -> Column:
     return F.transform(F.array_sort(F.transform(ts, lambda t: F.struct(natural_key(t).alias("k"), t.alias("t")))), lambda x: x["t"])
 
 
+_runs = re.compile("[0-9]+|[^0-9]+")
+
+
+@lru_cache(100_000)
+def _order(t: str) -> tuple:
+    """natural_key of one token, and the token."""
+    return [(False, len(d := run.lstrip("0") or "0"), d) if "0" <= run[0] <= "9" else (True, 0, run) for run in _runs.findall(t)], t
+
+
+def naturally_sorted(s: str) -> str:
+    """sorted_text of one string."""
+    return " ".join(sorted(s.split(" "), key=_order))
+
+
 def sorted_text(s: Column) -> Column:
     return F.array_join(natural_sorted(split_spaces(s)), " ")
 

@@ -15,7 +15,11 @@ from ..schema import label
 BOTH_TERMS = dict(zip(params.TERM_DECISIONS, (("damerau_levenshtein", False, False), ("damerau_levenshtein", True, False)), strict=True))
 
 
-def transformed(df: DataFrame, sorting=False, canonical=False, simple_sorting=True, sort_thres=0.45, a="s1", b="s2") -> DataFrame:
+#: Fixed value: pairs less alike without spaces are sorted.
+SORTED_BELOW = 0.45
+
+
+def transformed(df: DataFrame, sorting=False, canonical=False, simple_sorting=True, sort_thres=SORTED_BELOW, a="s1", b="s2") -> DataFrame:
     """df with a and b: the pair, made canonical and sorted by tokens as asked for.
 
     Without simple sorting, tokens are sorted only if the strings without spaces are less alike than

@@ -1,10 +1,12 @@
 """What keeps the pair queries in step with their input: pairs dealt out, scored in batches and once each."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.functions import grams
-from kindred.operators import evaluate
+from kindred.functions import grams, text
+from kindred.operators import evaluate, features, ml
 from kindred.plans import fixtures
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,3 +45,36 @@ def test_repeated_pairs_are_scored_once_and_counted_each(spark, sorting):
     for r in evaluate.evaluate_metrics(df, sorting, names=names).filter(F.col("method").isin(*names)).collect():
         said = [(x.res.upper() == "TRUE", x[r.method] >= at[r.method]) for x in scores if x[r.method] is not None]
         assert (r.tp, r.fn, r.fp, r.tn) == tuple(said.count(k) for k in ((True, True), (True, False), (False, True), (False, False)))
+
+
+def test_features_are_one_python_stage(spark):
+    """All groups, sorted again and again as they are, take one Python process a core."""
+    df = spark.createDataFrame([("old town", "town old", "TRUE"), ("b10 a b9", "z q 007", "no"), (None, "a", "no")], "s1 string, s2 string, res string")
+    out = features.build(df, frequent=["old"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    third = df
+    for _ in range(3):
+        third = evaluate.transformed(third, True, simple_sorting=False).select(F.col("a").alias("s1"), F.col("b").alias("s2"), "res")
+    assert [(r.stat__tokens_s1, r.stat__tokens_s2) for r in out.collect()] == [tuple(r) for r in third.select(text.n_tokens(F.col("s1")).cast("double"), text.n_tokens(F.col("s2")).cast("double")).collect()]
+
+
+def test_tokens_in_natural_order_in_python_as_in_spark(spark):
+    words = ["b10", "b9", "a", "", "007", "7", "07", "07b", "0", "00", "a-1", "a-", "a1", "ab", "é", "a\x00", "a\x01b", "a\x02", "\x00", "10a2", "10a10", "9999999999999999999999", "\U0001f600"]
+    r = random.Random(2)
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(12))) for _ in range(400)] + [" ", "", "  a ", "b a"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    plain = F.array_join(F.transform(F.array_sort(F.transform(text.split_spaces(F.col("s")), lambda t: F.struct(text.natural_key(t).alias("k"), t.alias("t")))), lambda x: x["t"]), " ")
+    rows = df.select("s", text.sorted_text(F.col("s")).alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] == [text.naturally_sorted(r.s) for r in rows]
+
+
+def test_learners_rows_are_packed(spark, monkeypatch):
+    """Few rows over many partitions are one task for a learner; many are as many tasks as they ask for."""
+    df = spark.range(600).select(F.col("id").alias("pair_id"), F.pmod("id", F.lit(2)).cast("double").alias("label"), F.rand(1).alias("x")).repartition(40)
+    assert ml.packed(df, 600).rdd.getNumPartitions() == 1
+    seen, fit = [], ml.fit
+    monkeypatch.setattr(ml, "fit", lambda train, *a: seen.append(train.rdd.getNumPartitions()) or fit(train, *a))
+    assert ml.train_and_eval(df, df, ["x"], ["nb"])[1].count() == 600 and seen == [1]
+    monkeypatch.setattr(ml, "ROWS", 100)
+    assert ml.packed(df, 600).rdd.getNumPartitions() == 6
