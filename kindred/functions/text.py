@@ -129,8 +129,28 @@ def natural_key(t: Column) -> Column:
     return F.transform(F.regexp_extract_all(t, F.lit("[0-9]+|[^0-9]+"), 0), part)
 
 
+#: What a token must hold to be sorted by a form of its own: digits, or characters that such forms are made of.
+_FORMED = "[0-9\\x00-\\x02]"
+
+
+def _sortable(t: Column) -> Column:
+    """A string that compares as natural_key(t) and then t do, and ends in t behind the first U+0000: runs of digits are U+0001,
+    their length and themselves; U+0000 to U+0002 in text are U+0002 and a letter. Other tokens compare so as they are."""
+
+    def part(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        escaped = F.replace(F.replace(F.replace(run, F.lit("\x02"), F.lit("\x02c")), F.lit("\x01"), F.lit("\x02b")), F.lit("\x00"), F.lit("\x02a"))
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lit("\x01"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(escaped)
+
+    formed = F.concat(F.array_join(F.transform(F.regexp_extract_all(t, F.lit("[0-9]+|[^0-9]+"), 0), part), ""), F.lit("\x00"), t)
+    return F.when(t.rlike(_FORMED), formed).otherwise(t)
+
+
 def natural_sorted(ts: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(ts, lambda t: F.struct(natural_key(t).alias("k"), t.alias("t")))), lambda x: x["t"])
+    """Tokens by natural_key, then as they are: one sort of strings, of the tokens themselves where none has a digit."""
+    shown = lambda x: F.when(F.contains(x, F.lit("\x00")), F.substring(x, F.instr(x, "\x00") + 1, F.length(x))).otherwise(x)
+    formed = lambda ts: F.transform(F.sort_array(F.transform(ts, _sortable)), shown)
+    return bound(lambda v: F.when(F.array_join(v["ts"], " ").rlike(_FORMED), formed(v["ts"])).otherwise(F.sort_array(v["ts"])), ts=ts)
 
 
 _runs = re.compile("[0-9]+|[^0-9]+")

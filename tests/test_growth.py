@@ -78,3 +78,9 @@ def test_learners_rows_are_packed(spark, monkeypatch):
     assert ml.train_and_eval(df, df, ["x"], ["nb"])[1].count() == 600 and seen == [1]
     monkeypatch.setattr(ml, "ROWS", 100)
     assert ml.packed(df, 600).rdd.getNumPartitions() == 6
+
+
+def test_tokens_without_digits_sort_as_they_are(spark):
+    """Sorting compares strings, no arrays of parts a token by an interpreted comparison."""
+    plan = spark.createDataFrame([("b a",)], "s string").select(text.sorted_text(F.col("s")))._jdf.queryExecution().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
