@@ -6,7 +6,6 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,8 +24,19 @@ LETTERS = dict(
 )
 
 
+class _Unmarked(dict):
+    """Code points of marks as nothing, others as they are, found when first met."""
+
+    def __missing__(self, code: int) -> int | None:
+        found = self[code] = None if unicodedata.category(chr(code)) == "Mn" else code
+        return found
+
+
+_unmarked = _Unmarked()
+
+
 def without_accents(s: str) -> str:
-    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+    return s if s.isascii() else unicodedata.normalize("NFD", s).translate(_unmarked)
 
 
 #: Hangul initials, vowels and finals, in the order of their code points.
@@ -85,14 +95,15 @@ def transliterated(s: str) -> str:
     return s if s.isascii() else unicodedata.normalize("NFC", s).translate(_letters)
 
 
-@F.pandas_udf(StringType())
-def strip_accents(s: pd.Series) -> pd.Series:
-    return s.map(without_accents, na_action="ignore")
+# Texts may be long: rows go to Python a hundred at a time, where an Arrow batch would hold thousands of whole texts.
+@F.udf(StringType(), useArrow=False)
+def strip_accents(s: str | None) -> str | None:
+    return s if s is None else without_accents(s)
 
 
-@F.pandas_udf(StringType())
-def _transliterate(s: pd.Series) -> pd.Series:
-    return s.map(transliterated, na_action="ignore")
+@F.udf(StringType(), useArrow=False)
+def _transliterate(s: str | None) -> str | None:
+    return s if s is None else transliterated(s)
 
 
 _punctuation = re.compile(PUNCTUATION)

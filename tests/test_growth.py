@@ -1,6 +1,7 @@
 """What keeps the pair queries in step with their input: pairs dealt out, scored in batches and once each."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,14 @@ def test_tokens_without_digits_sort_as_they_are(spark):
     """Sorting compares strings, no arrays of parts a token by an interpreted comparison."""
     plan = spark.createDataFrame([("b a",)], "s string").select(text.sorted_text(F.col("s")))._jdf.queryExecution().toString()
     assert "sort_array" in plan and "array_sort" not in plan
+
+
+def test_long_texts_reach_python_in_small_groups(spark):
+    """No Arrow batch of thousands of whole texts; accents go as one character after another loses them."""
+    texts = ["Ünter Crème brûlée 각 ﬁ", "plain", "", None, "é̂" * 50_000, "नमस्ते ́"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", text.strip_accents(F.col("s")).alias("got"), text.canonical(F.col("s")).alias("c"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    for r in df.collect():
+        assert r.got == (None if r.s is None else "".join(c for c in unicodedata.normalize("NFD", r.s) if unicodedata.category(c) != "Mn"))
+        assert r.c == (None if r.s is None else text.made_canonical(r.s))
