@@ -96,3 +96,12 @@ def test_long_texts_reach_python_in_small_groups(spark):
     for r in df.collect():
         assert r.got == (None if r.s is None else "".join(c for c in unicodedata.normalize("NFD", r.s) if unicodedata.category(c) != "Mn"))
         assert r.c == (None if r.s is None else text.made_canonical(r.s))
+
+
+def test_decisions_of_sorted_runs_are_made_in_batches(spark):
+    """Neither gram metrics nor sorting leave interpreted comparisons to a run over many pairs."""
+    df = spark.createDataFrame([(0, "b10 a b9", "a b9", "TRUE")], "row long, s1 string, s2 string, res string")
+    out = evaluate.decisions(df, sorting=True, names=("jaccard", "strike_a_match", "cosine", "skipgram"))
+    plan = out._jdf.queryExecution().toString()
+    assert "array_sort" not in plan and "array_intersect" not in plan
+    assert (out.first().a, out.first().b, out.first().strike_a_match) == ("a b9 b10", "a b9", "TRUE")
