@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from time import perf_counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,17 +110,32 @@ def evaluate_metrics(pairs: DataFrame, sorting=False, canonical=False, permuted=
     return ratios(counted(rows.withColumn("predicted", F.col("score") >= thres), "method", rows="rows")).filter(F.col("f1").isNotNull())
 
 
+def said(pairs: DataFrame, decide: Callable[[DataFrame], DataFrame], table: dict[str, float]) -> DataFrame:
+    """A result file's columns: decide gives pairs their scores and transformed strings a and b, table has the scores' thresholds.
+
+    Rows of numbered pairs may come in any order: equal pairs are transformed and scored once, and meet their rows again.
+    Pairs without numbers keep their order, as their lines are what tells them apart."""
+    say = lambda c: F.upper(c.cast("string"))
+    real, every = say(label(F.col("res")) > 0).alias("real"), [say(F.col(n) >= t).alias(n) for n, t in table.items()]
+    if "row" not in pairs.columns:
+        return decide(pairs).select(real, *every, "a", "b")
+    once = decide(pairs.select("s1", "s2").distinct()).select(F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), *every, "a", "b")
+    rows = pairs.select("row", "s1", "s2", real)
+    return rows.join(once, F.col("s1").eqNullSafe(F.col("__s1")) & F.col("s2").eqNullSafe(F.col("__s2"))).drop("__s1", "__s2")
+
+
 def decisions(pairs: DataFrame, sorting=False, canonical=False, names=params.EVALUATED, latin=False, encoding=None, frequent=()) -> DataFrame:
     """real, a decision a metric in order of evaluation (sorted runs: and the two term metrics), and the transformed strings:
     what a result file holds. Of numbered pairs row, s1 and s2 come first, by which runs are compared."""
     table = {m: t for _, m, mode, t in params.thresholds() if mode == params.threshold_mode(sorting, latin, encoding)}
-    df = scored(transformed(pairs, sorting, canonical), names)
-    if sorting:
-        df = df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), BOTH_TERMS, frequent=frequent)).select("*", "__l.*").drop("__l")
-    said = lambda c: F.upper(c.cast("string"))
-    key = ["row", "s1", "s2"] if "row" in pairs.columns else []
-    every = [*names, *(BOTH_TERMS if sorting else ())]
-    return df.select(*key, said(label(F.col("res")) > 0).alias("real"), *(said(F.col(n) >= table[n]).alias(n) for n in every), "a", "b")
+
+    def decide(df: DataFrame) -> DataFrame:
+        df = scored(transformed(df, sorting, canonical), names)
+        if sorting:
+            df = df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), BOTH_TERMS, frequent=frequent)).select("*", "__l.*").drop("__l")
+        return df
+
+    return said(pairs, decide, {n: table[n] for n in (*names, *(BOTH_TERMS if sorting else ()))})
 
 
 def evaluate_lsimilarities(pairs: DataFrame, sorting=True, canonical=False, latin=False, encoding=None, profile="global", frequent=()) -> DataFrame:
@@ -153,11 +169,12 @@ def term_decisions(pairs: DataFrame, sorting=True, canonical=False, latin=False,
     """real, a decision a term metric in order of evaluation, and the transformed strings; row, s1 and s2 first of numbered pairs."""
     table = {m: t for _, m, mode, t in params.thresholds() if mode == params.threshold_mode(sorting, latin, encoding)}
     specs = {f"avg_lsim_{m}": (m.removesuffix("_r"), True, m.endswith("_r")) for m in params.TERM_METRICS}
-    df = transformed(pairs, sorting, canonical, simple_sorting=False)
-    key = ["row", "s1", "s2"] if "row" in pairs.columns else []
-    df = df.select(*key, "res", "a", "b", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent).alias("l"))
-    said = lambda c: F.upper(c.cast("string"))
-    return df.select(*key, said(label(F.col("res")) > 0).alias("real"), *(said(F.col("l")[n] >= table[n]).alias(n) for n in specs), "a", "b")
+
+    def decide(df: DataFrame) -> DataFrame:
+        df = transformed(df, sorting, canonical, simple_sorting=False)
+        return df.withColumn("__l", terms.lsim_scores(F.col("a"), F.col("b"), specs, profile, frequent)).select("*", "__l.*").drop("__l")
+
+    return said(pairs, decide, {n: table[n] for n in specs})
 
 
 def unavailable(name: str):

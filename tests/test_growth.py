@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import grams, text
-from kindred.operators import evaluate, features, ml
+from kindred.operators import compare, evaluate, features, ml
 from kindred.plans import fixtures
+from kindred.sources import files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -105,3 +106,33 @@ def test_decisions_of_sorted_runs_are_made_in_batches(spark):
     plan = out._jdf.queryExecution().toString()
     assert "array_sort" not in plan and "array_intersect" not in plan
     assert (out.first().a, out.first().b, out.first().strike_a_match) == ("a b9 b10", "a b9", "TRUE")
+
+
+@pytest.mark.parametrize("terms", [False, True])
+def test_equal_pairs_of_a_numbered_file_are_decided_once(spark, monkeypatch, terms):
+    """Each row has its own pair's decisions, as without numbers; a repeated pair is scored once, also where a string is missing."""
+    pairs = [("old town", "town old", "TRUE"), ("old town", "town old", "no"), ("town old", "old town", "true"), (None, "x", "TRUE"), ("", "x", "no"), ("b10 a b9", "a b9 b10", "TRUE")]
+    rows = [(7 * i + k, *p) for i, p in enumerate(pairs) for k in range(i + 1)]
+    df = spark.createDataFrame(rows, "row long, s1 string, s2 string, res string").repartition(3)
+    decide = (lambda p: evaluate.term_decisions(p)) if terms else (lambda p: evaluate.decisions(p, sorting=True))
+    want = dict(zip(pairs, decide(spark.createDataFrame(pairs, "s1 string, s2 string, res string").coalesce(1)).collect(), strict=True))
+    seen, transformed = [], evaluate.transformed
+    monkeypatch.setattr(evaluate, "transformed", lambda p, *a, **k: seen.append(p.count()) or transformed(p, *a, **k))
+    got = decide(df)
+    assert got.columns[:3] == ["row", "s1", "s2"] and seen == [5]
+    assert {r.row: tuple(r) for r in got.collect()} == {k: (k, p[0], p[1], *want[tuple(p)]) for k, *p in rows}
+    assert got.count() == len(rows)
+
+
+def test_runs_are_read_once_to_be_compared(spark, tmp_path):
+    """Decisions and transformed strings of the second run come from one pass over its file."""
+    (tmp_path / "p").write_text("".join(f"{a}\t{b}\t{res}\t1\t2\tLATIN\tLATIN\tGR\tGR\n" for a, b, res in [("old town", "town old", "FALSE")] * 3))
+    pairs, runs = files.read_pairs(spark, str(tmp_path / "p"), with_rows=True), []
+    for sorting in (False, True):
+        files.write_decisions(evaluate.decisions(pairs, sorting, names=("jaro",)), str(tmp_path / f"{sorting}"))
+        runs.append(files.read_decisions(spark, str(tmp_path / f"{sorting}")))
+    found = compare.runs_of(pairs, *runs, ["jaro"])
+    assert found.columns == ["row", "metric", "s1", "s2", "res", "transformed_s1", "transformed_s2"]
+    assert sorted(tuple(r) for r in found.collect()) == [(i, "jaro", "old town", "town old", "FALSE", "old town", "old town") for i in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("csv" in x for x in plan.splitlines() if "Relation" in x) == 3
