@@ -1,16 +1,14 @@
 """Phrases whose words stand together more often than apart, by language.
 
 Texts are cut into pieces and words. A count of words by language comes first: a phrase occurs no more often than its
-rarest word. Then a sketch of two rows of saturating counters, indexed by hashes of language and phrase, bounds from above
-how often each phrase of two or three words occurs: phrases whose two bounds reach LEAST are candidates, among them
-all that occur so often. Candidates compile into automata over short codes of words, guarded by blanks, where
-delimiters stand for ends of pieces and for all words of no candidate, so that matches, which may overlap, are of whole
-words within a piece. Tasks scan their texts with their language's automata, the counts are summed, and thresholds, cuts and
-the ranking follow on exact counts as joins and windows.
+rarest word. Then a sketch of counters, indexed by hashes of language and phrase, bounds from above how often each
+phrase of two or three words occurs: phrases whose bound reaches LEAST are candidates, among them all that occur so
+often. Another pass numbers a task's words and counts its candidates by those numbers, exactly; the counts of equal
+phrases, by their words, are summed, and thresholds, cuts and the ranking follow on exact counts as joins and windows.
 
-Memory is bounded at every size: counters by CELLS, automata by ROUND phrases at a time; where there are more
-candidates, further rounds scan the texts again. More data fill the counters and give more candidates, never fewer. What
-tasks pass on of the sketch grows with the distinct phrases that they met, not with the counters.
+The texts are read three times, however many candidates there are. Memory is bounded at every size: a task passes on
+what it has counted at PENDING and at ROUND phrases, and the bits that mark high counters end at MARKS, beyond which there are
+more candidates, never fewer. What tasks pass on grows with the phrases that they met, not with the counters.
 
 Defined results: null texts are empty, a null language counts as `und`; very long texts are counted whole; rows that
 repeat count as often as they occur; ties are settled by the smaller cut and by the phrase in UTF-8 order; null doc_ids
@@ -19,17 +17,13 @@ don't matter; an empty table, or one without a phrase that often, gives an empty
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import count, product, repeat
-from operator import itemgetter
+from itertools import pairwise
 
-import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,33 +33,42 @@ from .common import small, table, written
 
 #: Occurrences that a candidate needs, words of the longest, per cent of a phrase that drops those inside it, rows a language.
 LEAST, LONGEST, INSIDE, FIRST = 10, 3, 50, 2000
-#: Counters of a sketch's row: the power of two that is FILL phrases a counter or fewer, between these bounds.
-CELLS, FILL = (1 << 16, 1 << 27), 4
-#: Counters that meet in one row of a merge.
-BLOCK = 1 << 16
-#: Candidates that are broadcast at a time, phrases whose counts meet in one row, and blocks of a language's candidates.
-ROUND, PHRASES, PARTS = 1_500_000, 4096, 1024
-#: Digits of the codes of words, and what stands for all other words and for ends of pieces.
-DIGITS, DELIMITER = [chr(c) for c in range(0x30, 0x70)], "\n"
+#: Counters: those of two rows where there are FILL phrases a counter or fewer, those of one row beyond, of which so few are ever
+#: used that hardly two phrases share one.
+CELLS, FILL = (1 << 16, 1 << 40), 4
+#: Counters that meet in one row of a merge: so many where there are two rows, so many rows where there is one.
+BLOCK, BLOCKS = 1 << 16, 1 << 12
+#: Bits that mark high counters of one row: the power of two from 32 times their number, between these bounds.
+MARKS = (1 << 20, 1 << 29)
+#: Occurrences of candidates that a task counts at a time, and blocks of a language's candidates.
+ROUND, PARTS = 4_000_000, 1024
+#: Words that are numbered at a time, and bits of their numbers, of which LONGEST make up a phrase's.
+SPAN, NUMBER = 1_000_000, 21
+#: Of no effect: digits of the codes that words had while phrases were found by automata.
+DIGITS = [chr(c) for c in range(0x30, 0x70)]
 #: Bits for hashes of frequent words: the power of two from 16 times their number, between these bounds.
 BITS = (1 << 15, 1 << 27)
-#: Counts of a task that wait to be summed.
-PENDING = 4_000_000
-#: Characters that are worked on at once, words whose hashes and counts a task keeps.
+#: Occurrences, and counts of a block, that wait to be summed.
+PENDING = 6_000_000
+#: Characters that are worked on at once, words whose numbers and counts a task keeps, about.
 CHARACTERS, HELD = 4_000_000, 500_000
 #: A-Z small, tabs blank, bytes that end a piece a line feed.
 CLEAN = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 9 else 0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-BLANKS = re.compile("  +")
 
 
-def normalized(texts: list[str]) -> str:
-    """Texts as one: words between single blanks, pieces between line feeds that stand as words."""
-    joined = "\n".join(texts).encode().translate(CLEAN).decode()
-    return BLANKS.sub(" ", f" {joined} ".replace("\n", " \n "))
+def words_of(texts: list[str]) -> pa.Array:
+    """The words of texts; line feeds among them stand for ends of pieces."""
+    joined = "\n".join(texts).encode().translate(CLEAN).replace(b"\n", b" \n ")
+    words = pc.split_pattern(pa.array([joined], pa.large_binary()).cast(pa.large_string()), " ").flatten()
+    return words.filter(pc.not_equal(words, ""))
 
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
-    """Language and normalized texts of it, up to CHARACTERS at once (one text may be longer)."""
+def listed(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
+    """Language and words of texts of it, up to CHARACTERS at once (one text may be longer)."""
     waiting: dict[str, list[str]] = {}
     size: Counter = Counter()
     for b in small(batches, 200):
@@ -73,51 +76,66 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]
             waiting.setdefault(lang, []).append(text)
             size[lang] += len(text) + 1
             if size[lang] >= CHARACTERS:
-                yield lang, normalized(waiting.pop(lang))
+                yield lang, words_of(waiting.pop(lang))
                 del size[lang]
         if size.total() >= 2 * CHARACTERS:
             for lang, texts in waiting.items():
-                yield lang, normalized(texts)
+                yield lang, words_of(texts)
             waiting, size = {}, Counter()
     for lang, texts in waiting.items():
-        yield lang, normalized(texts)
+        yield lang, words_of(texts)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
+    held: dict[str, list[pa.Table]] = {}
+    size = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            for junk in ("", "\n"):
-                counts.pop(junk, None)
-            words = list(counts)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "phrase": part, "n": [counts[w] for w in part]})
+        for lang, parts in held.items():
+            counts = pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")])
+            counts = counts.filter(pc.not_equal(counts["phrase"], "\n"))
+            for b in counts.to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(b), "phrase": b["phrase"].cast(pa.string()), "n": b["n_sum"]})
         held.clear()
 
-    for lang, text in _by_language(batches):
-        held.setdefault(lang, Counter()).update(text.split(" "))
-        if sum(map(len, held.values())) > HELD:
+    for lang, words in _by_language(batches):
+        found = words.value_counts()
+        held.setdefault(lang, []).append(pa.table({"phrase": found.field("values"), "n": found.field("counts")}))
+        size += len(found)
+        if size > 4 * HELD:
             yield from flushed()
+            size = 0
     yield from flushed()
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """Language, the distinct ones of SPAN words at most and those that phrases which begin there need besides, and which of them
+    stands where."""
+    for lang, words in _by_language(batches):
+        for at in range(0, len(words), SPAN):
+            part = words.slice(at, SPAN + LONGEST - 1).dictionary_encode()
+            yield lang, listed(part.dictionary), part.indices.to_numpy()
+
+
 class Hashes(dict):
-    """64-bit hashes of a language's words, kept while there is room; 0 for what is no word, and for words too rare
-    for a phrase (by a bit for each hash, which some rare words share)."""
+    """Numbers of a language's words from 1 on; 0 for what is no word, and for words too rare for a phrase (by a bit for
+    each hash, which some rare words share). Words and their 64-bit hashes are found by number."""
 
     def __init__(self, lang: str, bits: np.ndarray):
         super().__init__()
-        self.seed, self.bits = xxhash.xxh64_intdigest(lang.encode(), 42), bits
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > HELD:
-            self.clear()
-        h = 0 if word in ("", "\n") else xxhash.xxh64_intdigest(word.encode(), self.seed)
-        at = h % (8 * len(self.bits))
-        found = self[word] = h if self.bits[at >> 3] >> (at & 7) & 1 else 0
-        return found
+        self.seed, self.bits, self.words, self.hashes = xxhash.xxh64_intdigest(lang.encode(), 42), bits, [""], np.zeros(1, np.uint64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words."""
+        new = [w for w in words if w not in self]
+        h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), self.seed) for w in new), np.uint64, len(new))
+        at = h % np.uint64(8 * len(self.bits))
+        often = self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+        often &= np.fromiter((w not in ("", "\n") for w in new), bool, len(new)) & (h != 0)
+        self.update(zip(new, np.where(often, len(self.words) + np.cumsum(often) - 1, 0).tolist(), strict=True))
+        self.words.extend([w for w, o in zip(new, often.tolist(), strict=True) if o])
+        self.hashes = np.concatenate([self.hashes, h[often]])
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 class Known(dict):
@@ -128,218 +146,249 @@ class Known(dict):
         self.bits = bits
 
     def __missing__(self, lang: str) -> Hashes:
-        if len(self) > 8:
-            self.clear()
         found = self[lang] = Hashes(lang, self.bits)
         return found
 
+    def full(self) -> bool:
+        return len(self) > 64 or sum(map(len, self.values())) > 2 * HELD
 
-def phrase_hashes(words: list[str], known: Hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: where phrases of words that are not rare start, and their 64-bit hashes, which stand for phrases within a task."""
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    whole, mixed = h != 0, h
+
+def hash_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of their words."""
+    x = hashes[0]
+    for h in hashes[1:]:
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def starts(words: list[str], at: np.ndarray, known: Hashes) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """For each length: where phrases of words that are not rare start, among the first SPAN words, and the numbers of their words."""
+    k = known.of(words)[at]
+    whole = k != 0
     for n in range(2, LONGEST + 1):
-        whole = whole[:-1] & (h[n - 1 :] != 0)
-        mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[n - 1 :]
-        at = np.flatnonzero(whole)
-        x = mixed[at]
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        yield n, at, x ^ (x >> np.uint64(29))
+        whole = whole[:-1] & (k[n - 1 :] != 0)
+        first = np.flatnonzero(whole[:SPAN])
+        yield n, first, [k[first + i] for i in range(n)]
+
+
+def phrase_hashes(words: list[str], known: Hashes, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length: where phrases of words that are not rare start, and their 64-bit hashes. The words stand one after the
+    other, or as at says."""
+    if at is None:
+        words, at = np.unique(words, return_inverse=True)
+        words = words.tolist()
+    for n, first, numbers in starts(words, at, known):
+        yield n, first, hash_of([known.hashes[k] for k in numbers])
+
 
+def cells_of(x: np.ndarray, cells: int) -> tuple[np.ndarray, ...]:
+    """The counters of phrases: in both rows the low and the high half of their hashes, in one row the high bits."""
+    if cells > 1 << 32:
+        return (x >> np.uint64(65 - cells.bit_length()),)
+    return x & np.uint64(cells - 1), (x >> np.uint64(32)) & np.uint64(cells - 1)
 
-def cells_of(x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counters of phrases in both rows: the low and the high half of their hashes."""
-    return (x & np.uint64(cells - 1)).astype(np.uint32), ((x >> np.uint64(32)) & np.uint64(cells - 1)).astype(np.uint32)
 
+def block_of(cells: int) -> tuple[int, str]:
+    """Counters of a block, and how places in it are written."""
+    return (cells // BLOCKS, "<u4") if cells > 1 << 32 else (BLOCK, "<u2")
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells in order, and their counts up to least."""
-    cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(cells, kind="stable")
-    cells = cells[order]
-    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
-    total = np.add.reduceat(counts[order], starts, dtype=np.int64) if len(cells) else counts
-    return cells[starts], np.minimum(total, least).astype(np.uint8)
 
+def spots(cell: np.ndarray, row: int, cells: int, bits: int) -> list[np.ndarray]:
+    """The bits, of so many, that mark a counter. A block's lie side by side; a counter of the only row has two of them, so that
+    few counters share both."""
+    cell = cell.astype(np.int64)
+    if cells <= 1 << 32:
+        return [cell + row * cells]
+    block, place = cell // (cells // BLOCKS), cell % (cells // BLOCKS)
+    own = bits // BLOCKS
+    return [block * own + place % own, block * own + (place * 0x9E3779B1 >> 16) % own]
 
-def _sketched(rare: np.ndarray, cells: int, least: int):
+
+def _summed(parts: list[np.ndarray], least: int) -> np.ndarray:
+    """Of cells, each eight bits up and with a count below it: the distinct ones in order, with their sums up to least. The list is emptied."""
+    both = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    parts.clear()
+    both.sort()
+    counts = both.astype(np.uint8)
+    both >>= np.uint64(8)
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts, first, dtype=np.int64) if len(both) else first
+    return both[first] << np.uint64(8) | np.minimum(total, least).astype(np.uint64)
+
+
+def _sketched(rare, cells: int, least: int):
     """A task's counters that are not 0: a row a block of them, with their places in the block and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows = Known(rare.value), ([], [])
-        for lang, text in _by_language(batches):
-            for _, _, x in phrase_hashes(text.split(" "), known[lang]):
-                for row, at in zip(rows, cells_of(x, cells), strict=True):
-                    cell, n = np.unique(at, return_counts=True)
-                    row.append((cell, np.minimum(n, least).astype(np.uint8)))
-                    if len(row) > 1 and sum(len(c) for c, _ in row[1:]) > PENDING + len(row[0][0]):
-                        row[:] = [_summed(row, least)]
-        for k, row in enumerate(rows):
-            cell, n = _summed(row, least) if row else (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
-            row.clear()
-            block, first = np.unique(cell // BLOCK, return_index=True)
-            ends = [*first[1:].tolist(), len(cell)]
-            places = (cell % BLOCK).astype("<u2")
-            for at in range(0, len(block), 1000):
-                spans = list(zip(first[at : at + 1000].tolist(), ends[at : at + 1000], strict=True))
-                columns = {"row": pa.array([k] * len(spans), pa.int32()), "block": pa.array(block[at : at + 1000].astype(np.int32))}
-                yield pa.RecordBatch.from_pydict(columns | {"places": pa.array([places[i:j].tobytes() for i, j in spans], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())})
+        known, size, (own, written_as) = Known(rare.value), 0, block_of(cells)
+        rows: list[list[np.ndarray]] = [[] for _ in cells_of(np.zeros(0, np.uint64), cells)]
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for k, row in enumerate(rows):
+                cell = _summed(row, least)
+                n = cell.astype(np.uint8)
+                cell >>= np.uint64(8)
+                block, first = np.unique(cell // np.uint64(own), return_index=True)
+                ends = [*first[1:].tolist(), len(cell)]
+                places = (cell % np.uint64(own)).astype(written_as)
+                for at in range(0, len(block), 1000):
+                    spans = list(zip(first[at : at + 1000].tolist(), ends[at : at + 1000], strict=True))
+                    columns = {"row": pa.array([k] * len(spans), pa.int32()), "block": pa.array(block[at : at + 1000].astype(np.int32))}
+                    yield pa.RecordBatch.from_pydict(columns | {"places": pa.array([places[i:j].tobytes() for i, j in spans], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())})
+
+        for lang, words, at in _words(batches):
+            if known.full():
+                known.clear()
+            for _, _, x in phrase_hashes(words, known[lang], at):
+                size += len(x)
+                for row, cell in zip(rows, cells_of(x, cells), strict=True):
+                    row.append(cell << np.uint64(8) | np.uint64(1))
+            if size > PENDING:
+                yield from flushed()
+                size = 0
+        yield from flushed()
 
     return run
 
 
-def _added(least: int):
-    """Blocks summed, one after the other, of rows that are sorted by row and block; then a bit a counter."""
+def _high(cells: int, least: int):
+    """The places of each block whose counts reach least, of rows that are sorted by row and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bits(key, counts):
-            return pa.RecordBatch.from_pydict({"row": pa.array([key[0]], pa.int32()), "block": pa.array([key[1]], pa.int32()), "bits": pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())})
+        _, written_as = block_of(cells)
+        key, parts = None, []
+
+        def those() -> pa.RecordBatch:
+            both = _summed(parts, least)
+            places = (both[both & np.uint64(255) >= least] >> np.uint64(8)).astype(written_as)
+            return pa.RecordBatch.from_pydict({"row": pa.array([key[0]], pa.int32()), "block": pa.array([key[1]], pa.int32()), "n": [len(places)], "places": pa.array([places.tobytes()], pa.binary())})
 
-        key = counts = None
         for b in batches:
             for row, block, places, n in zip(*(b.column(c).to_pylist() for c in ("row", "block", "places", "counts")), strict=True):
                 if (row, block) != key:
                     if key:
-                        yield bits(key, counts)
-                    key, counts = (row, block), np.zeros(BLOCK, np.uint8)
-                at = np.frombuffer(places, "<u2")
-                counts[at] = np.minimum(counts[at] + np.frombuffer(n, np.uint8), least)
+                        yield those()
+                    key, parts = (row, block), []
+                parts.append(np.frombuffer(places, written_as).astype(np.uint64) << np.uint64(8) | np.frombuffer(n, np.uint8))
+                if len(parts) > 1 and sum(map(len, parts[1:])) > PENDING + len(parts[0]):
+                    parts = [_summed(parts, least)]
         if key:
-            yield bits(key, counts)
+            yield those()
 
     return run
 
 
-def _candidates(rare, model, cells: int):
-    """The phrases that a task met whose counters are high, without most repeats: a row a block of phrases, by their hashes."""
+def _marked(cells: int, bits: int):
+    """The bits of each block, and which of them is the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, known, seen = model.value, Known(rare.value), set()
-        waiting: dict[str, list[tuple[np.ndarray, list[str]]]] = {}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, parts in waiting.items():
-                hashes, phrases = np.concatenate([h for h, _ in parts]), [p for _, ps in parts for p in ps]
-                blocks = (hashes % np.uint64(PARTS)).astype(np.int32)
-                order = np.argsort(blocks, kind="stable")
-                found, first = np.unique(blocks[order], return_index=True)
-                spans = [order[i:j].tolist() for i, j in zip(first, [*first[1:], len(order)], strict=True)]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(spans), "block": found, "phrases": ["\n".join([phrases[i] for i in span]) for span in spans]})
-            waiting.clear()
-
-        for lang, text in _by_language(batches):
-            words = text.split(" ")
-            for n, at, x in phrase_hashes(words, known[lang]):
-                keep = np.ones(len(x), bool)
-                for bits, cell in zip(heavy, cells_of(x, cells), strict=True):
-                    keep &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                x, first = np.unique(x[keep], return_index=True)
-                if len(seen) > 2 * HELD:
-                    seen.clear()
-                new = [i for i, h in enumerate(x.tolist()) if h not in seen]
-                seen.update(x[new].tolist())
-                if new:
-                    waiting.setdefault(lang, []).append((x[new], [" ".join(words[s : s + n]) for s in at[keep][first[new]].tolist()]))
-            if sum(len(h) for parts in waiting.values() for h, _ in parts) > HELD:
-                yield from flushed()
-        yield from flushed()
+        own, written_as = block_of(cells)
+        many = bits // BLOCKS if cells > 1 << 32 else min(BLOCK, cells)
+        for b in batches:
+            for row, block, places in zip(*(b.column(c).to_pylist() for c in ("row", "block", "places")), strict=True):
+                first, out = block * many + (row * cells if cells <= 1 << 32 else 0), np.zeros(many, bool)
+                for at in spots(np.frombuffer(places, written_as).astype(np.int64) + block * own, row, cells, bits):
+                    out[at - first] = True
+                yield pa.RecordBatch.from_pydict({"first": [first], "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct phrases of each block, of rows that are sorted by language and block."""
-    key, phrases = None, set()
+def numbers_of(keys: np.ndarray, n: int) -> list[np.ndarray]:
+    """The numbers of the words that keys of n words stand for."""
+    return [keys >> (NUMBER * i) & ((1 << NUMBER) - 1) for i in reversed(range(n))]
 
-    def those() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": [key[0]] * len(phrases), "phrase": list(phrases)})
 
-    for b in batches:
-        for lang, block, some in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "phrases")), strict=True):
-            if (lang, block) != key:
-                if key:
-                    yield those()
-                key, phrases = (lang, block), set()
-            phrases.update(some.split("\n"))
-    if key:
-        yield those()
-
-
-#: The automata that a worker has compiled last, and what they were compiled from.
-_compiled: dict[str, dict[str, tuple]] = {}
+def lines_of(keys: np.ndarray, words: list[str]) -> list[str]:
+    """The phrases that keys stand for."""
+    out = np.empty(len(keys), object)
+    for n in range(2, LONGEST + 1):
+        at = np.flatnonzero((keys >= 1 << NUMBER * (n - 1)) & (keys < 1 << NUMBER * n if n < LONGEST else True))
+        out[at] = list(map(" ".join, zip(*(map(words.__getitem__, k.tolist()) for k in numbers_of(keys[at], n)), strict=True)))
+    return out.tolist()
 
 
-def codes(phrases: list[str]) -> dict[str, str]:
-    """A short code for each word: the words of most phrases have one digit, the next two, and so on."""
-    words = [w for w, _ in Counter(w for p in phrases for w in p.split(" ")).most_common()]
-    digits = ("".join(d) for n in count(1) for d in product(DIGITS, repeat=n))
-    return dict(zip(words, digits))  # noqa: B905
+def _candidates(rare, model, cells: int):
+    """How often a task met the phrases whose counters are high: a row a block of phrases, by their hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known, size = model.value, Known(rare.value), 0
+        waiting: dict[str, list[np.ndarray]] = {}
+
+        def counted(lang: str, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            own, keys = known[lang], np.concatenate(parts)
+            parts.clear()
+            keys.sort()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            counts, keys = np.diff(np.r_[first, len(keys)]).astype("<u4"), keys[first]
+            blocks = np.zeros(len(keys), np.int16)
+            # The numbers of shorter phrases are 0 in front.
+            spans = [0, *(int(np.searchsorted(keys, 1 << NUMBER * n)) for n in range(2, LONGEST)), len(keys)]
+            for n, i, j in zip(range(2, LONGEST + 1), spans, spans[1:], strict=False):
+                blocks[i:j] = hash_of([own.hashes[k] for k in numbers_of(keys[i:j], n)]) % np.uint64(PARTS)
+            order = np.argsort(blocks, kind="stable")
+            blocks, keys, counts = blocks[order], keys[order], counts[order]
+            found, first = np.unique(blocks, return_index=True)
+            first = [*first.tolist(), len(keys)]
+            for at in range(0, len(found), 64):
+                i, those = first[at], first[at : at + 65]
+                lines = lines_of(keys[i : those[-1]], own.words)
+                columns = {"lang": [lang] * (len(those) - 1), "block": found[at : at + 64].astype(np.int32), "phrases": ["\n".join(lines[a - i : b - i]) for a, b in pairwise(those)]}
+                yield pa.RecordBatch.from_pydict(columns | {"counts": pa.array([counts[a:b].tobytes() for a, b in pairwise(those)], pa.binary())})
 
-def automata(phrases: dict[str, str]) -> dict[str, tuple[dict[str, str], ahocorasick.Automaton]]:
-    """For each language the codes of its phrases' words and an automaton of its phrases (a line each), guarded by a blank at
-    either end; a match gives the phrase's number. Codes are of few digits, as an automaton looks through a node's children."""
-    out = {}
-    for lang, lines in phrases.items():
-        own = lines.split("\n")
-        code, a = codes(own), ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, phrase in enumerate(own):
-            a.add_word(f" {' '.join([code[w] for w in phrase.split(' ')])} ", i)
-        a.make_automaton()
-        out[lang] = code, a
-    return out
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, parts in waiting.items():
+                yield from counted(lang, parts)
+            waiting.clear()
 
+        for lang, words, places in _words(batches):
+            if known.full():
+                yield from flushed()
+                known.clear()
+                size = 0
+            own = known[lang]
+            for _, _, numbers in starts(words, places, own):
+                x = hash_of([own.hashes[k] for k in numbers])
+                keep = np.arange(len(x))
+                for row, cell in enumerate(cells_of(x, cells)):
+                    for at in spots(cell, row, cells, 8 * len(bits)):
+                        at = at[keep]
+                        keep = keep[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                if len(keep):
+                    key = numbers[0][keep]
+                    for k in numbers[1:]:
+                        key = key << NUMBER | k[keep]
+                    waiting.setdefault(lang, []).append(key)
+                    size += len(key)
+            if size > ROUND:
+                yield from flushed()
+                size = 0
+        yield from flushed()
 
-def matches(text: str, code: dict[str, str], a: ahocorasick.Automaton) -> np.ndarray:
-    """Numbers of phrases in a normalized text, overlapping ones too: words between single blanks, where ends of pieces
-    and words of no phrase are delimiters, which no match crosses."""
-    return np.fromiter(map(itemgetter(1), a.iter(f" {' '.join(map(code.get, text.split(' '), repeat(DELIMITER)))} ")), np.int64)
+    return run
 
 
-def _scanned(model, number: str):
-    """A task's counts of phrases, in blocks of them."""
+def _united(least: int):
+    """The phrases of each block whose counts sum up to least or more, of rows that are sorted by language and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _compiled:
-            _compiled.clear()
-            _compiled[number] = automata(model.value)
-        counts = {lang: np.zeros(lines.count("\n") + 1, np.int64) for lang, lines in model.value.items()}
-        for lang, text in _by_language(batches):
-            if lang in counts:
-                counts[lang] += np.bincount(matches(text, *_compiled[number][lang]), minlength=len(counts[lang]))
-        for lang, n in counts.items():
-            for at in range(0, len(n), PHRASES):
-                part = n[at : at + PHRASES]
-                if part.any():
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "block": pa.array([at // PHRASES], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
-
-    return run
+        key, total = None, {}
 
+        def often() -> pa.RecordBatch:
+            some = [(p, n) for p, n in total.items() if n >= least]
+            return pa.RecordBatch.from_pydict({"lang": pa.array([key[0]] * len(some), pa.string()), "phrase": pa.array([p for p, _ in some], pa.string()), "n": pa.array([n for _, n in some], pa.int64())})
 
-def _totals(model, least: int):
-    """The phrases of blocks whose rows, sorted by language and block, sum up to least or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def often(lang, block, n):
-            some = np.flatnonzero(n >= least)
-            if lang not in lists:
-                lists.clear()
-                lists[lang] = model.value[lang].split("\n")
-            own = lists[lang]
-            return pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "phrase": pa.array([own[block * PHRASES + i] for i in some.tolist()], pa.string()), "n": n[some]})
-
-        _compiled.clear()
-        lists: dict[str, list[str]] = {}
-        key = total = None
         for b in batches:
-            for lang, block, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
+            for lang, block, phrases, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "phrases", "counts")), strict=True):
                 if (lang, block) != key:
                     if key:
-                        yield often(*key, total)
-                    key, total = (lang, block), 0
-                total = total + np.frombuffer(counts, np.int64)
+                        yield often()
+                    key, total = (lang, block), {}
+                for p, n in zip(phrases.split("\n"), np.frombuffer(counts, "<u4").tolist(), strict=True):
+                    total[p] = total.get(p, 0) + n
         if key:
-            yield often(*key, total)
+            yield often()
 
     return run
 
@@ -360,13 +409,19 @@ def frequent_words(words: DataFrame, least: int) -> np.ndarray:
 
 
 def heavy_cells(docs: DataFrame, rare, cells: int, least: int) -> np.ndarray:
-    """A bit a counter of both rows: whether it reaches least. At most 2 * CELLS[1] / 8 bytes."""
+    """Bits that mark the counters that reach least (see spots). At most MARKS[1] of them."""
     blocks = docs.mapInArrow(_sketched(rare, cells, least), "row int, block int, places binary, counts binary")
-    merged = blocks.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_added(least), "row int, block int, bits binary")
-    out = np.zeros((2, cells // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        bits = np.frombuffer(r["bits"], np.uint8)
-        out[r["row"], r["block"] * (BLOCK // 8) :][: len(bits)] = bits
+    merged = blocks.repartition("row", "block").sortWithinPartitions("row", "block")
+    found = written(merged.mapInArrow(_high(cells, least), "row int, block int, n long, places binary"), "phrase-cells")
+    bits = 2 * cells
+    if cells > 1 << 32:
+        many, bits = found.agg(F.sum("n")).first()[0] or 0, MARKS[0]
+        while bits < MARKS[1] and bits < 32 * many:
+            bits *= 2
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found.mapInArrow(_marked(cells, bits), "first long, bits binary").toLocalIterator():
+        some = np.frombuffer(r["bits"], np.uint8)
+        out[r["first"] // 8 :][: len(some)] = some
     return out
 
 
@@ -374,29 +429,13 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     """lang, phrase and n of all phrases of two to LONGEST words that occur least times or more."""
     spark = docs.sparkSession
     n_words = words.agg(F.sum("n")).first()[0] or 0
-    cells = CELLS[0]
-    while cells < CELLS[1] and cells * FILL < n_words * (LONGEST - 1):
-        cells *= 2
+    cells = CELLS[n_words * (LONGEST - 1) > CELLS[0] * FILL]
     rare = spark.sparkContext.broadcast(frequent_words(words, least))
     heavy = spark.sparkContext.broadcast(heavy_cells(docs, rare, cells, least))
-    blocks = docs.mapInArrow(_candidates(rare, heavy, cells), "lang string, block int, phrases string").repartition("lang", "block").sortWithinPartitions("lang", "block")
-    found = written(blocks.mapInArrow(_united, "lang string, phrase string"), "phrase-candidates")
+    blocks = docs.mapInArrow(_candidates(rare, heavy, cells), "lang string, block int, phrases string, counts binary").repartition("lang", "block").sortWithinPartitions("lang", "block")
+    out = written(blocks.mapInArrow(_united(least), "lang string, phrase string, n long"), "phrase-counts")
     heavy.unpersist()
     rare.unpersist()
-    rounds = max(1, -(-found.count() // ROUND))
-    out = None
-    for k in range(rounds):
-        # ROUND phrases, give or take what the hash leaves uneven.
-        part = found.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(rounds)) == k).toArrow()
-        phrases: dict[str, str] = {}
-        for lang, own in pd.DataFrame({c: part.column(c).to_pandas() for c in ("lang", "phrase")}).groupby("lang")["phrase"]:
-            phrases[lang] = "\n".join(own)
-        del part
-        model = spark.sparkContext.broadcast(phrases)
-        blocks = docs.mapInArrow(_scanned(model, uuid.uuid4().hex), "lang string, block int, counts binary").repartition("lang", "block").sortWithinPartitions("lang", "block")
-        one = written(blocks.mapInArrow(_totals(model, least), "lang string, phrase string, n long"), "phrase-counts")
-        model.unpersist()
-        out = one if out is None else out.unionByName(one)
     return out
 
 
