@@ -63,10 +63,12 @@ def _frequent(spark, sf) -> list[str]:
 
 def _classifier(name: str):
     def run(spark, sf) -> DataFrame:
-        df, names = _features(spark, sf)
+        # The perceptron has all features and takes all its steps.
+        groups, trees = (features.GROUPS, None) if name == "nn" else (GROUPED, TREES)
+        df, names = _features(spark, sf, groups)
         cut = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
         df = df.cache()
-        quality, _ = ml.train_and_eval(df.filter(~cut), df.filter(cut), names, [name], TREES)
+        quality, _ = ml.train_and_eval(df.filter(~cut), df.filter(cut), names, [name], trees)
         return quality
 
     return run
