@@ -41,7 +41,7 @@ BLOCK, BLOCKS = 1 << 16, 1 << 12
 #: Bits that mark high counters of one row: the power of two from 32 times their number, between these bounds.
 MARKS = (1 << 20, 1 << 29)
 #: Occurrences of candidates that a task counts at a time, and blocks of a language's candidates.
-ROUND, PARTS = 4_000_000, 1024
+ROUND, PARTS = 2_500_000, 1024
 #: Words that are numbered at a time, and bits of their numbers, of which LONGEST make up a phrase's.
 SPAN, NUMBER = 1_000_000, 21
 #: Of no effect: digits of the codes that words had while phrases were found by automata.
@@ -49,7 +49,7 @@ DIGITS = [chr(c) for c in range(0x30, 0x70)]
 #: Bits for hashes of frequent words: the power of two from 16 times their number, between these bounds.
 BITS = (1 << 15, 1 << 27)
 #: Occurrences, and counts of a block, that wait to be summed.
-PENDING = 6_000_000
+PENDING = 3_000_000
 #: Characters that are worked on at once, words whose numbers and counts a task keeps, about.
 CHARACTERS, HELD = 4_000_000, 500_000
 #: A-Z small, tabs blank, bytes that end a piece a line feed.
@@ -150,7 +150,7 @@ class Known(dict):
         return found
 
     def full(self) -> bool:
-        return len(self) > 64 or sum(map(len, self.values())) > 2 * HELD
+        return len(self) > 64 or sum(map(len, self.values())) > HELD
 
 
 def hash_of(hashes: list[np.ndarray]) -> np.ndarray:
